@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quarrylens.llm.bpe import bpe_encode
+from quarrylens.llm.langid import identify, train_pieces
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,8 +19,15 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(_read(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language, score, margin and acceptance of every document."""
+    docs = _read(spark, sf_dir, "documents")
+    return identify(docs, train_pieces(docs), keep=["doc_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_language_id": op2_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}

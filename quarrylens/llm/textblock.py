@@ -122,3 +122,40 @@ def put_strings(data: np.ndarray, offs: np.ndarray, null: np.ndarray | None = No
 
 def text_nulls(batch: pa.RecordBatch, text: str) -> np.ndarray:
     return np.asarray(pc.is_null(batch.column(batch.schema.get_field_index(text))), bool)
+
+
+class Lookup:
+    """A fixed open-addressing table from non-negative int64 keys to int64 values, read a whole array at a time."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 6))))
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.values = np.full(1 << self.bits, -1, np.int64)
+        left = np.arange(len(keys))
+        at = self.slot(keys)
+        while len(left):  # of the keys that want a free slot, the first gets it; the others go on
+            free = self.keys[at] < 0
+            take, first = np.unique(at[free], return_index=True)
+            got = left[free][first]
+            self.keys[take], self.values[take] = keys[got], values[got]
+            on = ~np.isin(left, got)
+            left, at = left[on], (at[on] + 1) & ((1 << self.bits) - 1)
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * MULT >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The value of each key; -1 where there is none."""
+        at = self.slot(keys)
+        there = self.keys[at]
+        out = np.where(there == keys, self.values[at], -1)
+        left = np.flatnonzero((there != keys) & (there >= 0))
+        at = at[left]
+        while len(left):
+            at = (at + 1) & ((1 << self.bits) - 1)
+            there = self.keys[at]
+            hit = there == keys[left]
+            out[left[hit]] = self.values[at[hit]]
+            on = ~hit & (there >= 0)
+            left, at = left[on], at[on]
+        return out
