@@ -59,4 +59,4 @@ def discard(df: DataFrame) -> None:
 def small_side(df: DataFrame, limit: int = 8 << 20) -> bool:
     """Whether the optimizer's size estimate of df is within limit bytes (a written table's estimate is its file size)."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size.toString()) <= limit
+    return int(str(size)) <= limit
