@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quarrylens.llm.bpe import bpe_encode
+from quarrylens.llm.jaccard import jaccard_join
 from quarrylens.llm.langid import identify, train_pieces
 
 
@@ -25,9 +26,29 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, train_pieces(docs), keep=["doc_id"])
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of documents whose word 3-gram sets have Jaccard 0.6 or more."""
+    return jaccard_join(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_language_id": op2_language_id,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_ngram_jaccard": """
+WITH w AS (
+  SELECT doc_id, list_filter(string_split_regex(lower(text), '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+g AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g
+  FROM w WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS both_n FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2)
+SELECT doc_a, doc_b, CAST(both_n AS DOUBLE) / CAST(x.n + y.n - both_n AS DOUBLE) AS jaccard
+FROM p JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b
+WHERE CAST(both_n AS DOUBLE) / CAST(x.n + y.n - both_n AS DOUBLE) >= 0.6
+""",
+}
