@@ -5,14 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quarrylens.llm.bpe import bpe_encode
+from quarrylens.llm.jaccard import drop_near_duplicates
+from quarrylens.llm.langid import identify, train_pieces
+from quarrylens.llm.mixing import mix_sources, temperature_weights
+from quarrylens.llm.passages import dedup
 from quarrylens.runtime import materialize
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a language is found."""
+    return identify(docs, train_pieces(docs)).where("lid_ok").select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of like ones."""
+    return drop_near_duplicates(docs)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that an earlier one keeps."""
+    return dedup(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the target weights take, shard by shard, each shard shuffled."""
+    return mix_sources(docs, temperature_weights(docs)).where("mix_place >= 0").select(docs.columns)
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe_encode(docs, keep=["doc_id", "source"], decoded=False)
+    """Token ids of each document."""
+    return bpe_encode(docs, keep=["doc_id", "lang", "source"], decoded=False)
 
 
-STAGES = [("byte-level BPE", tokens)]
+STAGES = [
+    ("language ID", language),
+    ("n-gram Jaccard join", near_duplicates),
+    ("substring dedup", passages),
+    ("mixing sources to target weights", mixture),
+    ("byte-level BPE encoding and decoding", tokens),
+]
 
 ORACLE_SQL = None
 

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from quarrylens.llm.bpe import bpe_encode
 from quarrylens.llm.jaccard import jaccard_join
 from quarrylens.llm.langid import identify, train_pieces
+from quarrylens.llm.mixing import mix_sources, temperature_weights
+from quarrylens.llm.passages import substring_repeats
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -26,6 +28,17 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, train_pieces(docs), keep=["doc_id"])
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans of every document that repeat a paragraph another place keeps."""
+    return substring_repeats(_read(spark, sf_dir, "documents"))
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture of all sources at flattened weights: shard, block and place of each document taken."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "source")
+    return mix_sources(docs, temperature_weights(docs))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of documents whose word 3-gram sets have Jaccard 0.6 or more."""
     return jaccard_join(_read(spark, sf_dir, "documents"))
@@ -34,6 +47,8 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_language_id": op2_language_id,
+    "op3_substring_dedup": op3_substring_dedup,
+    "op6_source_mixing": op6_source_mixing,
     "op8_ngram_jaccard": op8_ngram_jaccard,
 }
 
