@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quarrylens.llm.bpe import bpe_encode
+from quarrylens.llm.ctw import code_lengths
 from quarrylens.llm.jaccard import jaccard_join
 from quarrylens.llm.langid import identify, train_pieces
+from quarrylens.llm.licences import license_spans
 from quarrylens.llm.mixing import mix_sources, temperature_weights
 from quarrylens.llm.passages import substring_repeats
+from quarrylens.llm.perplexity import perplexity_bands
+from quarrylens.llm.permutation import nearest
+from quarrylens.llm.quality import classify
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,23 +38,53 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_repeats(_read(spark, sf_dir, "documents"))
 
 
+def op4_perplexity_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document, the band of its language and length, and whether it lies in it."""
+    return perplexity_bands(_read(spark, sf_dir, "documents"))
+
+
+def op5_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality posterior of every document from its own evidence and its host's and path's shares."""
+    return classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixture of all sources at flattened weights: shard, block and place of each document taken."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "source")
     return mix_sources(docs, temperature_weights(docs))
 
 
+def op7_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest neighbours of every vector."""
+    return nearest(_read(spark, sf_dir, "embeddings"))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of documents whose word 3-gram sets have Jaccard 0.6 or more."""
     return jaccard_join(_read(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices and texts in all documents."""
+    return license_spans(_read(spark, sf_dir, "documents"))
+
+
+def op10_context_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code length a byte of every document under the corpus's context trees."""
+    return code_lengths(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_language_id": op2_language_id,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_perplexity_bands": op4_perplexity_bands,
+    "op5_quality_bayes": op5_quality_bayes,
     "op6_source_mixing": op6_source_mixing,
+    "op7_permutation_index": op7_permutation_index,
     "op8_ngram_jaccard": op8_ngram_jaccard,
+    "op9_license_scan": op9_license_scan,
+    "op10_context_trees": op10_context_trees,
 }
 
 ORACLE_SQL: dict[str, str] = {
