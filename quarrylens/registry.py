@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quarrylens.plans import corpus, lifecycle, quality, sources
+from quarrylens.plans.base import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+_MODULES = (corpus, lifecycle, quality, sources)
+QUERIES: dict[str, Query] = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}

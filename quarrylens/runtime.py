@@ -36,11 +36,12 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def materialize(df: DataFrame, parts: int | None = None) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts lineage, survives executor loss."""
+def materialize(df: DataFrame, parts: int | None = None, by: list[str] = ()) -> DataFrame:
+    """Write df as Parquet into the shared folder, in folders by columns, and read it back: cuts lineage, survives executor loss."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ql-{uuid.uuid4().hex}"
-    (df if parts is None else df.coalesce(parts)).write.parquet(path)
+    out = (df if parts is None else df.coalesce(parts)).write
+    (out.partitionBy(*by) if by else out).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._ql_path = path
     return out
