@@ -161,6 +161,9 @@ def untrained(path: str, languages: list[str]) -> PieceModel:
     return PieceModel(languages, table, np.where(rows < 0, last, rows), max(map(len, pieces)), prob)
 
 
+TELLING_WORD = r"w RLIKE '[^\\x00-\\x60\\x7b-\\x7f]' AND NOT w RLIKE '[0-9]'"  # as evidence() has it
+
+
 def train_pieces(docs: DataFrame, vocabulary: str = VOCABULARY, sample: int = SAMPLE, rounds: int = ROUNDS, text: str = "text", lang: str = "lang") -> PieceModel:
     """Piece probabilities from about `sample` labelled documents a language, chosen by a hash of their text."""
     labelled = docs.where(F.col(lang).isNotNull() & (F.length(F.trim(text)) > 0)).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
@@ -171,7 +174,7 @@ def train_pieces(docs: DataFrame, vocabulary: str = VOCABULARY, sample: int = SA
         return model
     share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, 1.1 * sample / counts[k])))])
     chosen = labelled.where(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
-    words = chosen.select("lang", F.explode(F.split(F.lower("text"), r"\s+")).alias("w")).where("w <> ''").groupBy("lang", "w").agg(F.count("*").alias("n")).toArrow()
+    words = chosen.select("lang", F.explode(F.split(F.lower("text"), r"\s+")).alias("w")).where(TELLING_WORD).groupBy("lang", "w").agg(F.count("*").alias("n")).toArrow()
     table = words.to_pandas().pivot_table(index="w", columns="lang", values="n", fill_value=0, aggfunc="sum").reindex(columns=languages, fill_value=0)
     marked = [chr(MARK) + w for w in table.index]
     pieces = [(w[k : k + LONGEST], j) for j, w in enumerate(marked) for k in range(0, len(w), LONGEST)]
