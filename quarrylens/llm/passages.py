@@ -304,12 +304,12 @@ def _cut(columns: list[str], text: str):
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars", threshold: float = THRESHOLD) -> DataFrame:
     """docs with the repeated spans cut out of their texts, and n_chars, if there is such a column, counted again. A document of which
     nothing but white space remains is dropped; one that held nothing before stays."""
-    found = materialize(spans(repeats(docs, doc_id, text, threshold)).groupBy("d", "t").agg(F.collect_list(F.struct("s", "e")).alias("__spans")))
+    found = materialize(spans(repeats(docs, doc_id, text, threshold)).groupBy(F.col("d").alias("__d"), F.col("t").alias("__m")).agg(F.collect_list(F.struct("s", "e")).alias("__spans")))
     side = F.broadcast(found) if small_side(found) else found
     keyed = docs.withColumn("__t", text_mark(text))
-    joined = keyed.join(side, F.col(doc_id).eqNullSafe(F.col("d")) & F.col("__t").eqNullSafe(F.col("t")), "left").drop("d", "t", "__t")
+    joined = keyed.join(side, F.col(doc_id).eqNullSafe(F.col("__d")) & F.col("__t").eqNullSafe(F.col("__m")), "left").drop("__d", "__m", "__t")
     columns = docs.columns
-    cut = joined.where("__spans is not null").mapInArrow(_cut(columns, text), docs.schema).where(F.length(F.trim(F.regexp_replace(text, r"\\s+", " "))) > 0)
+    cut = joined.where("__spans is not null").mapInArrow(_cut(columns, text), docs.schema).where(F.col(text).rlike(r"\S"))
     if n_chars in columns:
         cut = cut.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType))
     return joined.where("__spans is null").select(columns).union(cut.select(columns))
