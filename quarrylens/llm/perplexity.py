@@ -86,10 +86,10 @@ def _cost(models: dict[str, KneserNey], part: str, keys: np.ndarray) -> np.ndarr
 
 def perplexities(docs: DataFrame, text: str = "text", lang: str = "lang", keep: list[str] | None = None) -> DataFrame:
     """The columns keep with log_perplexity double, by models counted over docs itself."""
-    named = docs.where(F.length(F.trim(text)) > 0)
+    named = docs.where(F.col(text).rlike(r"\S"))
     models = {name: kneser_ney(k, c, ORDER) for name, (k, c) in gathered(gram_counts(named, ORDER, text, lang)).items()}
     shared = docs.sparkSession.sparkContext.broadcast(models)
-    blank = docs.withColumn(text, F.when(F.length(F.trim(text)) > 0, F.col(text)))
+    blank = docs.withColumn(text, F.when(F.col(text).rlike(r"\S"), F.col(text)))
     return score_rows(blank, ORDER, shared, _cost_or_none, "log_perplexity", text, lang, keep)
 
 
