@@ -119,10 +119,9 @@ def report_rows(rows: DataFrame) -> DataFrame:
     """The full finding schema, numbered in the order of emission."""
     external = F.col("owner_lane") == "external-analyzer"
     # numbering is global by nature; findings are few next to what was scanned
-    number = F.row_number().over(Window.orderBy(emission_key()))
-    full = rows.withColumns(
+    full = rows.withColumn("emitted", F.row_number().over(Window.orderBy(emission_key()))).withColumns(
         {
-            "finding_id": F.concat(F.when(external, "F-EXT-").otherwise("F-SCAN-"), F.format_string("%04d", number)),
+            "finding_id": F.concat(F.when(external, "F-EXT-").otherwise("F-SCAN-"), F.format_string("%04d", "emitted")),
             "actor_label": F.when(external, "external-analyzer").otherwise("ACI-detected"),
             "fixability": F.lit("owner-decision"),
             "evidence_ref": F.coalesce("evidence_ref", F.lit("inspection-rules")) if "evidence_ref" in rows.columns else F.lit("inspection-rules"),
@@ -130,7 +129,7 @@ def report_rows(rows: DataFrame) -> DataFrame:
             "finding_class": F.when(F.col("ci_id").isin(*QUESTIONS), "design/review question").otherwise("confirmed defect"),
         }
     )
-    return full.withColumnRenamed("path", "target_file").select(*COLUMNS, severity_rank(F.col("severity")).alias("severity_rank"), number.alias("emitted"))
+    return full.withColumnRenamed("path", "target_file").select(*COLUMNS, severity_rank(F.col("severity")).alias("severity_rank"), "emitted")
 
 
 def settle(raw: DataFrame) -> DataFrame:
