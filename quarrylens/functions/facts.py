@@ -25,7 +25,7 @@ import sys
 import tokenize
 import tomllib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -548,21 +548,24 @@ def _field(n: ast.AST, kwargs: str) -> str | None:
     return None
 
 
-def facts_of(path: str, whole: str, text: str) -> Iterator[dict]:
-    """All facts of one file."""
+def facts_of(path: str, whole: str, text: str, emitters: tuple[Callable[[Text], Iterator[dict]], ...] = ()) -> Iterator[dict]:
+    """All facts of one file; each emitter adds facts of its own kinds, made by the file's fact()."""
     t = Text(path, whole, text)
     if t.suffix == ".py":
         try:
             t = Module(path, whole, text)
-            found = list(t.facts())
+            found = [*t.facts(), *(f for e in emitters for f in e(t))]
         except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
             t = Text(path, whole, text)
             found = [t.fact("broken", None, value=f"{type(e).__name__}: {e}")]
         yield from found
+    else:
+        for e in emitters:
+            yield from e(t)
     yield from t.plain()
 
 
-def extract(files: DataFrame) -> DataFrame:
+def extract(files: DataFrame, emitters: tuple = ()) -> DataFrame:
     """Facts of files(path, text[, abs_path]). A null text gives no facts; equal rows give equal facts twice."""
     whole = files["abs_path"] if "abs_path" in files.columns else files["path"]
 
@@ -571,7 +574,7 @@ def extract(files: DataFrame) -> DataFrame:
             rows: list[dict] = []
             for path, full, text in zip(*(b.column(k).to_pylist() for k in range(3))):
                 if path is not None and text is not None:
-                    rows += facts_of(path, full or path, text.replace("\r\n", "\n").replace("\r", "\n"))
+                    rows += facts_of(path, full or path, text.replace("\r\n", "\n").replace("\r", "\n"), tuple(emitters))
                 if len(rows) >= 20_000:
                     yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
                     rows = []

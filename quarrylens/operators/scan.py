@@ -84,13 +84,15 @@ def anchored_payloads(payloads: DataFrame, files: DataFrame, spans: DataFrame) -
     return out.withColumn("content", F.coalesce(squash(F.try_element_at("lines", F.col("line"))), F.lit(""))).drop("lines")
 
 
-def scan_files(files: DataFrame, options: Options = Options(), operations: Operations | None = None, payloads: DataFrame | None = None, hunks: DataFrame | None = None, skipped: DataFrame | None = None) -> Scan:
-    """Inspect files(path, text[, abs_path]), one row a path."""
+def scan_files(files: DataFrame, options: Options = Options(), operations: Operations | None = None, payloads: DataFrame | None = None, hunks: DataFrame | None = None, skipped: DataFrame | None = None, emitters: tuple = (), rules: tuple = ()) -> Scan:
+    """Inspect files(path, text[, abs_path]), one row a path. emitters add facts in the Python pass; rules turn facts into raw findings (RAW)."""
     spark = files.sparkSession
     check_request(options.profile, list(options.include))
     active = active_signals(options.profile)
-    facts = materialize(extract(files), by=["kind"])
+    facts = materialize(extract(files, emitters), by=["kind"])
     raw = all_findings(facts, active)
+    for rule in rules:
+        raw = raw.unionByName(rule(facts))
     if SIDE in active and options.side_terms:
         raw = raw.unionByName(leaked_authority(files, list(options.side_terms), list(options.authority_terms)))
     raw = raw.withColumn("evidence_ref", F.lit("inspection-rules"))
