@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylens.functions.columns import fingerprint, scope_class, severity_rank
+from quarrylens.runtime import materialize
 from quarrylens.sources.settings import Operations
 
 COLUMNS = (
@@ -115,11 +116,20 @@ def changed_only(rows: DataFrame, spans: DataFrame, hunks: DataFrame) -> DataFra
     return out.join(h, (F.col("path") == F.col("hp")) & (F.col("line") <= F.col("h2")) & (F.col("h1") <= F.col("last")), "left_semi").drop("sp", "sl", "last")
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows with emitted: their place in the order of emission, from 1; ranges of the order are numbered apart and begin where the ones before end."""
+    ranged = materialize(rows.withColumn("_key", emission_key()).repartitionByRange("_key").withColumn("_part", F.spark_partition_id()))
+    begins = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    # one row for each partition
+    begins = begins.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_begin"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy("_key"))
+    return ranged.join(F.broadcast(begins), "_part").withColumn("emitted", (F.col("_begin") + place)).drop("_key", "_part", "_begin")
+
+
 def report_rows(rows: DataFrame) -> DataFrame:
     """The full finding schema, numbered in the order of emission."""
     external = F.col("owner_lane") == "external-analyzer"
-    # numbering is global by nature; findings are few next to what was scanned
-    full = rows.withColumn("emitted", F.row_number().over(Window.orderBy(emission_key()))).withColumns(
+    full = numbered(rows).withColumns(
         {
             "finding_id": F.concat(F.when(external, "F-EXT-").otherwise("F-SCAN-"), F.format_string("%04d", "emitted")),
             "actor_label": F.when(external, "external-analyzer").otherwise("ACI-detected"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylens.functions.columns import SAMPLE_SEGMENTS, has_segment, host_of, inert_host, under, value_shaped
@@ -131,31 +131,40 @@ def _anchored(groups: DataFrame) -> DataFrame:
     return groups.select("*", "first.*").drop("first")
 
 
-def _first() -> Column:
-    return F.min_by(F.struct("path", "line", "ord", "excerpt", "symbol", "content", "name"), F.struct("path", "ord")).alias("first")
+def by_value(rows: DataFrame) -> DataFrame:
+    """Of each value: n_files, the first three files by path, refs, whether all are flagged, its first fact, and a 128-bit mark of the set of its files.
+
+    The set is never gathered in one row: it is counted and marked (by sums that don't depend on order), so that a value of millions of files costs no memory.
+    """
+    fact = F.struct("path", "line", "ord", "excerpt", "symbol", "content", "name")
+    each = rows.groupBy("value", "path").agg(F.count("*").alias("n"), F.bool_and(F.coalesce("flag", F.lit(False))).alias("flag"), F.min_by(fact, "ord").alias("fact"))
+    place = F.row_number().over(Window.partitionBy("value").orderBy("path"))
+    marks = [F.bit_xor(F.xxhash64(F.lit(k), "path")).alias(f"mark{k}") for k in (1, 2)]
+    few = F.array_sort(F.collect_list(F.when(F.col("place") <= 3, F.col("path")))).alias("files")
+    return each.withColumn("place", place).groupBy("value").agg(F.count("*").alias("n_files"), few, F.sum("n").alias("refs"), F.bool_and("flag").alias("all_flagged"), F.min_by("fact", "path").alias("first"), *marks)
 
 
 def copied_code(facts: DataFrame) -> DataFrame:
     """Function bodies of one shape in two files or more, one finding for each set of files."""
     fns = facts.where("kind = 'fn' AND value IS NOT NULL AND NOT (name LIKE '\\_\\_%' AND name LIKE '%\\_\\_')")
-    shapes = fns.groupBy("value").agg(F.array_sort(F.collect_set("path")).alias("files"), _first()).where(F.size("files") >= 2)
+    p = F.col("path")
+    support = has_segment(p, ["test", "tests", "docs", *SAMPLE_SEGMENTS]) | under(p, ["shared/tools", "shared/report/examples"])
+    shapes = by_value(fns.withColumn("flag", support)).where("n_files >= 2")
     by = F.array_sort(F.collect_list(F.struct("first.path", "first.line", "first.name"))).alias("shared")
-    sets = shapes.groupBy("files").agg(by, F.min_by("first", F.struct("first.path", "first.line")).alias("first"))
-    support = F.forall("files", lambda p: has_segment(p, ["test", "tests", "docs", *SAMPLE_SEGMENTS]) | under(p, ["shared/tools", "shared/report/examples"]))
+    sets = shapes.groupBy("n_files", "mark1", "mark2").agg(by, F.first("files").alias("files"), F.bool_and("all_flagged").alias("support"), F.min_by("first", F.struct("first.path", "first.line")).alias("first"))
     names = F.array_distinct(F.transform("shared", lambda x: x["name"]))
-    reason = F.format_string("%d function(s) (%s) have one shape in %d files: %s", F.size("shared"), F.array_join(F.slice(names, 1, 6), ", "), F.size("files"), F.array_join(F.slice("files", 1, 3), ", "))
-    return _cross(_anchored(sets), "CI05_COPY_PASTE_CODE", 0, F.when(support, "low").otherwise("medium"), "low", F.when(support, "P3").otherwise("P2"), reason, "Share one function.", F.format_string("def %s(...)", F.col("name")))
+    reason = F.format_string("%d function(s) (%s) have one shape in %d files: %s", F.size("shared"), F.array_join(F.slice(names, 1, 6), ", "), F.col("n_files"), F.array_join("files", ", "))
+    return _cross(_anchored(sets), "CI05_COPY_PASTE_CODE", 0, F.when(F.col("support"), "low").otherwise("medium"), "low", F.when(F.col("support"), "P3").otherwise("P2"), reason, "Share one function.", F.format_string("def %s(...)", F.col("name")))
 
 
 def _scattered(facts: DataFrame, kind: str, having: Column) -> DataFrame:
-    rows = facts.where((F.col("kind") == kind) & having)
-    return rows.groupBy("value").agg(F.array_sort(F.collect_set("path")).alias("files"), F.count("*").alias("refs"), F.bool_and(F.coalesce("flag", F.lit(False))).alias("all_tests"), _first()).where(F.size("files") >= 3)
+    return by_value(facts.where((F.col("kind") == kind) & having)).where("n_files >= 3")
 
 
 def magic_numbers(facts: DataFrame) -> DataFrame:
     """Uncommon numbers in three files or more."""
     rows = _anchored(_scattered(facts, "num", F.lit(True)))
-    reason = F.format_string("%s stands in %d files: %s", F.col("excerpt"), F.size("files"), F.array_join(F.slice("files", 1, 3), ", "))
+    reason = F.format_string("%s stands in %d files: %s", F.col("excerpt"), F.col("n_files"), F.array_join("files", ", "))
     return _cross(rows, "CI06_MAGIC_NUMBER", 1, "low", "low", "P3", reason, "Name the number once.", F.col("excerpt"))
 
 
@@ -184,8 +193,8 @@ def scattered_constants(facts: DataFrame) -> DataFrame:
     plain = v.endswith("-zh-overview.md") | v.rlike(r"^[A-Za-z]:\\Users\\[^\\]+\\project\\") | (v == r"(```[\s\S]*?```)") | (v.endswith(".md") & v.rlike("^(shared|docs)/"))
     dates = v.contains("%Y") & v.contains("%m") & v.contains("%d")
     rows = _scattered(facts, "str", value_shaped(v) & ~plain & ~dates & ~v.startswith("/api/"))
-    rows = _anchored(rows.where(~((v == "sqlite:///:memory:") & F.col("all_tests"))))
-    reason = F.format_string("The constant stands in %d files: %s", F.size("files"), F.array_join(F.slice("files", 1, 3), ", "))
+    rows = _anchored(rows.where(~((v == "sqlite:///:memory:") & F.col("all_flagged"))))
+    reason = F.format_string("The constant stands in %d files: %s", F.col("n_files"), F.array_join("files", ", "))
     return _cross(rows, "CI20_SCATTERED_CONSTANT", 5, "medium", "medium", "P2", reason, "Define it once.", F.col("excerpt"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrylens.functions.columns import HTTP_URL, SECRET_TEXT, fingerprint, host_of, inert_host, low_value_number, squash
 from quarrylens.operators.graph import strong_components
+from quarrylens.operators.rules import by_value
 from quarrylens.plans.base import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -66,14 +67,15 @@ def insecure_http_urls(spark, sf_dir):
 
 @query(f"""WITH {_LINES}, b AS (SELECT lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS shape, doc_id, line FROM l),
 s AS (SELECT shape, list_sort(list(DISTINCT doc_id)) AS files, min(doc_id * 1000000 + line) AS pos FROM b WHERE length(shape) >= 40 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 2)
-SELECT list_aggregate(files, 'string_agg', ',') AS files, count(*) AS shapes, min(pos) // 1000000 AS doc_id, CAST(min(pos) % 1000000 AS INTEGER) AS line FROM s GROUP BY 1""")
+SELECT len(files) AS n_files, list_aggregate(files[1:3], 'string_agg', ',') AS files, count(*) AS shapes, min(pos) // 1000000 AS doc_id, CAST(min(pos) % 1000000 AS INTEGER) AS line FROM s GROUP BY files""")
 def duplicate_file_sets(spark, sf_dir):
     """Lines of one shape in two documents or more, one row for each set of documents, at its first line."""
-    b = lines_of(table(spark, sf_dir, "documents")).select(F.lower(squash(F.col("text"))).alias("shape"), "doc_id", "line").where(F.length("shape") >= 40)
-    at = F.struct("doc_id", "line")
-    s = b.groupBy("shape").agg(F.array_sort(F.collect_set("doc_id")).alias("files"), F.min(at).alias("at")).where(F.size("files") >= 2)
-    out = s.groupBy("files").agg(F.count("*").alias("shapes"), F.min("at").alias("at"))
-    return out.select(F.array_join("files", ",").alias("files"), "shapes", "at.doc_id", "at.line")
+    b = lines_of(table(spark, sf_dir, "documents")).select(F.lower(squash(F.col("text"))).alias("value"), F.col("doc_id").alias("path"), "line").where(F.length("value") >= 40)
+    none = F.lit(None).cast("string")
+    rows = b.select("value", "path", "line", F.col("line").alias("ord"), *[none.alias(c) for c in ("excerpt", "symbol", "content", "name")], F.lit(None).cast("boolean").alias("flag"))
+    sets = by_value(rows).where("n_files >= 2").groupBy("n_files", "mark1", "mark2")
+    out = sets.agg(F.first("files").alias("files"), F.count("*").alias("shapes"), F.min(F.struct("first.path", "first.line")).alias("at"))
+    return out.select("n_files", F.array_join("files", ",").alias("files"), "shapes", F.col("at.path").alias("doc_id"), "at.line")
 
 
 @query(r"""WITH n AS (SELECT doc_id, CAST(unnest(regexp_extract_all(text, '\b[0-9]{3,9}\b')) AS BIGINT) AS n FROM documents)
