@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quarrylens.llm.textblock import MULT, blocks, put_lists, put_strings, raw, span_hash, text_nulls
+from quarrylens.llm.textblock import MULT, blocks, eased, put_lists, put_strings, raw, span_hash, text_nulls
 from quarrylens.runtime import ship
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
@@ -323,7 +323,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "text"
             yield from flush(held)
 
     need = list(dict.fromkeys([*columns, text]))
-    return docs.select(*[f"`{c}`" for c in need]).mapInArrow(run, schema)
+    return docs.select(*[f"`{c}`" for c in need]).mapInArrow(eased(run), schema)
 
 
 def bpe_decode(df: DataFrame, vocabulary: str = VOCABULARY, tokens: str = "tokens", to: str = "decoded") -> DataFrame:
@@ -352,4 +352,4 @@ def bpe_decode(df: DataFrame, vocabulary: str = VOCABULARY, tokens: str = "token
             texts = _null_rows(texts, np.asarray(pc.is_null(col), bool))
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in columns), texts], [*columns, to])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(eased(run), schema)

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.llm.textblock import blocks, raw
+from quarrylens.llm.textblock import blocks, eased, raw
 from quarrylens.runtime import ship
 
 BEGIN, END = 2, 3  # bytes before and after a text
@@ -74,7 +74,7 @@ def gram_counts(docs: DataFrame, n: int, text: str = "text", by: str | None = No
         for name in list(held):
             yield out(name)
 
-    return rows.mapInArrow(run, "part string, key bigint, n bigint").groupBy("part", "key").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(eased(run), "part string, key bigint, n bigint").groupBy("part", "key").agg(F.sum("n").alias("n"))
 
 
 def gathered(counts: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
@@ -118,4 +118,4 @@ def score_rows(docs: DataFrame, n: int, shared, cost: Callable, to: str, text: s
                 null = pc.is_null(b.column(len(columns) + 1))
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pc.if_else(null, None, pa.array(value))], [*columns, to])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(eased(run), schema)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylens.llm.components import components
-from quarrylens.llm.textblock import MULT, blocks, gram_hash, put_lists, raw, span_hash, word_spans
+from quarrylens.llm.textblock import MULT, blocks, eased, gram_hash, put_lists, raw, span_hash, word_spans
 from quarrylens.runtime import materialize, ship, small_side
 
 N = 3
@@ -274,15 +274,15 @@ def text_pairs(docs: DataFrame, text: str = "text", n: int = N, threshold: float
     spark = docs.sparkSession
     ship(spark)
     texts = docs.where(F.col(text).isNotNull()).select(text_key(F.col(text)).alias("k"), F.col(text).alias("text"))
-    signed = texts.mapInArrow(_signatures(n, ROUTES), "k binary, size int, bottom array<bigint>, bits binary").dropDuplicates(["k"])
+    signed = texts.mapInArrow(eased(_signatures(n, ROUTES)), "k binary, size int, bottom array<bigint>, bits binary").dropDuplicates(["k"])
     routed = signed.select(F.explode("bottom").alias("g"), "k", "size", "bottom", "bits").repartition("g").sortWithinPartitions("g")
-    found = materialize(routed.mapInArrow(_traverse(threshold), "g bigint, k binary, partners array<binary>"))
+    found = materialize(routed.mapInArrow(eased(_traverse(threshold)), "g bigint, k binary, partners array<binary>"))
     wanted = found.select("k").distinct()
     if small_side(found):
         wanted = F.broadcast(wanted)
-    grams = texts.join(wanted, "k", "left_semi").mapInArrow(_grams(n), "k binary, grams array<bigint>").dropDuplicates(["k"])
+    grams = texts.join(wanted, "k", "left_semi").mapInArrow(eased(_grams(n)), "k binary, grams array<bigint>").dropDuplicates(["k"])
     together = found.join(grams, "k").repartition("g").sortWithinPartitions("g").select("g", "k", "partners", "grams")
-    pairs = together.mapInArrow(_verify(threshold), "ka binary, kb binary, both int, either int")
+    pairs = together.mapInArrow(eased(_verify(threshold)), "ka binary, kb binary, both int, either int")
     return pairs.select("ka", "kb", (F.col("both").cast("double") / F.col("either").cast("double")).alias("jaccard"))
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrylens.llm.textblock import Lookup, blocks, raw, span_hash, word_spans
+from quarrylens.llm.textblock import Lookup, blocks, eased, raw, span_hash, word_spans
 from quarrylens.llm.bpe import gather
 from quarrylens.runtime import ship
 
@@ -239,7 +239,7 @@ def identify(docs: DataFrame, model: PieceModel, text: str = "text", keep: list[
                 yield pa.RecordBatch.from_arrays(out, [*columns, *(f.name for f in extra)])
 
     need = list(dict.fromkeys([*columns, text]))
-    return docs.select(*[f"`{c}`" for c in need]).mapInArrow(run, T.StructType(kept + extra))
+    return docs.select(*[f"`{c}`" for c in need]).mapInArrow(eased(run), T.StructType(kept + extra))
 
 
 def evidence(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

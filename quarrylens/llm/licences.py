@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylens.llm.textblock import blocks, gram_hash, put_lists, raw, span_hash
+from quarrylens.llm.textblock import blocks, eased, gram_hash, put_lists, raw, span_hash
 from quarrylens.runtime import materialize, ship, small_side
 
 N = 3
@@ -98,7 +98,7 @@ def license_spans(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, doc
     known = spark.createDataFrame(template_grams(templates), "gram bigint, license string, tpos int")
     sizes = spark.createDataFrame(list(size.items()), "license string, words int")
     table = F.broadcast(known.join(F.broadcast(sizes), "license"))  # as large as the given templates
-    grams = texts.mapInArrow(_hashes, f"d {kind}, t bigint, grams array<bigint>").select("d", "t", F.posexplode("grams").alias("pos", "gram"))
+    grams = texts.mapInArrow(eased(_hashes), f"d {kind}, t bigint, grams array<bigint>").select("d", "t", F.posexplode("grams").alias("pos", "gram"))
     votes = grams.join(table, "gram").groupBy("d", "t", "license", "words", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(F.count_distinct("tpos").alias("n"), F.min("pos").alias("a"), (F.max("pos") + N - 1).alias("z"))
     w = Window.partitionBy("d", "t", "license").orderBy("diagonal", "a")
     near = (F.col("diagonal") - F.lag("diagonal").over(w) <= GAP) & (F.col("a") <= F.max("z").over(w.rowsBetween(Window.unboundedPreceding, -1)) + GAP)
@@ -135,7 +135,7 @@ def license_spans(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, doc
                             covers.append(share)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int32())), b.column(1).take(pa.array(rows, pa.int32())), pa.array(names, pa.string()), pa.array(a, pa.int32()), pa.array(z, pa.int32()), pa.array(votes, pa.int64()), pa.array(covers, pa.float64())], ["d", "t", "license", "a", "z", "votes", "coverage"])
 
-    found = mine.mapInArrow(verify, f"d {kind}, t bigint, license string, a int, z int, votes bigint, coverage double").distinct()
+    found = mine.mapInArrow(eased(verify), f"d {kind}, t bigint, license string, a int, z int, votes bigint, coverage double").distinct()
     found = found.join(F.broadcast(sizes), "license")  # as large as the given templates
     o = Window.partitionBy("d", "t").orderBy("a", "z")
     linked = found.withColumn("n", F.when(F.col("a") <= F.max("z").over(o.rowsBetween(Window.unboundedPreceding, -1)), 0).otherwise(1)).withColumn("g", F.sum("n").over(o))

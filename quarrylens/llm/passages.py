@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from quarrylens.llm.components import components
 from quarrylens.llm.jaccard import groups
-from quarrylens.llm.textblock import MULT, blocks, gram_hash, mix, put_lists, put_strings, raw, span_hash, text_nulls, word_spans
+from quarrylens.llm.textblock import MULT, blocks, eased, gram_hash, mix, put_lists, put_strings, raw, span_hash, text_nulls, word_spans
 from quarrylens.runtime import materialize, ship, small_side
 
 WORDS = 20
@@ -239,21 +239,21 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     place = F.struct("d", "t", "s", "e")
 
     # sentence runs, equal in all their words
-    runs = texts.mapInArrow(_emit_runs, f"h bigint, h2 int, d {kind}, t int, s int, e int")
+    runs = texts.mapInArrow(eased(_emit_runs), f"h bigint, h2 int, d {kind}, t int, s int, e int")
     same = Window.partitionBy("h", "h2").orderBy(*order)
     runs = runs.withColumn("o", F.first(place).over(same)).where(~F.col("o").eqNullSafe(place))
 
     # lines, alike by MinHash
-    lines = texts.mapInArrow(_emit_lines(False), f"line bigint, d {kind}, t int, s int, e int, bands array<bigint>")
+    lines = texts.mapInArrow(eased(_emit_lines(False)), f"line bigint, d {kind}, t int, s int, e int, bands array<bigint>")
     known = materialize(lines.groupBy("line").agg(F.first("bands").alias("bands")))
     posted = known.select(F.posexplode("bands").alias("p", "band"), "line")
     edges = posted.groupBy("p", "band").agg(F.min("line").alias("least"), F.collect_set("line").alias("lines")).where(F.size("lines") > 1)
     edges = edges.select(F.explode("lines").alias("a"), F.col("least").alias("b"))
     candidates = materialize(components(edges).select(F.col("node").alias("line"), F.col("component").alias("c")))
     side = F.broadcast(candidates) if small_side(candidates) else candidates
-    grams = texts.mapInArrow(_emit_lines(True), f"line bigint, d {kind}, t int, s int, e int, bands array<bigint>, grams array<bigint>").join(side, "line").select("line", "c", "bands", "grams")
+    grams = texts.mapInArrow(eased(_emit_lines(True)), f"line bigint, d {kind}, t int, s int, e int, bands array<bigint>, grams array<bigint>").join(side, "line").select("line", "c", "bands", "grams")
     gathered = grams.groupBy("line").agg(F.first("c").alias("c"), F.first("bands").alias("bands"), F.first("grams").alias("grams"))
-    clusters = materialize(gathered.repartition("c").sortWithinPartitions("c").mapInArrow(_clusters(threshold), "line bigint, cluster bigint"))
+    clusters = materialize(gathered.repartition("c").sortWithinPartitions("c").mapInArrow(eased(_clusters(threshold)), "line bigint, cluster bigint"))
     side = F.broadcast(clusters) if small_side(clusters) else clusters
     alike = Window.partitionBy("cluster").orderBy(*order)
     near = lines.drop("bands").join(side, "line").withColumn("o", F.first(place).over(alike)).where(~F.col("o").eqNullSafe(place))
@@ -309,7 +309,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars:
     keyed = docs.withColumn("__t", text_mark(text))
     joined = keyed.join(side, F.col(doc_id).eqNullSafe(F.col("__d")) & F.col("__t").eqNullSafe(F.col("__m")), "left").drop("__d", "__m", "__t")
     columns = docs.columns
-    cut = joined.where("__spans is not null").mapInArrow(_cut(columns, text), docs.schema).where(F.col(text).rlike(r"\S"))
+    cut = joined.where("__spans is not null").mapInArrow(eased(_cut(columns, text)), docs.schema).where(F.col(text).rlike(r"\S"))
     if n_chars in columns:
         cut = cut.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType))
     return joined.where("__spans is null").select(columns).union(cut.select(columns))

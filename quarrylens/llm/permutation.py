@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylens.llm.textblock import eased
 from quarrylens.runtime import materialize, ship
 
 K = 10
@@ -128,7 +129,7 @@ def nearest(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
             yield pa.RecordBatch.from_arrays([pa.array(rows_.astype(np.int32)), pa.array(ids[at]), pa.array(got[rows_, cols]), b.column(1).take(pa.array(at))], ["q", "id", "sim", "v"])
 
     w = Window.partitionBy("q").orderBy(F.desc("sim"), "id")
-    exact = rows.mapInArrow(truth, "q int, id bigint, sim float, v array<float>").withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).toArrow()
+    exact = rows.mapInArrow(eased(truth), "q int, id bigint, sim float, v array<float>").withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).toArrow()
     least = 1
     if exact.num_rows:
         a = places(prefixes(sample, pivots, m), count)[np.asarray(exact["q"])]
@@ -164,8 +165,8 @@ def nearest(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
         if q:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(q)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sims))], ["vec_id", "neighbour", "similarity"])
 
-    posted = rows.mapInArrow(post, "id bigint, v array<float>, prefix array<int>").select(F.explode("prefix").alias("pivot"), "id", "v", "prefix")
-    found = posted.repartition("pivot").sortWithinPartitions("pivot").mapInArrow(answer, "vec_id bigint, neighbour bigint, similarity float")
+    posted = rows.mapInArrow(eased(post), "id bigint, v array<float>, prefix array<int>").select(F.explode("prefix").alias("pivot"), "id", "v", "prefix")
+    found = posted.repartition("pivot").sortWithinPartitions("pivot").mapInArrow(eased(answer), "vec_id bigint, neighbour bigint, similarity float")
     w = Window.partitionBy("vec_id").orderBy(F.desc("similarity"), "neighbour")
     ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select("vec_id", "neighbour", "rank", F.round(F.col("similarity").cast("double"), 5).alias("similarity"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrylens.llm.textblock import blocks, raw, span_hash, word_spans
+from quarrylens.llm.textblock import blocks, eased, raw, span_hash, word_spans
 from quarrylens.runtime import materialize, ship, small_side
 
 SAMPLE = 4000  # labelled documents to fit on, about
@@ -113,7 +113,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str
                 x = features(b.column(1))
                 yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int32()), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))], ["y", "x"])
 
-    got = rows.mapInArrow(run, "y int, x array<float>").toArrow()
+    got = rows.mapInArrow(eased(run), "y int, x array<float>").toArrow()
     if not got.num_rows:
         return np.zeros(DENSE + BUCKETS), 0.0, 0.5
     x = np.asarray(got["x"].combine_chunks().flatten()).reshape(got.num_rows, -1)
@@ -133,7 +133,7 @@ def evidence(docs: DataFrame, model: tuple[np.ndarray, float, float], text: str,
                 e = np.clip(features(b.column(len(keep))) @ w + b0, -12, 12)
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(e)], [*keep, "evidence"])
 
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(eased(run), schema)
 
 
 def _strength(sites: DataFrame, centre) -> F.Column:
