@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 GENERATED_SEGMENTS = (
-    "__pycache__ .pytest_cache .mypy_cache .ruff_cache .git build dist aci.egg-info .eggs .venv venv env .tox htmlcov .coverage "
+    "__pycache__ .pytest_cache .mypy_cache .ruff_cache .git build dist .eggs .venv venv env .tox htmlcov .coverage "
     "node_modules bower_components _vendor vendor vendored third_party third-party site-packages .claude workspace"
 ).split()
 TEXT_SUFFIXES = ".py .js .jsx .ts .tsx .go .rs .java .cs .kt .kts .sh .bash .sql .tf .hcl .md .txt .toml .yml .yaml .json".split()

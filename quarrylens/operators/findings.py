@@ -132,7 +132,7 @@ def report_rows(rows: DataFrame) -> DataFrame:
     full = numbered(rows).withColumns(
         {
             "finding_id": F.concat(F.when(external, "F-EXT-").otherwise("F-SCAN-"), F.format_string("%04d", "emitted")),
-            "actor_label": F.when(external, "external-analyzer").otherwise("ACI-detected"),
+            "actor_label": F.when(external, "external-analyzer").otherwise("native-detected"),
             "fixability": F.lit("owner-decision"),
             "evidence_ref": F.coalesce("evidence_ref", F.lit("inspection-rules")) if "evidence_ref" in rows.columns else F.lit("inspection-rules"),
             "verification_status": F.lit("executed"),

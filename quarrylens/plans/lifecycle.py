@@ -41,13 +41,13 @@ def reported(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Settled findings under all operations, as a report has them; emitted is the event's number."""
     rows = L.apply_operations(settled(spark, sf_dir), operations(spark, sf_dir))
     external = F.col("owner_lane") == "external-analyzer"
-    return rows.withColumns({"finding_id": F.concat(F.lit("F-"), "event_id"), "actor_label": F.when(external, "external-analyzer").otherwise("ACI-detected"), "target_file": F.col("path"), "emitted": F.col("event_id")})
+    return rows.withColumns({"finding_id": F.concat(F.lit("F-"), "event_id"), "actor_label": F.when(external, "external-analyzer").otherwise("native-detected"), "target_file": F.col("path"), "emitted": F.col("event_id")})
 
 
 OPERATED_SQL = f"""{SETTLED_SQL}, {ENTRIES_SQL},
 kept AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM nation WHERE contains(s.path, '/m' || (n_nationkey * 18) || '.py') OR contains(s.reason, '/m' || (n_nationkey * 18) || '.py'))),
 r AS (
-  SELECT s.*, 'F-' || event_id AS finding_id, CASE WHEN owner_lane = 'external-analyzer' THEN 'external-analyzer' ELSE 'ACI-detected' END AS actor_label, 'medium' AS confidence, 'P2' AS priority,
+  SELECT s.*, 'F-' || event_id AS finding_id, CASE WHEN owner_lane = 'external-analyzer' THEN 'external-analyzer' ELSE 'native-detected' END AS actor_label, 'medium' AS confidence, 'P2' AS priority,
     CASE WHEN EXISTS (SELECT 1 FROM e WHERE {MEANS_SQL}) THEN 'existing-baseline' ELSE 'new' END AS baseline_status,
     CASE WHEN EXISTS (SELECT 1 FROM e WHERE ordinal >= 50 AND {MEANS_SQL}) THEN 'active-waiver' ELSE 'none' END AS waiver_status,
     CASE WHEN EXISTS (SELECT 1 FROM e WHERE ordinal >= 50 AND {MEANS_SQL}) THEN 'accepted' ELSE 'open' END AS lifecycle_state,

@@ -104,7 +104,7 @@ def preset_filters(root: str, mode: str, include: list[str], exclude: list[str])
     return chosen, sorted({*tidy(exclude), *there(drop)})
 
 
-def ignore_patterns(root: str, file: str = ".aciignore") -> list[str]:
+def ignore_patterns(root: str, file: str = ".inspectignore") -> list[str]:
     """Path prefixes of an ignore file; # begins a comment."""
     at = os.path.join(root, file)
     if not os.path.isfile(at):
