@@ -28,7 +28,7 @@ from quarrylens.llm.textblock import MULT, blocks, eased, put_lists, put_strings
 from quarrylens.runtime import ship
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
-CHUNK = 16 << 20
+CHUNK = 8 << 20
 SLOT_BITS = 19
 WORDS_KEPT = 1 << 20
 
