@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quarrylens.llm.bpe import bpe_encode
 from quarrylens.llm.jaccard import drop_near_duplicates
 from quarrylens.llm.langid import identify, train_pieces
-from quarrylens.llm.mixing import mix_sources, temperature_weights
+from quarrylens.llm.mixing import EPOCHS, mix_sources, temperature_weights
 from quarrylens.llm.passages import dedup
 from quarrylens.runtime import materialize
 
@@ -28,8 +28,8 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the target weights take, shard by shard, each shard shuffled."""
-    return mix_sources(docs, temperature_weights(docs)).where("mix_place >= 0").select(docs.columns)
+    """Every document, those of scarce sources repeated towards the target weights, shard by shard, each shard shuffled."""
+    return mix_sources(docs, temperature_weights(docs), epochs=EPOCHS).where("mix_place >= 0").select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,11 +28,13 @@ from pyspark.sql import types as T
 
 BLOCK = 64  # documents a block
 SLICE = 20000  # documents a slice of a source's order, about
+EPOCHS = 4  # times that a scarce source is gone through at most, where all documents are to be taken
 
 
-def quotas(counts: Mapping[str, int], weights: Mapping[str, float]) -> dict[str, int]:
+def quotas(counts: Mapping[str, int], weights: Mapping[str, float], epochs: int | None = None) -> dict[str, int]:
     """Documents to take of each source: in proportion to its weight, none more than it has, as many in all as that allows; what
-    rounding down leaves over goes to the largest remainders."""
+    rounding down leaves over goes to the largest remainders. With epochs: in proportion to its weight, all that it has at least, as few in
+    all as that allows, and up to `epochs` times what it has."""
     w = {s: float(weights.get(s, 0.0)) for s, n in counts.items() if n > 0}
     if any(not math.isfinite(x) or x < 0 for x in w.values()):
         raise ValueError("weights must be finite and not negative")
@@ -40,6 +42,11 @@ def quotas(counts: Mapping[str, int], weights: Mapping[str, float]) -> dict[str,
     total = sum(w.values())
     if not total:
         return {}
+    if epochs is not None:
+        if epochs < 1:
+            raise ValueError("epochs must be at least 1")
+        scale = max(counts[s] / w[s] for s in w)
+        return {s: max(counts[s], min(epochs * counts[s], math.floor(scale * x + 0.5))) for s, x in w.items()}
     most = min(counts[s] * total / w[s] for s in w)
     want = {s: most * w[s] / total for s in w}
     out = {s: min(counts[s], math.floor(x + 1e-9)) for s, x in want.items()}
@@ -76,9 +83,9 @@ def split_tree(blocks: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, source: str = "source", doc_id: str = "doc_id", seed: int = 11, shards: int | None = None, block: int = BLOCK) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, source: str = "source", doc_id: str = "doc_id", seed: int = 11, shards: int | None = None, block: int = BLOCK, epochs: int | None = None) -> DataFrame:
     """The documents of the mixture, with all their columns, and mix_shard int, mix_block long (of the source) and mix_place long: the place
-    in the shard after its local shuffle, from 0."""
+    in the shard after its local shuffle, from 0. A document that is taken in several epochs has a row for each."""
     spark = docs.sparkSession
     added = ["mix_shard", "mix_block", "mix_place"]
     docs = docs.drop(*added)
@@ -86,7 +93,7 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, sou
     order = F.xxhash64(F.lit(seed), doc_id, *[f"`{c}`" for c in content])
     keyed = docs.where(F.col(source).isNotNull()).withColumn("__o", order)
     counts = {r[0]: r[1] for r in docs.where(F.col(source).isNotNull()).groupBy(source).agg(F.count("*")).collect()}
-    take = quotas(counts, weights if weights is not None else {s: 1.0 for s in counts})
+    take = quotas(counts, weights if weights is not None else {s: 1.0 for s in counts}, epochs)
     take = {s: n for s, n in sorted(take.items()) if n > 0}
     names = list(take)
     n_blocks = np.array([-(-take[s] // block) for s in names], np.int64)
@@ -99,7 +106,7 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, sou
 
     # slices of each source's order, and the rank where each begins
     n_slices = {s: max(1, round(counts[s] / SLICE)) for s in names}
-    info = spark.createDataFrame([(s, take[s], n_slices[s]) for s in names], T.StructType([T.StructField("__s", docs.schema[source].dataType), T.StructField("__take", T.LongType()), T.StructField("__slices", T.IntegerType())]))
+    info = spark.createDataFrame([(s, take[s], counts[s], n_slices[s]) for s in names], T.StructType([T.StructField("__s", docs.schema[source].dataType), T.StructField("__take", T.LongType()), T.StructField("__have", T.LongType()), T.StructField("__slices", T.IntegerType())]))
     info = F.broadcast(info) if len(names) <= 100_000 else info
     unit = (F.shiftrightunsigned("__o", 33)).cast("double") / F.lit(float(2**31))
     keyed = keyed.join(info, F.col(source) == F.col("__s")).withColumn("__slice", F.floor(unit * F.col("__slices")).cast("int"))
@@ -109,6 +116,8 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, sou
     if sum(n_slices.values()) <= 200_000:
         begins = F.broadcast(begins)
     placed = ranked.join(begins, ["__s", "__slice"]).withColumn("__rank", F.col("__begin") + F.col("__r") - 1).where("__rank < __take")
+    if epochs is not None:  # the places that a document has in the order gone through again and again
+        placed = placed.withColumn("__rank", F.explode(F.sequence(F.col("__rank"), F.col("__take") - 1, F.col("__have"))))
     placed = placed.withColumn("mix_block", F.floor(F.col("__rank") / block).cast("long"))
 
     # the shards' ranges of each source's blocks
@@ -130,5 +139,5 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, sou
     if int(n_blocks.sum()) <= 200_000:
         per_block = F.broadcast(per_block)
     placed = placed.join(per_block, (F.col("__s") == F.col("__rs")) & (F.col("mix_block") == F.col("__b")))
-    local = Window.partitionBy("mix_shard").orderBy(F.xxhash64("__o", F.lit(seed + 1)), "__o", "__s", "__rank")
+    local = Window.partitionBy("mix_shard").orderBy(F.xxhash64("__o", F.lit(seed + 1), F.floor(F.col("__rank") / F.col("__have"))), "__o", "__s", "__rank")
     return placed.withColumn("mix_place", F.row_number().over(local).cast("long") - 1).select(*[f"`{c}`" for c in docs.columns], *added)

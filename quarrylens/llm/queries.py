@@ -11,7 +11,7 @@ from quarrylens.llm.ctw import code_lengths
 from quarrylens.llm.jaccard import jaccard_join
 from quarrylens.llm.langid import identify, train_pieces
 from quarrylens.llm.licences import license_spans
-from quarrylens.llm.mixing import mix_sources, temperature_weights
+from quarrylens.llm.mixing import EPOCHS, mix_sources, temperature_weights
 from quarrylens.llm.passages import substring_repeats
 from quarrylens.llm.perplexity import perplexity_bands
 from quarrylens.llm.permutation import nearest
@@ -49,9 +49,9 @@ def op5_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mixture of all sources at flattened weights: shard, block and place of each document taken."""
+    """The mixture of all sources at flattened weights: shard, block and place of every document, those of scarce sources repeated."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "source")
-    return mix_sources(docs, temperature_weights(docs))
+    return mix_sources(docs, temperature_weights(docs), epochs=EPOCHS)
 
 
 def op7_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,3 +47,28 @@ def test_odd_rows(odd, none):
     assert out.columns.count("mix_shard") == 1
     assert mix_sources(none).count() == 0 and mix_sources(odd, {"a": 0.0}).count() == 0
     assert {r["source"] for r in mix_sources(odd, {"a": 2.0, "zzz": 5.0}).collect()} == {"a"}
+
+
+def test_a_tiny_source_and_a_hot_one_lose_nothing(spark):
+    """One source of one document bound all others to its share; a hot one lost most of what it had."""
+    counts = {"hot": 400, "tiny": 1} | {f"s{k}": 20 for k in range(20)}
+    rows = [(i, s) for i, s in enumerate(s for s, n in counts.items() for _ in range(n))]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    got = mix_sources(docs, temperature_weights(docs), block=8, shards=5, epochs=4).collect()
+    times = Counter(r["doc_id"] for r in got)
+    assert set(times) == {i for i, _ in rows} and max(times.values()) == 4
+    n = Counter(r["source"] for r in got)
+    assert n == {"hot": 400, "tiny": 4} | {f"s{k}": 80 for k in range(20)}  # at square roots 20 and 89 would be due: four times at most
+    assert len({(r["mix_shard"], r["mix_place"]) for r in got}) == len(got)
+    assert quotas({"a": 900, "b": 400}, {"a": 30, "b": 20}, 4) == {"a": 900, "b": 600}
+    assert quotas({"a": 9, "b": 1}, {"a": 3, "b": 1, "c": 5}, 4) == {"a": 9, "b": 3}
+
+
+def test_query_and_pipeline_keep_every_document(spark, tmp_path):
+    import corpus_pipeline as C
+    from quarrylens.llm.queries import QUERIES
+
+    docs = spark.createDataFrame([(i, f"t {i}", "en", "tiny" if i == 0 else "ab"[i % 5 == 0], 1) for i in range(300)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for out in (QUERIES["op6_source_mixing"](spark, str(tmp_path)), C.mixture(spark, docs, str(tmp_path))):
+        assert {r["doc_id"] for r in out.select("doc_id").collect()} == set(range(300))
