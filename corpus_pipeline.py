@@ -29,7 +29,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, those of scarce sources repeated towards the target weights, shard by shard, each shard shuffled."""
-    return mix_sources(docs, temperature_weights(docs), epochs=EPOCHS).where("mix_place >= 0").select(docs.columns)
+    return mix_sources(docs, temperature_weights(docs, nulls=True), epochs=EPOCHS).where("mix_place >= 0").select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

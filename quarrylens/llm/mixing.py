@@ -10,8 +10,8 @@ within one. Leaves take disjoint ranges of each source's permuted blocks; the do
 A source's order is never sorted in one place: documents are counted by (source, slice of the hash), slices give the ranks where they
 begin, and a window ranks inside a slice; the slices get as many as the source is large.
 
-Defined results: a source without a weight, a null source among them, has weight 0 and gives nothing; weights of sources that are not
-there are left out. Without weights, each source that is there weighs the same. Rows of equal hash (repeated rows) are in an order that
+Defined results: a null source is a source of its own, of the key None. A source without a weight has weight 0 and gives nothing; weights
+of sources that are not there are left out. Without weights, each source that is there weighs the same. Rows of equal hash (repeated rows) are in an order that
 depends on the partitions' order alone; each still has its own place. An empty table, or weights that are all zero, give no rows. Null
 and empty texts are documents like any other.
 """
@@ -31,6 +31,10 @@ SLICE = 20000  # documents a slice of a source's order, about
 EPOCHS = 4  # times that a scarce source is gone through at most, where all documents are to be taken
 
 
+def _order(source: object) -> tuple:
+    return (source is not None, 0 if source is None else source)
+
+
 def quotas(counts: Mapping[str, int], weights: Mapping[str, float], epochs: int | None = None) -> dict[str, int]:
     """Documents to take of each source: in proportion to its weight, none more than it has, as many in all as that allows; what
     rounding down leaves over goes to the largest remainders. With epochs: in proportion to its weight, all that it has at least, as few in
@@ -51,16 +55,16 @@ def quotas(counts: Mapping[str, int], weights: Mapping[str, float], epochs: int
     want = {s: most * w[s] / total for s in w}
     out = {s: min(counts[s], math.floor(x + 1e-9)) for s, x in want.items()}
     spare = math.floor(most + 1e-9) - sum(out.values())
-    for s in sorted(w, key=lambda s: (out[s] - want[s], s)):
+    for s in sorted(w, key=lambda s: (out[s] - want[s], _order(s))):
         if spare > 0 and out[s] < counts[s]:
             out[s] += 1
             spare -= 1
     return out
 
 
-def temperature_weights(docs: DataFrame, power: float = 0.5, source: str = "source") -> dict[str, float]:
-    """Target weights that flatten the sources' sizes: each source's documents to a power."""
-    return {r[0]: float(r[1]) ** power for r in docs.where(F.col(source).isNotNull()).groupBy(source).agg(F.count("*")).collect()}
+def temperature_weights(docs: DataFrame, power: float = 0.5, source: str = "source", nulls: bool = False) -> dict[str | None, float]:
+    """Target weights that flatten the sources' sizes: each source's documents to a power; with nulls, the null source's too."""
+    return {r[0]: float(r[1]) ** power for r in docs.where(F.lit(nulls) | F.col(source).isNotNull()).groupBy(source).agg(F.count("*")).collect()}
 
 
 def split_tree(blocks: np.ndarray, shards: int, seed: int) -> np.ndarray:
@@ -91,10 +95,10 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, sou
     docs = docs.drop(*added)
     content = [c for c in docs.columns if c != doc_id and not isinstance(docs.schema[c].dataType, (T.MapType, T.VariantType))]
     order = F.xxhash64(F.lit(seed), doc_id, *[f"`{c}`" for c in content])
-    keyed = docs.where(F.col(source).isNotNull()).withColumn("__o", order)
-    counts = {r[0]: r[1] for r in docs.where(F.col(source).isNotNull()).groupBy(source).agg(F.count("*")).collect()}
+    keyed = docs.withColumn("__o", order)
+    counts = {r[0]: r[1] for r in docs.groupBy(source).agg(F.count("*")).collect()}
     take = quotas(counts, weights if weights is not None else {s: 1.0 for s in counts}, epochs)
-    take = {s: n for s, n in sorted(take.items()) if n > 0}
+    take = {s: n for s, n in sorted(take.items(), key=lambda x: _order(x[0])) if n > 0}
     names = list(take)
     n_blocks = np.array([-(-take[s] // block) for s in names], np.int64)
     if shards is None:
@@ -106,10 +110,10 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, sou
 
     # slices of each source's order, and the rank where each begins
     n_slices = {s: max(1, round(counts[s] / SLICE)) for s in names}
-    info = spark.createDataFrame([(s, take[s], counts[s], n_slices[s]) for s in names], T.StructType([T.StructField("__s", docs.schema[source].dataType), T.StructField("__take", T.LongType()), T.StructField("__have", T.LongType()), T.StructField("__slices", T.IntegerType())]))
+    info = spark.createDataFrame([(s, j, take[s], counts[s], n_slices[s]) for j, s in enumerate(names)], T.StructType([T.StructField("__v", docs.schema[source].dataType), T.StructField("__s", T.IntegerType()), T.StructField("__take", T.LongType()), T.StructField("__have", T.LongType()), T.StructField("__slices", T.IntegerType())]))
     info = F.broadcast(info) if len(names) <= 100_000 else info
     unit = (F.shiftrightunsigned("__o", 33)).cast("double") / F.lit(float(2**31))
-    keyed = keyed.join(info, F.col(source) == F.col("__s")).withColumn("__slice", F.floor(unit * F.col("__slices")).cast("int"))
+    keyed = keyed.join(info, F.col(source).eqNullSafe(F.col("__v"))).withColumn("__slice", F.floor(unit * F.col("__slices")).cast("int"))
     begins = keyed.groupBy("__s", "__slice").agg(F.count("*").alias("n"))
     begins = begins.withColumn("__begin", F.sum("n").over(Window.partitionBy("__s").orderBy("__slice")) - F.col("n")).drop("n")
     ranked = keyed.withColumn("__r", F.row_number().over(Window.partitionBy("__s", "__slice").orderBy(F.shiftrightunsigned("__o", 33), "__o")))
@@ -122,18 +126,18 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, sou
 
     # the shards' ranges of each source's blocks
     starts = to - deal
-    ranges = [(names[j], [int(x) for x in np.flatnonzero(deal[:, j])], [int(x) for x in starts[deal[:, j] > 0, j]]) for j in range(len(names))]
-    ranges = spark.createDataFrame(ranges, T.StructType([T.StructField("__rs", docs.schema[source].dataType), T.StructField("__shards", T.ArrayType(T.IntegerType())), T.StructField("__starts", T.ArrayType(T.LongType()))]))
+    ranges = [(j, [int(x) for x in np.flatnonzero(deal[:, j])], [int(x) for x in starts[deal[:, j] > 0, j]]) for j in range(len(names))]
+    ranges = spark.createDataFrame(ranges, T.StructType([T.StructField("__rs", T.IntegerType()), T.StructField("__shards", T.ArrayType(T.IntegerType())), T.StructField("__starts", T.ArrayType(T.LongType()))]))
     per_block = ranges.select("__rs", F.explode(F.arrays_zip("__shards", "__starts")).alias("z"), "__starts", F.size("__starts").alias("k"))
-    limits = {s: int(b) for s, b in zip(names, n_blocks, strict=True)}
-    ends = F.create_map(*[x for s in names for x in (F.lit(s), F.lit(limits[s]))]) if len(names) <= 1000 else None
+    limits = {j: int(b) for j, b in enumerate(n_blocks)}
+    ends = F.create_map(*[x for j in limits for x in (F.lit(j), F.lit(limits[j]))]) if len(names) <= 1000 else None
     span = Window.partitionBy("__rs").orderBy("z.__starts")
     stop = F.lead("z.__starts").over(span)
     per_block = per_block.select("__rs", F.col("z.__shards").alias("mix_shard"), F.col("z.__starts").alias("a"), stop.alias("b"))
     if ends is not None:
         per_block = per_block.withColumn("b", F.coalesce("b", ends[F.col("__rs")]))
     else:
-        last = spark.createDataFrame(list(limits.items()), T.StructType([T.StructField("__rs", docs.schema[source].dataType), T.StructField("z", T.LongType())]))
+        last = spark.createDataFrame(list(limits.items()), T.StructType([T.StructField("__rs", T.IntegerType()), T.StructField("z", T.LongType())]))
         per_block = per_block.join(last, "__rs").withColumn("b", F.coalesce("b", "z")).drop("z")
     per_block = per_block.select("__rs", "mix_shard", F.explode(F.sequence(F.col("a"), F.col("b") - 1)).alias("__b"))
     if int(n_blocks.sum()) <= 200_000:

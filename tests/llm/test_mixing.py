@@ -72,3 +72,13 @@ def test_query_and_pipeline_keep_every_document(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     for out in (QUERIES["op6_source_mixing"](spark, str(tmp_path)), C.mixture(spark, docs, str(tmp_path))):
         assert {r["doc_id"] for r in out.select("doc_id").collect()} == set(range(300))
+
+
+def test_null_is_a_source_of_its_own(spark, tmp_path):
+    from quarrylens.llm.queries import QUERIES
+
+    docs = spark.createDataFrame([(i, [None, "a", "b"][i % 3]) for i in range(90)], "doc_id long, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert Counter(r["source"] for r in QUERIES["op6_source_mixing"](spark, str(tmp_path)).collect()) == {None: 30, "a": 30, "b": 30}
+    assert Counter(r["source"] for r in mix_sources(docs, {None: 1, "a": 2}).collect()) == {None: 15, "a": 30}
+    assert {r["source"] for r in mix_sources(docs, {"a": 2}).collect()} == {"a"}
