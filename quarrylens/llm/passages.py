@@ -1,11 +1,13 @@
 """Operator 3: substring dedup by paragraph MinHash banding.
 
-Two kinds of paragraph are compared. Lines of at least WORDS words are banded: PERMUTATIONS least hashes of a line's word 3-grams in
+Three kinds of paragraph are compared. Lines of at least WORDS words are banded: PERMUTATIONS least hashes of a line's word 3-grams in
 BANDS bands of ROWS (a pair of Jaccard 0.7 shares a band with a chance of 0.985, one of 0.8 with 0.9993), lines that share a band join,
 the join's components gather what has to be compared, and inside a component the exact Jaccard of the 3-gram sets decides about each pair
 that shares a band, until the component's clusters are known. Sentence runs, from each sentence start the least whole sentences that
 have WORDS words, have a single band of all their words in order (two hashes, 96 bits), so that a passage set in the middle of other
-paragraphs is found by the runs inside it. Of each cluster the first paragraph stays, in the order of id, text and place; the others
+paragraphs is found by the runs inside it. Windows of WORDS words find what starts and ends anywhere: of each REACH windows in a row the one of least
+hash is posted, so that a repeat of WORDS + REACH - 1 words shares one with its like wherever it lies, and every window less than REACH
+words from a shared one is then compared by the hashes of sentence runs. Such a repeat is found whole, to the word. Of each cluster the first paragraph stays, in the order of id, text and place; the others
 are removed, as spans that are merged where they touch. What a span holds therefore stays in an earlier place.
 
 Defined results: null, empty and short texts have no paragraphs. Rows of equal id and text are one document, whose own copy is no
@@ -27,6 +29,7 @@ from quarrylens.llm.textblock import MULT, blocks, eased, gram_hash, mix, put_li
 from quarrylens.runtime import materialize, ship, small_side
 
 WORDS = 20
+REACH = 31  # windows in a row of which one is posted: repeats of 50 words are found
 N = 3
 BANDS, ROWS = 10, 3
 THRESHOLD = 0.7
@@ -108,6 +111,29 @@ class Paragraphs:
         ok = (want <= doc_end) & (last <= doc_end)
         return first[ok], last[ok]
 
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """First and last word (excluded) of all windows of WORDS words inside a text."""
+        first = np.arange(max(0, len(self.starts) - WORDS + 1))
+        first = first[self.doc[first] == self.doc[first + WORDS - 1]]
+        return first, first + WORDS
+
+    def picks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First and last word (excluded) and the two hashes of the windows that are least of some REACH in a row, or of all their text has."""
+        first, last = self.windows()
+        h, h2 = run_hashes(self.hash, first, last)
+        doc = self.doc[first]
+        cut = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
+        size = np.diff(np.append(cut, len(doc)))
+        least = np.repeat(np.minimum.reduceat(h, cut), size) if len(doc) else h
+        at = [np.flatnonzero((h == least) & (np.repeat(size, size) < REACH))]
+        if len(h) >= REACH:
+            rows = np.arange(len(h) - REACH + 1)
+            rows = rows[doc[rows] == doc[rows + REACH - 1]]
+            view = np.lib.stride_tricks.sliding_window_view(h, REACH)
+            at += [some + view[some].argmin(1) for some in np.array_split(rows, len(rows) // 50_000 + 1)]
+        at = np.unique(np.concatenate(at))
+        return first[at], last[at], h[at], h2[at]
+
     def lines(self) -> tuple[np.ndarray, np.ndarray]:
         first = np.flatnonzero(self.new_line)
         last = np.append(first[1:], len(self.starts))
@@ -152,6 +178,39 @@ def _emit_runs(batches):
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(h2), b.column(0).take(at), b.column(1).take(at), pa.array(s), pa.array(e)], ["h", "h2", "d", "t", "s", "e"])
 
 
+def _emit_picks(batches):
+    for batch in batches:
+        for b in blocks(batch, "text"):
+            p = Paragraphs(b.column(2))
+            first, _, h, h2 = p.picks()
+            doc = p.doc[first]
+            at = pa.array(doc)
+            place = (first - np.searchsorted(p.doc, doc)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(h2), b.column(0).take(at), b.column(1).take(at), pa.array(place)], ["h", "h2", "d", "t", "at"])
+
+
+def _emit_near(batches):
+    """The windows less than REACH words from the first words in column at."""
+    for batch in batches:
+        for b in blocks(batch, "text"):
+            p = Paragraphs(b.column(2))
+            first, last = p.windows()
+            lists = b.column(3)
+            row = np.repeat(np.arange(b.num_rows), np.asarray(pc.list_value_length(lists)))
+            centre = np.asarray(lists.flatten()).astype(np.int64) + np.searchsorted(p.doc, row)
+            lo = np.maximum(centre - REACH + 1, np.searchsorted(p.doc, row))
+            hi = np.minimum(centre + REACH, np.searchsorted(p.doc, row, side="right"))
+            near = np.zeros(len(p.starts) + 1, np.int64)
+            np.add.at(near, lo, 1)
+            np.add.at(near, hi, -1)
+            some = (np.cumsum(near) > 0)[first]
+            first, last = first[some], last[some]
+            h, h2 = run_hashes(p.hash, first, last)
+            s, e = p.place(first, last)
+            at = pa.array(p.doc[first])
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(h2), b.column(0).take(at), b.column(1).take(at), pa.array(s), pa.array(e)], ["h", "h2", "d", "t", "s", "e"])
+
+
 def _emit_lines(with_grams: bool):
     def run(batches):
         for batch in batches:
@@ -238,8 +297,16 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     order = [F.col("d").asc_nulls_last(), "t", "s", "e"]
     place = F.struct("d", "t", "s", "e")
 
-    # sentence runs, equal in all their words
-    runs = texts.mapInArrow(eased(_emit_runs), f"h bigint, h2 int, d {kind}, t int, s int, e int")
+    # windows near one that has its like
+    picks = texts.mapInArrow(eased(_emit_picks), f"h bigint, h2 int, d {kind}, t int, at int")
+    shared = picks.withColumn("n", F.count("*").over(Window.partitionBy("h", "h2"))).where("n > 1")
+    shared = materialize(shared.groupBy("d", "t").agg(F.collect_set("at").alias("at")))
+    side = F.broadcast(shared) if small_side(shared) else shared
+    about = texts.alias("x").join(side.alias("y"), F.col("x.d").eqNullSafe(F.col("y.d")) & (F.col("x.t") == F.col("y.t"))).select("x.d", "x.t", "x.text", "y.at")
+    near = about.mapInArrow(eased(_emit_near), f"h bigint, h2 int, d {kind}, t int, s int, e int")
+
+    # these and sentence runs, equal in all their words
+    runs = texts.mapInArrow(eased(_emit_runs), f"h bigint, h2 int, d {kind}, t int, s int, e int").union(near)
     same = Window.partitionBy("h", "h2").orderBy(*order)
     runs = runs.withColumn("o", F.first(place).over(same)).where(~F.col("o").eqNullSafe(place))
 

@@ -81,3 +81,26 @@ def test_a_document_of_nothing_but_a_repeat_goes(spark):
     text = prose(random.Random(1), 9)
     docs = spark.createDataFrame([(1, text), (2, text), (None, text), (3, "  "), (4, None)], "doc_id long, text string")
     assert sorted(str(r["doc_id"]) for r in P.dedup(docs).select(F.col("doc_id")).collect()) == ["1", "3", "4"]
+
+
+def test_repeats_of_fifty_words_are_found_whole_wherever_they_lie(spark):
+    """Passages cut from the middle of sentences, or without any, set into other lines."""
+    rng = random.Random(12)
+    own = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    passages = [own(50), own(60), " ".join(prose(rng, 14)[5:].split()[1:56]).split(), own(120)]
+    rows, want = [], {}
+    for i in range(16):
+        p = passages[i % 4]
+        before, after = own(7 + 5 * i), own(9 + 3 * i)
+        rows.append((i, " ".join(before + p + after)))
+        start = len(" ".join(before)) + 1
+        want[i] = (start, start + len(" ".join(p)))
+    # of passages[3] and what follows it, 12 words more are the same in two documents only
+    tail = own(12)
+    for i in (20, 21):
+        before = own(48)
+        rows.append((i, " ".join(before + passages[3] + tail + own(49))))
+        start = len(" ".join(before)) + 1
+        want[i] = (start, start + len(" ".join(passages[3] + (tail if i == 21 else []))))
+    got = {r["doc_id"]: (r["start"], r["end"]) for r in P.substring_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: x for i, x in want.items() if i > 3}
