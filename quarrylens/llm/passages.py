@@ -1,16 +1,20 @@
 """Operator 3: substring dedup by paragraph MinHash banding.
 
-Three kinds of paragraph are compared. Lines of at least WORDS words are banded: PERMUTATIONS least hashes of a line's word 3-grams in
+Three kinds of paragraph are compared. Lines of at least LEAST words, and the paragraphs that hard-wrapped lines make (lines of up to WRAP
+signs with no blank one between), are banded: PERMUTATIONS least hashes of a line's word 3-grams in
 BANDS bands of ROWS (a pair of Jaccard 0.7 shares a band with a chance of 0.985, one of 0.8 with 0.9993), lines that share a band join,
 the join's components gather what has to be compared, and inside a component the exact Jaccard of the 3-gram sets decides about each pair
-that shares a band, until the component's clusters are known. Sentence runs, from each sentence start the least whole sentences that
+that shares a band, until the component's clusters are known. The same lines and
+paragraphs are also compared as they are, by the hashes of all their words. Sentence runs, from each sentence start the least whole sentences that
 have WORDS words, have a single band of all their words in order (two hashes, 96 bits), so that a passage set in the middle of other
 paragraphs is found by the runs inside it. Windows of WORDS words find what starts and ends anywhere: of each REACH windows in a row the one of least
 hash is posted, so that a repeat of WORDS + REACH - 1 words shares one with its like wherever it lies, and every window less than REACH
 words from a shared one is then compared by the hashes of sentence runs. Such a repeat is found whole, to the word. Of each cluster the first paragraph stays, in the order of id, text and place; the others
 are removed, as spans that are merged where they touch. What a span holds therefore stays in an earlier place.
 
-Defined results: null, empty and short texts have no paragraphs. Rows of equal id and text are one document, whose own copy is no
+Defined results: words are runs free of white space; each sign of a script that is written without spaces (Chinese, Japanese, Thai, Lao,
+Khmer, Burmese, Tibetan) is a word of its own. Lines of fewer than LEAST words recur by chance (headings, brackets, list items) and stay
+unless a longer repeat holds them. Null, empty and short texts have no paragraphs. Rows of equal id and text are one document, whose own copy is no
 repeat; rows of a null id come last in the order. Offsets count signs, from 0, end excluded. Extra columns pass through dedup() whatever
 their names. An empty table gives no spans.
 """
@@ -29,6 +33,8 @@ from quarrylens.llm.textblock import MULT, blocks, eased, gram_hash, mix, put_li
 from quarrylens.runtime import materialize, ship, small_side
 
 WORDS = 20
+LEAST = 8  # words of a line or wrapped paragraph
+WRAP = 120  # signs of the longest hard-wrapped line
 REACH = 31  # windows in a row of which one is posted: repeats of 50 words are found
 N = 3
 BANDS, ROWS = 10, 3
@@ -38,6 +44,9 @@ SEEDS = (_R.randint(0, 2**62, BANDS * ROWS).astype(np.uint64) << np.uint64(1)) |
 BASE2 = np.uint64(0xD6E8FEB86659FD93)
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?"]] = True
+_WIDE_ENDS = [ord(c) for c in "。！？｡।॥"]
+# scripts without spaces: Thai and Lao; Tibetan; Burmese; Khmer; Chinese and Japanese with their signs; the same, compatible and full-width
+_UNSPACED = [(0x0E00, 0x0EFF), (0x0F00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x312F), (0x3190, 0xA4CF), (0xF900, 0xFAFF), (0xFF00, 0xFFEF)]
 
 
 def _inverse(base: int) -> int:
@@ -75,12 +84,37 @@ def run_hashes(words: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[
     return out[0].view(np.int64), (out[1] >> np.uint64(32)).astype(np.int64).astype(np.int32)
 
 
+def wide(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and code points of the signs of three bytes."""
+    at = np.flatnonzero((data & 0xF0) == 0xE0)
+    b = data.astype(np.int32) if len(at) else np.zeros(0, np.int32)
+    return at, ((b[at] & 15) << 12 | (b[at + 1] & 63) << 6 | b[at + 2] & 63) if len(at) else np.zeros(0, np.int32)
+
+
+def signs_apart(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """word_spans(), with each sign of a script without spaces as a word."""
+    starts, ends, doc = word_spans(data, offs)
+    at, point = wide(data)
+    lone = np.zeros(len(at), bool)
+    for lo, hi in _UNSPACED:
+        lone |= (point >= lo) & (point <= hi)
+    lone &= point != 0x3000  # a space
+    at = at[lone]
+    far = np.flatnonzero(data[:-1] == 0xF0) if len(data) else at
+    far = far[data[far + 1] >= 0xA0]  # Chinese of the planes from 2 on
+    if not len(at) and not len(far):
+        return starts, ends, doc
+    cuts = np.concatenate([at, at + 3, far, far + 4])
+    starts, ends = np.union1d(starts, np.setdiff1d(cuts, ends)), np.union1d(ends, np.setdiff1d(cuts, starts))
+    return starts, ends, np.searchsorted(offs, starts, side="right") - 1
+
+
 class Paragraphs:
     """Words, sentences and lines of a block of texts."""
 
     def __init__(self, col: pa.Array):
         self.data, self.offs = raw(col)
-        self.starts, self.ends, self.doc = word_spans(self.data, self.offs)
+        self.starts, self.ends, self.doc = signs_apart(self.data, self.offs)
         self.hash = span_hash(self.data, self.starts, self.ends)
         lead = np.concatenate([[0], np.cumsum((self.data & 0xC0) != 0x80)])
         self.sign = lead  # signs before a byte
@@ -89,13 +123,19 @@ class Paragraphs:
         new_doc[1:] = self.doc[1:] != self.doc[:-1]
         breaks = np.concatenate([[0], np.cumsum(self.data == 10)])
         self.new_line = new_doc.copy()
+        self.new_block = new_doc.copy()
         if n:
-            self.new_line[1:] |= breaks[self.starts[1:]] != breaks[self.ends[:-1]]
+            between = breaks[self.starts[1:]] - breaks[self.ends[:-1]]
+            self.new_line[1:] |= between != 0
+            self.new_block[1:] |= between > 1
+        is_end = _ENDS[self.data]
+        at, point = wide(self.data)
+        is_end[at[np.isin(point, _WIDE_ENDS)] + 2] = True
         stop = np.zeros(n, bool)
         for back in range(1, 5):
             at = self.ends - back
             ok = at >= self.starts
-            stop[ok] |= _ENDS[self.data[at[ok]]]
+            stop[ok] |= is_end[at[ok]]
         self.new_sentence = self.new_line.copy()
         self.new_sentence[1:] |= stop[:-1]
 
@@ -135,9 +175,17 @@ class Paragraphs:
         return first[at], last[at], h[at], h2[at]
 
     def lines(self) -> tuple[np.ndarray, np.ndarray]:
+        """First and last word (excluded) of the lines of LEAST words, and of the paragraphs of several wrapped lines."""
         first = np.flatnonzero(self.new_line)
         last = np.append(first[1:], len(self.starts))
-        ok = last - first >= WORDS
+        long = self.sign[self.ends[last - 1]] - self.sign[self.starts[first]] > WRAP if len(first) else np.zeros(0, bool)
+        begins = self.new_block[first] | long
+        begins[1:] |= long[:-1]
+        block = np.flatnonzero(begins)
+        lines = np.diff(np.append(block, len(first)))
+        block_last = last[block + lines - 1]
+        first, last = np.append(first, first[block][lines > 1]), np.append(last, block_last[lines > 1])
+        ok = last - first >= LEAST
         return first[ok], last[ok]
 
     def place(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,7 +219,7 @@ def _emit_runs(batches):
     for batch in batches:
         for b in blocks(batch, "text"):
             p = Paragraphs(b.column(2))
-            first, last = p.runs()
+            first, last = (np.concatenate(x) for x in zip(p.runs(), p.lines(), strict=True))
             h, h2 = run_hashes(p.hash, first, last)
             s, e = p.place(first, last)
             at = pa.array(p.doc[first])
@@ -305,7 +353,7 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     about = texts.alias("x").join(side.alias("y"), F.col("x.d").eqNullSafe(F.col("y.d")) & (F.col("x.t") == F.col("y.t"))).select("x.d", "x.t", "x.text", "y.at")
     near = about.mapInArrow(eased(_emit_near), f"h bigint, h2 int, d {kind}, t int, s int, e int")
 
-    # these and sentence runs, equal in all their words
+    # these, sentence runs and whole lines, equal in all their words
     runs = texts.mapInArrow(eased(_emit_runs), f"h bigint, h2 int, d {kind}, t int, s int, e int").union(near)
     same = Window.partitionBy("h", "h2").orderBy(*order)
     runs = runs.withColumn("o", F.first(place).over(same)).where(~F.col("o").eqNullSafe(place))

@@ -104,3 +104,26 @@ def test_repeats_of_fifty_words_are_found_whole_wherever_they_lie(spark):
         want[i] = (start, start + len(" ".join(passages[3] + (tail if i == 21 else []))))
     got = {r["doc_id"]: (r["start"], r["end"]) for r in P.substring_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: x for i, x in want.items() if i > 3}
+
+
+def test_short_lines_wrapped_paragraphs_and_text_without_spaces(spark):
+    rng = random.Random(31)
+    own = lambda n: " ".join(f"u{rng.randrange(10**9)}" for _ in range(n))
+    sign = lambda n, lo, hi: "".join(chr(rng.randrange(lo, hi)) for _ in range(n))
+    line = own(9)
+    wrapped = [own(7) for _ in range(8)]
+    near = list(wrapped)
+    near[3] = " ".join(["changed", *near[3].split()[1:]])
+    wide = [sign(60, 0x4E00, 0x9000), sign(60, 0xE01, 0xE2F)]
+    stops = "".join(f"{sign(11, 0x4E00, 0x9000)}。" for _ in range(3))
+    texts = [
+        f"{own(30)}\n{line}\n{own(30)}", f"{own(25)}\n{line}\n{own(40)}",
+        own(30) + "\n\n" + "\n".join(wrapped) + "\n\n" + own(33), own(31) + "\n\n" + "\n".join(near) + "\n\n" + own(32),
+        *(sign(40, lo, hi) + w + sign(40, lo, hi) for w, lo, hi in ((wide[0], 0x4E00, 0x9000), (wide[0], 0x4E00, 0x9000), (wide[1], 0xE01, 0xE2F), (wide[1], 0xE01, 0xE2F))),
+        sign(15, 0x4E00, 0x9000) + "。" + stops + sign(15, 0x4E00, 0x9000), sign(25, 0x4E00, 0x9000) + "。" + stops + sign(35, 0x4E00, 0x9000),
+    ]
+    want = {1: line, 3: "\n".join(near), 5: wide[0], 7: wide[1], 9: stops}
+    out = P.substring_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {r["doc_id"]: texts[r["doc_id"]][r["start"] : r["end"]] for r in out}
+    assert set(got) == set(want) and len(out) == len(want)
+    assert all(want[k] in got[k] and len(got[k]) <= len(want[k]) + 2 for k in want)  # Thai has so few letters that a neighbour may be the same
