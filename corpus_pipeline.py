@@ -33,8 +33,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document."""
-    return bpe_encode(docs, keep=["doc_id", "lang", "source"], decoded=False)
+    """Token ids of each document, and the text they decode to."""
+    return bpe_encode(docs, keep=["doc_id", "lang", "source"])
 
 
 STAGES = [

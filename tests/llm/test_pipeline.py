@@ -41,3 +41,9 @@ def test_run_and_odd_rows(spark, sf, odd, none, tmp_path):
         out = C.run(spark, at)
         assert out.count() <= df.count()
     assert C.run(spark, sf).count() > 0
+
+
+def test_last_stage_returns_the_decoded_text(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    out = {r["doc_id"]: r["decoded"] for r in C.tokens(spark, docs, sf).collect()}
+    assert out == {r["doc_id"]: r["text"] for r in docs.collect()}
