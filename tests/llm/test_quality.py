@@ -49,3 +49,14 @@ def test_odd_rows(spark, odd, none):
     assert classify(none, labels).count() == 0
     neutral = classify(odd, labels.limit(0)).collect()
     assert len(neutral) == odd.count() and all(abs(r["evidence"]) < 1e-9 and abs(r["posterior"] - 0.5) < 1e-6 for r in neutral)
+
+
+def test_real_hosts_and_paths(spark):
+    """Paths lie under their hosts: the same path of another host is another site."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    k = F.pmod("doc_id", F.lit(4))
+    docs = docs.withColumns({"host": F.when(k < 2, "a.example").otherwise("b.example"), "path": F.when(k % 2 == 0, "/blog").otherwise("/shop")})
+    out = classify(docs, labels, host="host", path="path").join(docs.select("doc_id", "host", "path"), "doc_id").toPandas()
+    assert len(out) == docs.count()
+    assert (out.groupby("host")["host_share"].nunique() == 1).all() and out["host_share"].nunique() == 2
+    assert (out.groupby(["host", "path"])["path_share"].nunique() == 1).all() and out["path_share"].nunique() == 4
