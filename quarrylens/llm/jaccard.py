@@ -1,40 +1,53 @@
 """Operator 8: n-gram Jaccard join with signature trees.
 
-Each distinct text becomes the set of its word n-grams (hashed) and a signature: a bitmap of the set, its size and its ROUTES least hashes.
-Two sets of Jaccard t share one of their ROUTES least hashes with a chance of at least 1 - (1 - t)**ROUTES (0.9993 at 0.6, and more above),
-so each signature is sent to the groups of those hashes. In a group the signatures are the leaves of a tree, in an order that puts like sets
-side by side; an inner node holds the OR of its bitmaps and the range of its sizes. The tree is traversed against itself: a pair of nodes
-whose greatest possible overlap is too small for the threshold is cut with all below it. The bound never cuts a true pair. A pair that
-remains is reported by one group only, that of the least hash both have, and is verified there on the whole n-gram sets.
+Each distinct text becomes the set of its word n-grams (hashed) and a signature: a bitmap of the set, its size and its least hashes, as many
+as are needed for a pair of the threshold to share none with a chance of at most MISS: routes() of them, 23 at 0.6, and all that a set of
+fewer n-grams has. Two sets meet in the groups of the least hashes that both have. Hashes that one text alone has are dropped before
+signatures move. In a group the signatures are the leaves of a tree, in an order that puts like sets side by side; an inner node holds the OR
+of its bitmaps and the range of its sizes. The tree is traversed against itself: a pair of nodes whose greatest possible overlap is too
+small for the threshold is cut with all below it. The bound never cuts a true pair. A pair that remains is reported by one group only, that
+of the least hash both have, and is verified there on the whole n-gram sets. A group of more than HOT signatures is split into blocks by a
+hash, and each pair of blocks is a task's work: no group is gathered in one place, and no pair is left out.
+
+jaccard_classes() gives one row a document, its class and its links; copies are counted, never expanded into pairs.
 
 Defined results: words are runs free of white space, in lower case; a text of fewer than n words has one n-gram of all it has; null,
-empty and blank texts and rows without an id pair with nothing. Rows of equal id and text count once. Pairs come once, least id first, and a
-document is not paired with its own other versions. Extra columns are ignored, whatever their names. An empty table gives no pairs.
+empty and blank texts and rows without an id link with nothing. Rows of equal id and text count once. A document of several texts has the
+links of all of them, those between its own texts included, and the least of their classes. Extra columns are ignored, whatever their names. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylens.llm.components import components
-from quarrylens.llm.textblock import MULT, blocks, eased, gram_hash, put_lists, raw, span_hash, word_spans
+from quarrylens.llm.textblock import MULT, blocks, col, eased, free, gram_hash, put_lists, raw, span_hash, word_spans
 from quarrylens.runtime import materialize, ship, small_side
 
 N = 3
 THRESHOLD = 0.6
-ROUTES = 8
+MISS = 1e-9  # chance that a pair of the threshold meets nowhere
+HOT = 4096  # signatures of the largest group that one task compares
 LEAF, FAN = 16, 8
 WORD = r"[^ \t\n\x0b\f\r\x1c-\x1f]"  # of text that has a word
 WIDTHS = (1024, 8192, 65536)  # bits of a signature, for sets of up to half as many n-grams
 
 
+def routes(threshold: float, miss: float = MISS) -> int:
+    """Least hashes a set is sent to: of two sets of Jaccard t, the least hashes of either hold none of the other's with a chance of at
+    most (1 - t)**routes."""
+    return 1 if threshold >= 1 else max(1, math.ceil(math.log(miss) / math.log(1 - threshold)))
+
+
 def gram_sets(col: pa.Array, n: int) -> Iterator[np.ndarray]:
     """The sorted distinct n-gram hashes of each text."""
     data, offs = raw(pc.utf8_lower(col))
@@ -178,25 +191,26 @@ def tree_pairs(s: Sets, members: np.ndarray, order: np.ndarray, t: float) -> np.
     return np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
 
 
-def _traverse(t: float):
-    """Rows (g, k, partners) for every set with a candidate pair in group g: the keys it is to be compared with."""
+def _traverse(t: float, width: int):
+    """Rows (g, k, partners) for every set with a candidate pair in group g: the keys it is to be compared with. The rows of a cell are those
+    of two blocks of a group, and pairs across them count, or those of one."""
 
     def run(batches):
-        for table in groups(batches, "g"):
-            g = np.asarray(table["g"])
+        for table in groups(batches, "cell"):
+            g, cell, block, across = (np.asarray(table[c]) for c in ("g", "cell", "block", "across"))
             keys = table["k"].to_pylist()
             s = Sets(np.asarray(table["size"]).astype(np.int64), table["bits"].to_pylist())
-            bottom = np.zeros((len(g), ROUTES), np.uint64)
+            bottom = np.zeros((len(g), width), np.uint64)
             lists = table["bottom"].combine_chunks()
             n = np.asarray(pc.list_value_length(lists))
             rows = np.repeat(np.arange(len(g)), n)
             first = np.repeat(np.cumsum(n) - n, n)
             bottom[rows, np.arange(len(rows)) - first] = np.asarray(lists.flatten()).view(np.uint64)
-            cut = np.concatenate([[0], np.flatnonzero(np.diff(g)) + 1, [len(g)]])
+            cut = np.concatenate([[0], np.flatnonzero((np.diff(g) != 0) | (np.diff(cell) != 0)) + 1, [len(g)]])
             small, found = [], []
             for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 if z - a > 2 * LEAF:
-                    found.append(tree_pairs(s, np.arange(a, z), np.lexsort((s.size[a:z], bottom[a:z, 1], bottom[a:z, 0])).argsort(), t))
+                    found.append(tree_pairs(s, np.arange(a, z), np.lexsort((s.size[a:z], bottom[a:z, min(1, width - 1)], bottom[a:z, 0])).argsort(), t))
                 elif z - a > 1:
                     small.append(triangle(z - a) + a)
             if small:
@@ -205,11 +219,22 @@ def _traverse(t: float):
             if not found:
                 continue
             a, b = np.concatenate(found, 1)
-            common = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
-            for i in range(ROUTES):
-                has = (bottom[b] == bottom[a, i][:, None]).any(1) & (i < n[a]) if len(a) else np.zeros(0, bool)
-                common[has] = np.minimum(common[has], bottom[a[has], i])
-            own = common == g[a].view(np.uint64)
+            asked = ~across[a] | (block[a] != block[b])
+            a, b = a[asked], b[asked]
+            own = [np.zeros(0, bool)]
+            for c in range(0, len(a), 32768):
+                x, y = a[c : c + 32768], b[c : c + 32768]
+                common = np.full(len(x), np.iinfo(np.uint64).max, np.uint64)
+                left = np.arange(len(x))
+                for i in range(width):  # ascending: the first that both have is the least
+                    left = left[i < n[x[left]]]
+                    if not len(left):
+                        break
+                    has = (bottom[y[left]] == bottom[x[left], i][:, None]).any(1)
+                    common[left[has]] = bottom[x[left[has]], i]
+                    left = left[~has]
+                own.append(common == g[x].view(np.uint64))
+            own = np.concatenate(own)
             a, b = a[own], b[own]
             partners: dict[int, list[bytes]] = {}
             for x, y in zip(a.tolist(), b.tolist(), strict=True):
@@ -217,7 +242,7 @@ def _traverse(t: float):
                 partners.setdefault(y, [])
             if partners:
                 at = list(partners)
-                yield pa.RecordBatch.from_arrays([pa.array(g[at]), pa.array([keys[i] for i in at], pa.binary()), pa.array(list(partners.values()), pa.list_(pa.binary()))], ["g", "k", "partners"])
+                yield pa.RecordBatch.from_arrays([pa.array(cell[at]), pa.array([keys[i] for i in at], pa.binary()), pa.array([partners[i] for i in at], pa.list_(pa.binary()))], ["cell", "k", "partners"])
 
     return run
 
@@ -235,8 +260,8 @@ def _grams(n: int):
 
 def _verify(t: float):
     def run(batches):
-        for table in groups(batches, "g", 2000):
-            g = np.asarray(table["g"])
+        for table in groups(batches, "cell", 2000):
+            g = np.asarray(table["cell"])
             keys, partners = table["k"].to_pylist(), table["partners"].to_pylist()
             lists = table["grams"].combine_chunks()
             flat, offs = np.asarray(lists.flatten()).view(np.uint64), np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(lists)))])
@@ -267,34 +292,47 @@ def text_key(text) -> F.Column:
     return F.unhex(F.md5(text))
 
 
-def text_pairs(docs: DataFrame, text: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+def text_pairs(docs: DataFrame, text: str = "text", n: int = N, threshold: float = THRESHOLD, hot: int = HOT) -> DataFrame:
     """(ka, kb, jaccard): pairs of distinct texts, by text_key(), whose n-gram sets are at least that alike."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
     spark = docs.sparkSession
     ship(spark)
-    texts = docs.where(F.col(text).isNotNull()).select(text_key(F.col(text)).alias("k"), F.col(text).alias("text"))
-    signed = texts.mapInArrow(eased(_signatures(n, ROUTES)), "k binary, size int, bottom array<bigint>, bits binary").dropDuplicates(["k"])
-    routed = signed.select(F.explode("bottom").alias("g"), "k", "size", "bottom", "bits").repartition("g").sortWithinPartitions("g")
-    found = materialize(routed.mapInArrow(eased(_traverse(threshold)), "g bigint, k binary, partners array<binary>"))
+    width = routes(threshold)
+    texts = docs.where(col(text).isNotNull()).select(text_key(col(text)).alias("k"), col(text).alias("text"))
+    signed = materialize(texts.mapInArrow(eased(_signatures(n, width)), "k binary, size int, bottom array<bigint>, bits binary").dropDuplicates(["k"]))
+    posted = signed.select(F.explode("bottom").alias("g"), "k").withColumn("n", F.count("*").over(Window.partitionBy("g"))).where("n > 1")
+    blocks_of = F.ceil(F.col("n") / hot).cast("int")
+    posted = posted.withColumn("block", F.pmod(F.xxhash64("k"), blocks_of).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks_of - 1)))
+    least, most = F.least("block", "other"), F.greatest("block", "other")
+    posted = posted.select("k", "g", F.xxhash64("g", least, most).alias("cell"), "block", (least != most).alias("across"))
+    routed = posted.join(signed, "k").repartition("cell").sortWithinPartitions("cell", "g")
+    found = materialize(routed.mapInArrow(eased(_traverse(threshold, width)), "cell bigint, k binary, partners array<binary>"))
     wanted = found.select("k").distinct()
     if small_side(found):
         wanted = F.broadcast(wanted)
     grams = texts.join(wanted, "k", "left_semi").mapInArrow(eased(_grams(n)), "k binary, grams array<bigint>").dropDuplicates(["k"])
-    together = found.join(grams, "k").repartition("g").sortWithinPartitions("g").select("g", "k", "partners", "grams")
+    together = found.join(grams, "k").repartition("cell").sortWithinPartitions("cell").select("cell", "k", "partners", "grams")
     pairs = together.mapInArrow(eased(_verify(threshold)), "ka binary, kb binary, both int, either int")
     return pairs.select("ka", "kb", (F.col("both").cast("double") / F.col("either").cast("double")).alias("jaccard"))
 
 
-def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_a, doc_b, jaccard): all pairs of documents at least that alike, doc_a < doc_b; the result is as large as the groups are."""
-    named = docs.where(F.col(doc_id).isNotNull() & F.col(text).rlike(WORD)).select(text_key(F.col(text)).alias("k"), F.col(doc_id).alias("d")).distinct()
-    pairs = text_pairs(docs, text, n, threshold)
-    a, b = named.select(F.col("k").alias("ka"), F.col("d").alias("da")), named.select(F.col("k").alias("kb"), F.col("d").alias("db"))
-    alike = pairs.join(a, "ka").join(b, "kb").where("da <> db").select(F.least("da", "db").alias("doc_a"), F.greatest("da", "db").alias("doc_b"), "jaccard")
-    same = a.join(b, F.col("ka") == F.col("kb")).where("da < db").select(F.col("da").alias("doc_a"), F.col("db").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    every = alike.union(same)
-    return every.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, class_id, links): of each document, the least id of its class (the documents that links join, step by step) and how many
+    others' texts are at least that alike to its own. A document without links is a class of its own."""
+    ids = docs.where(col(doc_id).isNotNull()).select(col(doc_id).alias("d"), F.when(col(text).rlike(WORD), text_key(col(text))).alias("k"))
+    named = ids.where("k is not null").groupBy("k", "d").agg(F.lit(1).alias("one"))
+    held = named.groupBy("k").agg(F.count("*").alias("copies"), F.min("d").alias("first"))
+    pairs = materialize(text_pairs(docs.where(col(doc_id).isNotNull()), text, n, threshold).select("ka", "kb"))
+    linked = pairs.union(pairs.select("kb", "ka")).join(held.select(F.col("k").alias("kb"), "copies"), "kb")
+    linked = linked.groupBy(F.col("ka").alias("k")).agg(F.sum("copies").alias("to"))
+    nodes = components(pairs, "ka", "kb").select(F.col("node").alias("k"), "component")
+    texts = held.join(linked, "k", "left").join(nodes, "k", "left").withColumn("c", F.coalesce("component", "k"))
+    least = texts.groupBy("c").agg(F.min("first").alias("class"))
+    texts = materialize(texts.join(least, "c").where("copies > 1 or to is not null").select("k", "class", (F.coalesce("to", F.lit(0)) + F.col("copies") - 1).alias("n")))
+    side = F.broadcast(texts) if small_side(texts) else texts
+    rows = ids.distinct().join(side, "k", "left").select("d", F.coalesce("class", "d").alias("class"), F.coalesce("n", F.lit(0)).alias("n"))
+    return rows.groupBy(F.col("d").alias("doc_id")).agg(F.min("class").alias("class_id"), F.sum("n").alias("links"))
 
 
 def near_duplicate_groups(docs: DataFrame, text: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
@@ -304,16 +342,19 @@ def near_duplicate_groups(docs: DataFrame, text: str = "text", n: int = N, thres
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """docs with one document of each group of like texts: the one of the least id, and of those the least text key. Documents without
-    text stay, all of them; a row of no id stays only where its group has none with one; of rows of equal id and text one stays."""
-    keyed = docs.withColumn("__k", F.when(F.col(text).rlike(WORD), text_key(F.col(text))))
-    groups_of = near_duplicate_groups(docs, text, n, threshold).select(F.col("k").alias("__k"), F.col("component").alias("__g"))
-    rows = keyed.where("__k is not null").groupBy("__k", F.col(doc_id).alias("__d")).agg(F.count("*").alias("__n"))
-    rows = rows.join(groups_of, "__k", "left").select("__k", "__d", "__n", F.coalesce("__g", "__k").alias("__g"))
-    best = rows.groupBy("__g").agg(F.min(F.struct(F.col("__d").isNull().alias("none"), "__d", "__k", "__n")).alias("b"))
-    best = materialize(best.select("b.__k", "b.__d", "b.__n"))
-    side = best.select(F.col("__k").alias("__bk"), F.col("__d").alias("__bd"), "__n")
+    text stay, all of them; a row of no id stays only where its group has none with one; of rows of equal id and text one stays. All columns
+    pass through, whatever their names."""
+    key, bk, bd, count = free(docs, "__k", "__bk", "__bd", "__n")
+    keyed = docs.withColumn(key, F.when(col(text).rlike(WORD), text_key(col(text))))
+    groups_of = near_duplicate_groups(docs, text, n, threshold).select("k", F.col("component").alias("g"))
+    rows = keyed.where(col(key).isNotNull()).groupBy(col(key).alias("k"), col(doc_id).alias("d")).agg(F.count("*").alias("n"))
+    rows = rows.join(groups_of, "k", "left").select("k", "d", "n", F.coalesce("g", "k").alias("g"))
+    best = rows.groupBy("g").agg(F.min(F.struct(F.col("d").isNull().alias("none"), "d", "k", "n")).alias("b"))
+    best = materialize(best.select("b.k", "b.d", "b.n"))
+    side = best.select(F.col("k").alias(bk), F.col("d").alias(bd), F.col("n").alias(count))
     if small_side(best):
         side = F.broadcast(side)
-    kept = keyed.join(side, F.col("__k").eqNullSafe(F.col("__bk")) & F.col(doc_id).eqNullSafe(F.col("__bd")))
-    once = kept.where("__n = 1").union(kept.where("__n > 1").dropDuplicates(["__k", doc_id])) if not best.where("__n > 1").isEmpty() else kept
-    return once.select(docs.columns).union(keyed.where("__k is null").select(docs.columns))
+    kept = keyed.join(side, col(key).eqNullSafe(col(bk)) & col(doc_id).eqNullSafe(col(bd)))
+    once = kept.where(col(count) == 1).union(kept.where(col(count) > 1).dropDuplicates([key, doc_id])) if not best.where("n > 1").isEmpty() else kept
+    columns = [col(c) for c in docs.columns]
+    return once.select(*columns).union(keyed.where(col(key).isNull()).select(*columns))

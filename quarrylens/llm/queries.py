@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarrylens.llm.bpe import bpe_encode
 from quarrylens.llm.ctw import code_lengths
-from quarrylens.llm.jaccard import jaccard_join
+from quarrylens.llm.jaccard import jaccard_classes
 from quarrylens.llm.langid import identify, train_pieces
 from quarrylens.llm.licences import license_spans
 from quarrylens.llm.mixing import EPOCHS, mix_sources, temperature_weights
@@ -61,8 +61,8 @@ def op7_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of documents whose word 3-gram sets have Jaccard 0.6 or more."""
-    return jaccard_join(_read(spark, sf_dir, "documents"))
+    """Class and number of links of every document, by links of Jaccard 0.6 or more between sets of word 3-grams."""
+    return jaccard_classes(_read(spark, sf_dir, "documents"))
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,16 +90,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op8_ngram_jaccard": """
-WITH w AS (
-  SELECT doc_id, list_filter(string_split_regex(lower(text), '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+WITH RECURSIVE t AS (
+  SELECT doc_id, text, list_filter(string_split_regex(lower(text), '[ \\t\\n\\x0b\\f\\r\\x1c-\\x1f]+'), lambda x: x <> '') AS w
+  FROM (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)),
+held AS (SELECT text, any_value(w) AS w, count(*) AS copies, min(doc_id) AS first FROM t WHERE len(w) > 0 GROUP BY text),
 g AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  SELECT DISTINCT text, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
     ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g
-  FROM w WHERE len(w) > 0),
-n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
-p AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS both_n FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2)
-SELECT doc_a, doc_b, CAST(both_n AS DOUBLE) / CAST(x.n + y.n - both_n AS DOUBLE) AS jaccard
-FROM p JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b
-WHERE CAST(both_n AS DOUBLE) / CAST(x.n + y.n - both_n AS DOUBLE) >= 0.6
+  FROM held),
+n AS (SELECT text, count(*) AS n FROM g GROUP BY text),
+p AS (SELECT a.text AS a, b.text AS b, count(*) AS both_n FROM g a JOIN g b ON a.g = b.g AND a.text <> b.text GROUP BY 1, 2),
+links AS (SELECT a, b FROM p JOIN n x ON x.text = a JOIN n y ON y.text = b
+  WHERE CAST(both_n AS DOUBLE) / CAST(x.n + y.n - both_n AS DOUBLE) >= 0.6),
+reach AS (SELECT text AS a, text AS b FROM held UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+class AS (SELECT r.a AS text, min(h.first) AS class_id FROM reach r JOIN held h ON h.text = r.b GROUP BY r.a),
+also AS (SELECT l.a AS text, sum(h.copies) AS n FROM links l JOIN held h ON h.text = l.b GROUP BY l.a)
+SELECT i.doc_id, min(coalesce(c.class_id, i.doc_id)) AS class_id, CAST(sum(coalesce(h.copies - 1 + coalesce(o.n, 0), 0)) AS BIGINT) AS links
+FROM (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL) i
+LEFT JOIN held h ON h.text = i.text LEFT JOIN class c ON c.text = i.text LEFT JOIN also o ON o.text = i.text
+GROUP BY i.doc_id
 """,
 }

@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 _RNG = np.random.RandomState(20240229)
 BYTE64 = _RNG.randint(0, 2**63 - 1, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -18,6 +20,24 @@ WS = np.zeros(256, bool)
 WS[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 
 
+def col(name: str, of: str | None = None) -> Column:
+    """The column of exactly this name, whatever signs are in it; of: the alias of its table."""
+    quoted = "`" + name.replace("`", "``") + "`"
+    return F.col(f"{of}.{quoted}" if of else quoted)
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Each of the names, with as many underscores before it as no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def relieve() -> None:
     """Give memory that is free back to the system; a worker that outlives its task else keeps the most it ever had."""
     gc.collect()

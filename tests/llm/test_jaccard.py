@@ -1,8 +1,10 @@
+import hashlib
 import itertools
 import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 from quarrylens.llm import jaccard as J
 from quarrylens.llm.components import components
 
@@ -13,14 +15,51 @@ def grams(text, n=3):
 
 
 def brute(rows, t):
+    """Pairs of distinct texts."""
+    texts = sorted({r[1] for r in rows if r[0] is not None and r[1] and r[1].split()})
+    sets = {x: grams(x) for x in texts}
     out = {}
-    for (a, x), (b, y) in itertools.combinations(sorted({r for r in rows if r[0] is not None and r[1] and r[1].split()}), 2):
-        g, h = grams(x), grams(y)
-        if a != b and len(g & h) >= t * len(g | h):
-            out[a, b] = max(out.get((a, b), 0), len(g & h) / len(g | h))
+    for x, y in itertools.combinations(texts, 2):
+        g, h = sets[x], sets[y]
+        if min(len(g), len(h)) >= t * max(len(g), len(h)) and len(g & h) >= t * len(g | h):
+            out[x, y] = len(g & h) / len(g | h)
     return out
 
 
+def classes(rows, t):
+    ids = {}
+    for d, x in set(rows):
+        if d is not None:
+            ids.setdefault(x if x and x.split() else None, set()).add(d)
+    root = {x: x for x in ids}
+    find = lambda x: x if root[x] == x else find(root[x])
+    links = {x: len(d) - 1 if x is not None else 0 for x, d in ids.items()}
+    for x, y in brute(rows, t):
+        links[x] += len(ids[y])
+        links[y] += len(ids[x])
+        root[find(x)] = find(y)
+    least = {}
+    for x, d in ids.items():
+        least[find(x)] = min([least.get(find(x), min(d)), *d])
+    out = {}
+    for x, some in ids.items():
+        for d in some:
+            c, n = (least[find(x)], links[x]) if x is not None else (d, 0)
+            old = out.get(d, (c, 0))
+            out[d] = (min(old[0], c), old[1] + n)
+    return out
+
+
+def key(text):
+    return hashlib.md5(text.encode()).digest()
+
+
+def got_classes(df):
+    rows = [tuple(r) for r in J.jaccard_classes(df).select("doc_id", "class_id", "links").collect()]
+    assert len({r[0] for r in rows}) == len(rows)
+    return {r[0]: r[1:] for r in rows}
+
+
 def variants(rng, n, length):
     words = [f"w{rng.randrange(400)}" for _ in range(length)]
     out = []
@@ -36,11 +75,26 @@ def test_against_brute_force(spark):
     rng = random.Random(5)
     texts = [t for k in range(4) for t in variants(rng, 50, 30 + 20 * k)] + [" ".join(f"u{rng.randrange(900)}" for _ in range(40)) for _ in range(60)]
     texts += variants(rng, 4, 1500) + variants(rng, 3, 9000)
+    texts += rng.sample(texts, 40)
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = classes(rows, J.THRESHOLD)
+    assert got_classes(df) == want and sum(n for _, n in want.values()) > 2000
+
+
+def test_no_pair_is_left_out_at_any_threshold_and_in_split_groups(spark):
+    rng = random.Random(6)
+    texts = [t for k in range(3) for t in variants(rng, 70, 20 + 30 * k)] + ["common words of one and all " + " ".join(f"u{rng.randrange(99)}" for _ in range(9)) for _ in range(80)]
     rows = list(enumerate(texts))
-    got = {(r[0], r[1]): r[2] for r in J.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    want = brute(rows, J.THRESHOLD)
-    assert set(got) <= set(want) and len(got) >= 0.99 * len(want) and len(want) > 1000
-    assert all(abs(want[k] - v) < 1e-12 for k, v in got.items())
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for t, hot in ((0.3, 4096), (0.5, 20), (0.8, 4096)):
+        want = {frozenset(map(key, p)): v for p, v in brute(rows, t).items()}
+        got = [(frozenset((bytes(r[0]), bytes(r[1]))), r[2]) for r in J.text_pairs(df, threshold=t, hot=hot).collect()]
+        assert len(got) == len(want) and {p: round(v, 9) for p, v in got} == {p: round(v, 9) for p, v in want.items()}
+
+
+def test_routes_follow_the_threshold():
+    assert [J.routes(t) for t in (0.3, 0.6, 0.8, 1.0)] == [59, 23, 13, 1]
 
 
 def test_tree_cuts_no_true_pair():
@@ -55,8 +109,9 @@ def test_tree_cuts_no_true_pair():
 
 def test_odd_rows(odd, none):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
-    assert {(r[0], r[1]): r[2] for r in J.jaccard_join(odd).collect()} == brute(rows, J.THRESHOLD)
-    assert J.jaccard_join(none).count() == 0
+    odd = odd.withColumns({c: F.lit("same") for c in ("__n", "__k", "__bk", "a.b", "n", "class", "class_id", "copies", "cell")})
+    assert got_classes(odd) == classes(rows, J.THRESHOLD)
+    assert J.jaccard_classes(none).count() == 0
     kept = J.drop_near_duplicates(odd)
     assert kept.columns == odd.columns and J.drop_near_duplicates(none).count() == 0
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(r[0]) for r in set(rows))
