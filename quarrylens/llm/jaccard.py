@@ -39,7 +39,7 @@ MISS = 1e-9  # chance that a pair of the threshold meets nowhere
 HOT = 4096  # signatures of the largest group that one task compares
 LEAF, FAN = 16, 8
 WORD = r"[^ \t\n\x0b\f\r\x1c-\x1f]"  # of text that has a word
-WIDTHS = (1024, 8192, 65536)  # bits of a signature, for sets of up to half as many n-grams
+WIDTHS = (512, 2048, 8192)  # bits of a signature, for sets of up to half as many n-grams
 
 
 def routes(threshold: float, miss: float = MISS) -> int:
@@ -200,12 +200,12 @@ def _traverse(t: float, width: int):
             g, cell, block, across = (np.asarray(table[c]) for c in ("g", "cell", "block", "across"))
             keys = table["k"].to_pylist()
             s = Sets(np.asarray(table["size"]).astype(np.int64), table["bits"].to_pylist())
-            bottom = np.zeros((len(g), width), np.uint64)
+            bottom = np.full((len(g), width), np.iinfo(np.int64).max)  # of the least hashes, those that others have
             lists = table["bottom"].combine_chunks()
             n = np.asarray(pc.list_value_length(lists))
             rows = np.repeat(np.arange(len(g)), n)
             first = np.repeat(np.cumsum(n) - n, n)
-            bottom[rows, np.arange(len(rows)) - first] = np.asarray(lists.flatten()).view(np.uint64)
+            bottom[rows, np.arange(len(rows)) - first] = np.asarray(lists.flatten())
             cut = np.concatenate([[0], np.flatnonzero((np.diff(g) != 0) | (np.diff(cell) != 0)) + 1, [len(g)]])
             small, found = [], []
             for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
@@ -224,7 +224,7 @@ def _traverse(t: float, width: int):
             own = [np.zeros(0, bool)]
             for c in range(0, len(a), 32768):
                 x, y = a[c : c + 32768], b[c : c + 32768]
-                common = np.full(len(x), np.iinfo(np.uint64).max, np.uint64)
+                common = np.full(len(x), np.iinfo(np.int64).max)
                 left = np.arange(len(x))
                 for i in range(width):  # ascending: the first that both have is the least
                     left = left[i < n[x[left]]]
@@ -233,7 +233,7 @@ def _traverse(t: float, width: int):
                     has = (bottom[y[left]] == bottom[x[left], i][:, None]).any(1)
                     common[left[has]] = bottom[x[left[has]], i]
                     left = left[~has]
-                own.append(common == g[x].view(np.uint64))
+                own.append(common == g[x])
             own = np.concatenate(own)
             a, b = a[own], b[own]
             partners: dict[int, list[bytes]] = {}
@@ -302,11 +302,11 @@ def text_pairs(docs: DataFrame, text: str = "text", n: int = N, threshold: float
     texts = docs.where(col(text).isNotNull()).select(text_key(col(text)).alias("k"), col(text).alias("text"))
     signed = materialize(texts.mapInArrow(eased(_signatures(n, width)), "k binary, size int, bottom array<bigint>, bits binary").dropDuplicates(["k"]))
     posted = signed.select(F.explode("bottom").alias("g"), "k").withColumn("n", F.count("*").over(Window.partitionBy("g"))).where("n > 1")
-    blocks_of = F.ceil(F.col("n") / hot).cast("int")
-    posted = posted.withColumn("block", F.pmod(F.xxhash64("k"), blocks_of).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks_of - 1)))
+    met = posted.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("g", F.ceil(F.col("n") / hot).cast("int").alias("blocks")))).alias("met"))  # at most width of them
+    routed = signed.select("k", "size", "bits").join(met, "k").select("k", "size", "bits", F.col("met.g").alias("bottom"), F.explode("met").alias("m")).select("k", "size", "bits", "bottom", "m.*")
+    routed = routed.withColumn("block", F.pmod(F.xxhash64("k"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     least, most = F.least("block", "other"), F.greatest("block", "other")
-    posted = posted.select("k", "g", F.xxhash64("g", least, most).alias("cell"), "block", (least != most).alias("across"))
-    routed = posted.join(signed, "k").repartition("cell").sortWithinPartitions("cell", "g")
+    routed = routed.select("g", F.xxhash64("g", least, most).alias("cell"), "k", "size", "bits", "bottom", "block", (least != most).alias("across")).repartition("cell").sortWithinPartitions("cell", "g")
     found = materialize(routed.mapInArrow(eased(_traverse(threshold, width)), "cell bigint, k binary, partners array<binary>"))
     wanted = found.select("k").distinct()
     if small_side(found):
