@@ -1,46 +1,53 @@
 """Operator 3: substring dedup by paragraph MinHash banding.
 
-Three kinds of paragraph are compared. Lines of at least LEAST words, and the paragraphs that hard-wrapped lines make (lines of up to WRAP
-signs with no blank one between), are banded: PERMUTATIONS least hashes of a line's word 3-grams in
-BANDS bands of ROWS (a pair of Jaccard 0.7 shares a band with a chance of 0.985, one of 0.8 with 0.9993), lines that share a band join,
-the join's components gather what has to be compared, and inside a component the exact Jaccard of the 3-gram sets decides about each pair
-that shares a band, until the component's clusters are known. The same lines and
-paragraphs are also compared as they are, by the hashes of all their words. Sentence runs, from each sentence start the least whole sentences that
-have WORDS words, have a single band of all their words in order (two hashes, 96 bits), so that a passage set in the middle of other
-paragraphs is found by the runs inside it. Windows of WORDS words find what starts and ends anywhere: of each REACH windows in a row the one of least
-hash is posted, so that a repeat of WORDS + REACH - 1 words shares one with its like wherever it lies, and every window less than REACH
-words from a shared one is then compared by the hashes of sentence runs. Such a repeat is found whole, to the word. Of each cluster the first paragraph stays, in the order of id, text and place; the others
-are removed, as spans that are merged where they touch. What a span holds therefore stays in an earlier place.
+Paragraphs are lines of at least `least` words, and what hard-wrapped lines make (lines of up to WRAP signs with no blank one between).
+They are banded: least hashes of a paragraph's word 3-grams, in as many bands and rows as the threshold and RECALL ask for (shape()).
+Paragraphs that share a band join, the join's components gather what has to be compared, and inside a component the exact Jaccard of the 3-gram
+sets decides about each pair that shares a band. A component of more than HOT paragraphs is compared band by band, and band in pairs of
+blocks, so that none is gathered in one place. Of each cluster the first paragraph stays, in the order of id, text and place.
+
+What is equal in all its words is looked for as well: whole texts and paragraphs; sentence runs (from each sentence start the least whole
+sentences that have WORDS words); and windows of WORDS words wherever they start: of each REACH windows in a row the one of least hash is
+posted, so that a repeat of WORDS + REACH - 1 words shares one with its like wherever it lies, and then every window near a shared one is
+compared. A repeat of 50 words is found whole, to the word.
+
+What is removed has a kept copy. Near paragraphs are settled first. Of places of equal words, those clear of removed near paragraphs count: the
+first of them stays and the others go. Where there is none, the first of all is taken out of what its near paragraph loses. So each removed
+word of a repeat is found again, within the same run of words, at an earlier clear place, and following these places ends at text that stays; the
+first paragraph of a cluster loses nothing to another cluster. Only words of a near paragraph that no run holds elsewhere go with it.
 
 Defined results: words are runs free of white space; each sign of a script that is written without spaces (Chinese, Japanese, Thai, Lao,
-Khmer, Burmese, Tibetan) is a word of its own. Lines of fewer than LEAST words recur by chance (headings, brackets, list items) and stay
+Khmer, Burmese, Tibetan) is a word of its own. Lines of fewer than `least` words recur by chance (headings, brackets, list items) and stay
 unless a longer repeat holds them. Null, empty and short texts have no paragraphs. Rows of equal id and text are one document, whose own copy is no
-repeat; rows of a null id come last in the order. Offsets count signs, from 0, end excluded. Extra columns pass through dedup() whatever
-their names. An empty table gives no spans.
+repeat; rows of a null id come last in the order. Documents are told apart by id and 128 bits of their text's hash. Offsets count signs, from
+0, end excluded. Extra columns pass through dedup() whatever their names. An empty table gives no spans.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylens.llm.components import components
 from quarrylens.llm.jaccard import groups
-from quarrylens.llm.textblock import MULT, blocks, eased, gram_hash, mix, put_lists, put_strings, raw, span_hash, text_nulls, word_spans
-from quarrylens.runtime import materialize, ship, small_side
+from quarrylens.llm.textblock import MULT, blocks, col, eased, free, gram_hash, mix, put_lists, put_strings, raw, renamed, span_hash, text_nulls, word_spans
+from quarrylens.runtime import discard, materialize, ship, small_side
 
 WORDS = 20
 LEAST = 8  # words of a line or wrapped paragraph
 WRAP = 120  # signs of the longest hard-wrapped line
 REACH = 31  # windows in a row of which one is posted: repeats of 50 words are found
 N = 3
-BANDS, ROWS = 10, 3
 THRESHOLD = 0.7
+RECALL = 0.99  # chance that a pair of the threshold shares a band
+HOT = 4000  # paragraphs of a component that one task compares
 _R = np.random.RandomState(41)
-SEEDS = (_R.randint(0, 2**62, BANDS * ROWS).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
+SEEDS = (_R.randint(0, 2**62, 512).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
 BASE2 = np.uint64(0xD6E8FEB86659FD93)
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?"]] = True
@@ -49,6 +56,15 @@ _WIDE_ENDS = [ord(c) for c in "。！？｡।॥"]
 _UNSPACED = [(0x0E00, 0x0EFF), (0x0F00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x312F), (0x3190, 0xA4CF), (0xF900, 0xFAFF), (0xFF00, 0xFFEF)]
 
 
+def shape(threshold: float, recall: float = RECALL) -> tuple[int, int]:
+    """Bands, and rows of each: the most rows for which at most 12 bands give the recall at the threshold, or one row."""
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must be in (0, 1]")
+    need = lambda r: 1 if threshold == 1 else math.ceil(math.log(1 - recall) / math.log(1 - threshold**r))
+    rows = max((r for r in range(1, 11) if need(r) <= 12), default=1)
+    return need(rows), rows
+
+
 def _inverse(base: int) -> int:
     x = base
     for _ in range(6):
@@ -174,8 +190,15 @@ class Paragraphs:
         at = np.unique(np.concatenate(at))
         return first[at], last[at], h[at], h2[at]
 
-    def lines(self) -> tuple[np.ndarray, np.ndarray]:
-        """First and last word (excluded) of the lines of LEAST words, and of the paragraphs of several wrapped lines."""
+    def texts(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """First and last word (excluded) of the texts of at least so many words."""
+        cut = np.flatnonzero(np.append(True, self.doc[1:] != self.doc[:-1])) if len(self.doc) else np.zeros(0, np.int64)
+        last = np.append(cut[1:], len(self.doc)) if len(cut) else cut
+        ok = last - cut >= least
+        return cut[ok], last[ok]
+
+    def lines(self, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+        """First and last word (excluded) of the lines of so many words, and of the paragraphs of several wrapped lines."""
         first = np.flatnonzero(self.new_line)
         last = np.append(first[1:], len(self.starts))
         long = self.sign[self.ends[last - 1]] - self.sign[self.starts[first]] > WRAP if len(first) else np.zeros(0, bool)
@@ -185,7 +208,7 @@ class Paragraphs:
         lines = np.diff(np.append(block, len(first)))
         block_last = last[block + lines - 1]
         first, last = np.append(first, first[block][lines > 1]), np.append(last, block_last[lines > 1])
-        ok = last - first >= LEAST
+        ok = last - first >= least
         return first[ok], last[ok]
 
     def place(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -202,28 +225,38 @@ class Paragraphs:
         return h, line[at]
 
 
-def bands(grams: np.ndarray, line: np.ndarray, count: int) -> np.ndarray:
-    """(lines, BANDS) keys."""
+def bands(grams: np.ndarray, line: np.ndarray, count: int, shape: tuple[int, int]) -> np.ndarray:
+    """(lines, bands) keys."""
     first = np.searchsorted(line, np.arange(count))
-    out = np.zeros((count, BANDS), np.uint64)
+    out = np.zeros((count, shape[0]), np.uint64)
     with np.errstate(over="ignore"):
-        for k, seed in enumerate(SEEDS):
+        for k, seed in enumerate(SEEDS[: shape[0] * shape[1]]):
             h = grams * seed
-            least = np.minimum.reduceat(h ^ (h >> np.uint64(31)), first)
-            b = k // ROWS
-            out[:, b] = mix(out[:, b] * MULT + least + np.uint64(b))
+            low = np.minimum.reduceat(h ^ (h >> np.uint64(31)), first)
+            b = k // shape[1]
+            out[:, b] = mix(out[:, b] * MULT + low + np.uint64(b + 1))
     return out.view(np.int64)
 
 
-def _emit_runs(batches):
-    for batch in batches:
-        for b in blocks(batch, "text"):
-            p = Paragraphs(b.column(2))
-            first, last = (np.concatenate(x) for x in zip(p.runs(), p.lines(), strict=True))
-            h, h2 = run_hashes(p.hash, first, last)
-            s, e = p.place(first, last)
-            at = pa.array(p.doc[first])
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(h2), b.column(0).take(at), b.column(1).take(at), pa.array(s), pa.array(e)], ["h", "h2", "d", "t", "s", "e"])
+def _emit_pieces(least: int, shape: tuple[int, int]):
+    """Sentence runs, whose bands are null, and lines."""
+
+    def run(batches):
+        for batch in batches:
+            for b in blocks(batch, "text"):
+                p = Paragraphs(b.column(2))
+                runs, lines = p.runs(), p.lines(least)
+                first, last = (np.concatenate(x) for x in zip(runs, lines, strict=True))
+                h, h2 = run_hashes(p.hash, first, last)
+                s, e = p.place(first, last)
+                at = pa.array(p.doc[first])
+                n = len(lines[0])
+                grams, line = p.grams(*lines)
+                key = bands(grams, line, n, shape) if n else np.zeros((0, shape[0]), np.int64)
+                lists = pa.concat_arrays([pa.nulls(len(runs[0]), pa.list_(pa.int64())), put_lists(key.ravel(), np.full(n, shape[0]), pa.int64())])
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(h2), b.column(0).take(at), b.column(1).take(at), pa.array(s), pa.array(e), lists], ["h", "h2", "d", "t", "s", "e", "bands"])
+
+    return run
 
 
 def _emit_picks(batches):
@@ -259,32 +292,30 @@ def _emit_near(batches):
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(h2), b.column(0).take(at), b.column(1).take(at), pa.array(s), pa.array(e)], ["h", "h2", "d", "t", "s", "e"])
 
 
-def _emit_lines(with_grams: bool):
+def _emit_grams(least: int):
+    """3-grams of the lines whose hashes are in column wanted."""
+
     def run(batches):
         for batch in batches:
             for b in blocks(batch, "text"):
                 p = Paragraphs(b.column(2))
-                first, last = p.lines()
+                first, last = p.lines(least)
                 h, _ = run_hashes(p.hash, first, last)
-                s, e = p.place(first, last)
-                at = pa.array(p.doc[first])
-                grams, line = p.grams(first, last)
-                key = bands(grams, line, len(first)) if len(first) else np.zeros((0, BANDS), np.int64)
-                out = [pa.array(h), b.column(0).take(at), b.column(1).take(at), pa.array(s), pa.array(e), put_lists(key.ravel(), np.full(len(first), BANDS), pa.int64())]
-                if with_grams:
-                    out.append(put_lists(grams.view(np.int64), np.bincount(line, minlength=len(first)) if len(first) else np.zeros(0, np.int64), pa.int64()))
-                yield pa.RecordBatch.from_arrays(out, ["line", "d", "t", "s", "e", "bands", "grams"][: len(out)])
+                some = np.isin(h, np.asarray(b.column(3).flatten()))
+                h, at = np.unique(h[some], return_index=True)
+                grams, line = p.grams(first[some][at], last[some][at])
+                yield pa.RecordBatch.from_arrays([pa.array(h), put_lists(grams.view(np.int64), np.bincount(line, minlength=len(h)) if len(h) else np.zeros(0, np.int64), pa.int64())], ["line", "grams"])
 
     return run
 
 
-def _clusters(threshold: float):
+def _clusters(threshold: float, bands_n: int):
     """Inside each candidate component, the clusters of lines that are joined by verified pairs of a shared band."""
 
     def run(batches):
         for table in groups(batches, "c", 4000):
             c, line = np.asarray(table["c"]), np.asarray(table["line"])
-            key = np.asarray(table["bands"].combine_chunks().flatten()).reshape(-1, BANDS)
+            key = np.asarray(table["bands"].combine_chunks().flatten()).reshape(-1, bands_n)
             lists = table["grams"].combine_chunks()
             flat, offs = np.asarray(lists.flatten()), np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(lists)))])
             root = np.arange(len(c))
@@ -300,7 +331,7 @@ def _clusters(threshold: float):
                 if z - a < 2:
                     continue
                 sets = [np.unique(flat[offs[i] : offs[i + 1]]) for i in range(a, z)]
-                for b in range(BANDS):
+                for b in range(bands_n):
                     order = np.argsort(key[a:z, b], kind="stable")
                     for same in np.split(order, np.flatnonzero(np.diff(key[a:z, b][order])) + 1):
                         if len(same) < 2:
@@ -332,72 +363,180 @@ def _clusters(threshold: float):
     return run
 
 
-def text_mark(text: str) -> F.Column:
-    """31 bits of a text's hash, to tell apart texts of one id."""
-    return F.pmod(F.xxhash64(text), F.lit(2**31 - 1)).cast("int")
-
-
-def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(d, t, s, e, kd): paragraphs to remove, by id, text hash and sign offsets, and the id of the document that keeps one like it."""
+def text_mark(text) -> F.Column:
+    """128 bits of a text's hash, to tell apart texts of one id."""
+    return F.unhex(F.md5(text))
+
+
+def _side(df: DataFrame) -> DataFrame:
+    """df, a written table, to be broadcast in a join if it is small."""
+    return F.broadcast(df) if small_side(df) else df
+
+
+def near_lines(texts: DataFrame, lines: DataFrame, threshold: float, least: int, shape: tuple[int, int], hot: int = HOT) -> DataFrame:
+    """(line, cluster) of the lines (by hash) that are alike, of texts(d, t, text) and their lines(h, t, bands)."""
+    known = materialize(lines.groupBy(F.col("h").alias("line")).agg(F.first("bands").alias("bands")))
+    posted = known.select(F.explode("bands").alias("band"), "line")
+    met = materialize(posted.groupBy("band").agg(F.min("line").alias("first"), F.max("line").alias("last")).where("first < last").select("band", "first"))
+    edges = posted.join(_side(met), "band").where("line > first").select(F.col("line").alias("a"), F.col("first").alias("b"))
+    candidates = components(edges).select(F.col("node").alias("line"), F.col("component").alias("c"))
+    candidates = materialize(candidates.join(candidates.groupBy("c").agg(F.count("*").alias("n")), "c"))
+    wanted = lines.select("t", F.col("h").alias("line")).join(_side(candidates).select("line"), "line").groupBy("line").agg(F.min("t").alias("t"))
+    wanted = materialize(wanted.groupBy("t").agg(F.collect_list("line").alias("wanted")))  # of a text, its own lines
+    about = texts.join(_side(wanted), "t").select("d", "t", "text", "wanted")
+    grams = about.mapInArrow(eased(_emit_grams(least)), "line bigint, grams array<bigint>").dropDuplicates(["line"])
+    grams = grams.join(_side(candidates), "line").join(known, "line").select("line", "c", "n", "bands", "grams")
+    big = not candidates.where(F.col("n") > hot).isEmpty()
+    grams = materialize(grams) if big else grams
+    compare = lambda df: df.select("line", "c", "bands", "grams").repartition("c").sortWithinPartitions("c").mapInArrow(eased(_clusters(threshold, shape[0])), "line bigint, cluster bigint")
+    out = compare(grams.where(F.col("n") <= hot))
+    if big:
+        by_band = grams.where(F.col("n") > hot).withColumn("band", F.explode("bands"))
+        sizes = materialize(by_band.groupBy("band").agg(F.count("*").alias("m")).where("m > 1"))
+        by_band = by_band.join(_side(sizes), "band").withColumn("blocks", F.ceil(F.col("m") / hot).cast("int"))
+        by_band = by_band.withColumn("block", F.pmod(F.xxhash64("line"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        by_band = by_band.withColumn("c", F.xxhash64("band", F.least("block", "other"), F.greatest("block", "other"))).withColumn("bands", F.transform("bands", lambda x: F.when(x == F.col("band"), x).otherwise(F.xxhash64("line", x))))
+        joined = compare(by_band).select(F.col("line").alias("a"), F.col("cluster").alias("b"))
+        out = out.union(components(joined).select("node", "component"))
+    return materialize(out)
+
+
+def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, least: int = LEAST, hot: int = HOT) -> DataFrame:
+    """(d, t, s, e, kept): the spans to remove, by id, text hash and sign offsets, and the ids of the documents that keep what they hold."""
     ship(docs.sparkSession)
-    texts = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("d"), text_mark(text).alias("t"), F.col(text).alias("text"))
-    kind = dict(texts.dtypes)["d"]
-    order = [F.col("d").asc_nulls_last(), "t", "s", "e"]
-    place = F.struct("d", "t", "s", "e")
+    shape_ = shape(threshold)
+    named = docs.where(col(text).isNotNull()).select(col(doc_id).alias("d"), text_mark(col(text)).alias("t"), col(text).alias("text"))
+    kind = named.schema["d"].dataType.simpleString()
+    order = F.struct(F.col("d").isNull().alias("none"), "d", "t", "s", "e")
+    place = f"d {kind}, t binary, s int, e int"
+
+    # of equal texts, the one of the least id is looked at; the others repeat it as a whole
+    same = named.groupBy("t").agg(F.min("d").alias("first"), F.min(F.xxhash64("d")).alias("a"), F.max(F.xxhash64("d")).alias("z"))
+    same = materialize(same.where("a < z").select("t", "first"))
+    marked = named.join(_side(same).withColumn("many", F.lit(True)), "t", "left")
+    first = F.col("many").isNull() | F.col("d").eqNullSafe(F.col("first"))
+    texts = marked.where(first).select("d", "t", "text")
+    whole = marked.where(~first).select("d", "t", "text", "first").mapInArrow(eased(_emit_whole(least)), f"{place}, first {kind}")
+    whole = whole.select("d", "t", "s", "e", F.array("first").alias("kept"))
+
+    pieces = materialize(texts.mapInArrow(eased(_emit_pieces(least, shape_)), f"h bigint, h2 int, {place}, bands array<bigint>"))
+    lines = pieces.where("bands is not null")
+
+    # lines, alike by MinHash
+    clusters = near_lines(texts, lines, threshold, least, shape_, hot)
+    alike = lines.join(_side(clusters.withColumnRenamed("line", "h")), "h").select("cluster", "d", "t", "s", "e")
+    firsts = materialize(alike.groupBy("cluster").agg(F.min(order).alias("o")))
+    other = ~((F.col("t") == F.col("o.t")) & (F.col("s") == F.col("o.s")) & (F.col("e") == F.col("o.e")))
+    near = materialize(alike.join(_side(firsts), "cluster").where(other).select("d", "t", "s", "e", F.col("o.d").alias("kd")))
+    lost = materialize(near.groupBy("t").agg(F.collect_set(F.struct("s", "e")).alias("lost")))  # of a text, its own spans
 
     # windows near one that has its like
-    picks = texts.mapInArrow(eased(_emit_picks), f"h bigint, h2 int, d {kind}, t int, at int")
-    shared = picks.withColumn("n", F.count("*").over(Window.partitionBy("h", "h2"))).where("n > 1")
-    shared = materialize(shared.groupBy("d", "t").agg(F.collect_set("at").alias("at")))
-    side = F.broadcast(shared) if small_side(shared) else shared
-    about = texts.alias("x").join(side.alias("y"), F.col("x.d").eqNullSafe(F.col("y.d")) & (F.col("x.t") == F.col("y.t"))).select("x.d", "x.t", "x.text", "y.at")
-    near = about.mapInArrow(eased(_emit_near), f"h bigint, h2 int, d {kind}, t int, s int, e int")
+    picks = texts.mapInArrow(eased(_emit_picks), f"h bigint, h2 int, d {kind}, t binary, at int").select("h", "h2", "t", "at")
+    picks = materialize(picks)
+    spot = F.xxhash64("t", "at")
+    met = materialize(picks.groupBy("h", "h2").agg(F.min(spot).alias("a"), F.max(spot).alias("z")).where("a < z").select("h", "h2"))
+    shared = materialize(picks.join(_side(met), ["h", "h2"]).groupBy("t").agg(F.collect_set("at").alias("at")))
+    discard(picks)
+    about = texts.join(_side(shared), "t").select("d", "t", "text", "at")
+    windows = materialize(about.mapInArrow(eased(_emit_near), f"h bigint, h2 int, {place}"))
 
     # these, sentence runs and whole lines, equal in all their words
-    runs = texts.mapInArrow(eased(_emit_runs), f"h bigint, h2 int, d {kind}, t int, s int, e int").union(near)
-    same = Window.partitionBy("h", "h2").orderBy(*order)
-    runs = runs.withColumn("o", F.first(place).over(same)).where(~F.col("o").eqNullSafe(place))
+    runs = pieces.drop("bands").union(windows)
+    spot = F.xxhash64("t", "s", "e")
+    met = materialize(runs.groupBy("h", "h2").agg(F.min(spot).alias("a"), F.max(spot).alias("z")).where("a < z").select("h", "h2"))
+    runs = runs.join(_side(met), ["h", "h2"]).join(_side(lost), "t", "left")
+    clear = F.col("lost").isNull() | ~F.exists("lost", lambda x: (x["s"] < F.col("e")) & (x["e"] > F.col("s")))
+    runs = materialize(runs.select("h", "h2", "d", "t", "s", "e", clear.alias("clear")))
+    heads = materialize(runs.groupBy("h", "h2").agg(F.min(F.struct((~F.col("clear")).alias("lost"), order.alias("o"))).alias("o")).select("h", "h2", "o.lost", "o.o"))
+    gone = runs.where("clear").join(_side(heads), ["h", "h2"]).where(other)
+    saved = heads.where("lost").select("o.*").union(firsts.select("o.*")).drop("none").join(_side(lost).select("t"), "t", "left_semi")
+
+    kept = F.col("o.d").alias("kd")
+    events = gone.select("d", "t", "s", "e", kept, F.lit(0).alias("kind")).union(near.select("d", "t", "s", "e", "kd", F.lit(1))).union(saved.select("d", "t", "s", "e", F.lit(None).cast(kind), F.lit(2)))
+    by_text = events.groupBy("d", "t").agg(F.collect_list(F.struct("s", "e", "kd", "kind")).alias("events"))
+    settled = by_text.mapInArrow(eased(_settle), f"{place}, kept array<{kind}>")
+    return settled.union(whole)
+
+
+def _emit_whole(least: int):
+    def run(batches):
+        for batch in batches:
+            for b in blocks(batch, "text"):
+                p = Paragraphs(b.column(2))
+                first, last = p.texts(least)
+                s, e = p.place(first, last)
+                at = pa.array(p.doc[first])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(s), pa.array(e), b.column(3).take(at)], ["d", "t", "s", "e", "first"])
 
-    # lines, alike by MinHash
-    lines = texts.mapInArrow(eased(_emit_lines(False)), f"line bigint, d {kind}, t int, s int, e int, bands array<bigint>")
-    known = materialize(lines.groupBy("line").agg(F.first("bands").alias("bands")))
-    posted = known.select(F.posexplode("bands").alias("p", "band"), "line")
-    edges = posted.groupBy("p", "band").agg(F.min("line").alias("least"), F.collect_set("line").alias("lines")).where(F.size("lines") > 1)
-    edges = edges.select(F.explode("lines").alias("a"), F.col("least").alias("b"))
-    candidates = materialize(components(edges).select(F.col("node").alias("line"), F.col("component").alias("c")))
-    side = F.broadcast(candidates) if small_side(candidates) else candidates
-    grams = texts.mapInArrow(eased(_emit_lines(True)), f"line bigint, d {kind}, t int, s int, e int, bands array<bigint>, grams array<bigint>").join(side, "line").select("line", "c", "bands", "grams")
-    gathered = grams.groupBy("line").agg(F.first("c").alias("c"), F.first("bands").alias("bands"), F.first("grams").alias("grams"))
-    clusters = materialize(gathered.repartition("c").sortWithinPartitions("c").mapInArrow(eased(_clusters(threshold)), "line bigint, cluster bigint"))
-    side = F.broadcast(clusters) if small_side(clusters) else clusters
-    alike = Window.partitionBy("cluster").orderBy(*order)
-    near = lines.drop("bands").join(side, "line").withColumn("o", F.first(place).over(alike)).where(~F.col("o").eqNullSafe(place))
-    columns = ["d", "t", "s", "e", F.col("o.d").alias("kd")]
-    return runs.select(*columns).union(near.select(*columns))
-
-
-def spans(found: DataFrame) -> DataFrame:
-    """repeats() with spans of a document merged where they touch: (d, t, s, e, kept): the ids that keep what each span holds."""
-    own = Window.partitionBy("d", "t").orderBy("s", "e")
-    before = F.max("e").over(own.rowsBetween(Window.unboundedPreceding, -1))
-    begun = found.withColumn("new", F.when(F.col("s") <= before, 0).otherwise(1)).withColumn("span", F.sum("new").over(own))
-    return begun.groupBy("d", "t", "span").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.array_sort(F.collect_set("kd")).alias("kept")).drop("span")
-
-
-def substring_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, start, end, kept_in): the spans of each document that repeat what the documents kept_in keep."""
-    out = spans(repeats(docs, doc_id, text, threshold))
+    return run
+
+
+def settle(s: np.ndarray, e: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans that are removed of one text: what events of kind 0 (equal) hold, and of kind 1 (near) outside of kind 2 (saved), merged where
+    they touch."""
+    points = np.unique(np.concatenate([s, e]))
+    cover = np.zeros((3, len(points) + 1), np.int64)
+    np.add.at(cover, (kind, np.searchsorted(points, s)), 1)
+    np.add.at(cover, (kind, np.searchsorted(points, e)), -1)
+    equal, near, saved = np.cumsum(cover, 1)[:, :-1] > 0
+    out = equal | (near & ~saved)
+    edge = np.diff(np.concatenate([[0], out.astype(np.int8), [0]]))
+    return points[np.flatnonzero(edge == 1)], points[np.flatnonzero(edge == -1)]
+
+
+def _settle(batches):
+    for batch in batches:
+        lists = batch.column(2)
+        flat = lists.flatten()
+        if not len(flat):
+            continue
+        s, e, what = (np.asarray(flat.field(i)).astype(np.int64) for i in (0, 1, 3))
+        code = pc.dictionary_encode(flat.field(2), null_encoding="encode")
+        sort = pc.array_sort_indices(code.dictionary)
+        by_value = np.argsort(np.asarray(sort))  # rank of each code
+        rank, offs = by_value[np.asarray(code.indices)], np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(lists)))])
+        sorted_values = code.dictionary.take(sort)
+        row, starts, ends, kept, counts = [], [], [], [], []
+        for i in range(batch.num_rows):
+            a, z = offs[i], offs[i + 1]
+            lo, hi = settle(s[a:z], e[a:z], what[a:z])
+            if not len(lo):
+                continue
+            own = np.flatnonzero(what[a:z] < 2) + a
+            first, last = np.searchsorted(hi, s[own], side="right"), np.searchsorted(lo, e[own], side="left")
+            n = np.maximum(last - first, 0)
+            span = np.repeat(first, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            pair = np.unique(np.stack([span, np.repeat(rank[own], n)]), axis=1)
+            row.append(np.full(len(lo), i))
+            starts.append(lo)
+            ends.append(hi)
+            kept.append(pair[1])
+            counts.append(np.bincount(pair[0], minlength=len(lo)))
+        if row:
+            at = pa.array(np.concatenate(row))
+            counts = np.concatenate(counts)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+            values = sorted_values.take(pa.array(np.concatenate(kept)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(ends).astype(np.int32)), pa.ListArray.from_arrays(offsets, values)], ["d", "t", "s", "e", "kept"])
+
+
+def substring_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, least: int = LEAST) -> DataFrame:
+    """(doc_id, start, end, kept_in): the spans of each document that repeat what the documents kept_in (the null id among them) keep."""
+    out = repeats(docs, doc_id, text, threshold, least)
     return out.select(F.col("d").alias("doc_id"), F.col("s").alias("start"), F.col("e").alias("end"), F.col("kept").alias("kept_in"))
 
 
-def _cut(columns: list[str], text: str):
+def _cut(width: int, at_text: int):
+    """Columns c0 to those of the table, the text's cut by the spans in the column after them."""
+    text = f"c{at_text}"
+
     def run(batches):
         for batch in batches:
             for b in blocks(batch, text):
-                data, offs = raw(b.column(b.schema.get_field_index(text)))
+                data, offs = raw(b.column(at_text))
                 lead = (data & 0xC0) != 0x80
                 sign = np.concatenate([[0], np.cumsum(lead)])
-                lists = b.column(b.schema.get_field_index("__spans"))
+                lists = b.column(width)
                 n = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
                 pair = lists.flatten()
                 row = np.repeat(np.arange(b.num_rows), n)
@@ -409,22 +548,22 @@ def _cut(columns: list[str], text: str):
                 np.add.at(drop, at[hi], -1)
                 keep = np.cumsum(drop)[:-1] == 0
                 kept = np.concatenate([[0], np.cumsum(keep)])[offs]
-                out = [b.column(b.schema.get_field_index(c)) for c in columns]
-                out[columns.index(text)] = put_strings(data[keep], kept, text_nulls(b, text))
-                yield pa.RecordBatch.from_arrays(out, columns)
+                out = list(b.columns[:width])
+                out[at_text] = put_strings(data[keep], kept, text_nulls(b, text))
+                yield pa.RecordBatch.from_arrays(out, b.schema.names[:width])
 
     return run
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars", threshold: float = THRESHOLD) -> DataFrame:
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars", threshold: float = THRESHOLD, least: int = LEAST) -> DataFrame:
     """docs with the repeated spans cut out of their texts, and n_chars, if there is such a column, counted again. A document of which
     nothing but white space remains is dropped; one that held nothing before stays."""
-    found = materialize(spans(repeats(docs, doc_id, text, threshold)).groupBy(F.col("d").alias("__d"), F.col("t").alias("__m")).agg(F.collect_list(F.struct("s", "e")).alias("__spans")))
-    side = F.broadcast(found) if small_side(found) else found
-    keyed = docs.withColumn("__t", text_mark(text))
-    joined = keyed.join(side, F.col(doc_id).eqNullSafe(F.col("__d")) & F.col("__t").eqNullSafe(F.col("__m")), "left").drop("__d", "__m", "__t")
-    columns = docs.columns
-    cut = joined.where("__spans is not null").mapInArrow(eased(_cut(columns, text)), docs.schema).where(F.col(text).rlike(r"\S"))
-    if n_chars in columns:
-        cut = cut.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType))
-    return joined.where("__spans is null").select(columns).union(cut.select(columns))
+    d, t, m, spans = free(docs, "__d", "__t", "__m", "__spans")
+    found = materialize(repeats(docs, doc_id, text, threshold, least).groupBy(F.col("d").alias(d), F.col("t").alias(m)).agg(F.collect_list(F.struct("s", "e")).alias(spans)))
+    joined = docs.withColumn(t, text_mark(col(text))).join(_side(found), col(doc_id).eqNullSafe(col(d)) & (col(t) == col(m)), "left")
+    columns = [col(c) for c in docs.columns]
+    plain = renamed(joined.where(col(spans).isNotNull()).select(*columns, col(spans)))
+    cut = plain.mapInArrow(eased(_cut(len(columns), docs.columns.index(text))), plain.drop(plain.columns[-1]).schema).toDF(*docs.columns).where(col(text).rlike(r"\S"))
+    if n_chars in docs.columns:
+        cut = cut.withColumn(n_chars, F.length(col(text)).cast(docs.schema[n_chars].dataType))
+    return joined.where(col(spans).isNull()).select(*columns).union(cut.select(*columns))

@@ -38,6 +38,11 @@ def free(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def renamed(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1 and so on: mapInArrow takes no name that holds a dot."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def relieve() -> None:
     """Give memory that is free back to the system; a worker that outlives its task else keeps the most it ever had."""
     gc.collect()

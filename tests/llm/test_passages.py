@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from quarrylens.llm import passages as P
 
@@ -68,6 +70,8 @@ def test_every_run_and_line_against_brute_force(spark):
 
 
 def test_odd_rows(odd, none):
+    odd = odd.withColumns({c: F.lit("same") for c in ("__t", "__d", "__m", "__spans", "a.b", "e", "s", "h", "h2", "kd", "bands")})
+    none = odd.limit(0)
     out = P.substring_repeats(odd).collect()
     assert all(r["doc_id"] == 5 and r["kept_in"] == [5] for r in out)  # the long text repeats itself
     kept = P.dedup(odd)
@@ -127,3 +131,92 @@ def test_short_lines_wrapped_paragraphs_and_text_without_spaces(spark):
     got = {r["doc_id"]: texts[r["doc_id"]][r["start"] : r["end"]] for r in out}
     assert set(got) == set(want) and len(out) == len(want)
     assert all(want[k] in got[k] and len(got[k]) <= len(want[k]) + 2 for k in want)  # Thai has so few letters that a neighbour may be the same
+
+
+def jaccard(a, b, n=3):
+    grams = lambda x: {tuple(x.split()[i : i + n]) for i in range(max(1, len(x.split()) - n + 1))}
+    return len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+
+
+def left(docs):
+    return [r["text"] for r in P.dedup(docs).select("text").collect()]
+
+
+def test_a_repeat_inside_a_near_line_stays_somewhere(spark):
+    rng = random.Random(77)
+    own = lambda n: " ".join(f"u{rng.randrange(10**9)}" for _ in range(n))
+    a, b, r, q = own(150), own(150), own(50), own(55)
+    rows = [(1, f"{a} {b}"), (2, f"{a} {r} {b}"), (3, f"{own(60)} {r}"), (4, f"{a} {q} {b}"), (5, f"{b} {own(3)}"), (6, f"{a} {q} {b} {own(4)}")]
+    texts = left(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert all(sum(x in t for t in texts) == 1 for x in (r, q))
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_no_repeat_is_lost_in_chains_of_near_lines_runs_and_null_ids(spark, seed):
+    """Every word of every planted run is still there, beside a neighbour in its run; so is one text of each group of near lines."""
+    rng = random.Random(seed)
+    own = lambda n: " ".join(f"u{rng.randrange(10**9)}" for _ in range(n))
+    runs, bases = [own(rng.randrange(22, 70)) for _ in range(6)], [own(120) for _ in range(3)]
+    rows = []
+    for i in range(40):
+        words = rng.choice(bases).split()
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(len(words))] = own(1)
+        for r in rng.sample(runs, rng.randrange(3)):
+            at = rng.randrange(len(words))
+            words[at:at] = r.split()
+        text = " ".join(words) if rng.random() < 0.7 else f"{own(30)}\n{' '.join(words)}\n{rng.choice(runs)}"
+        rows.append((None if rng.random() < 0.3 else rng.randrange(30), text))
+    rows += [(99, f"{own(40)} {r} {own(40)}") for r in runs[:3]]
+    found = set(" ".join(left(spark.createDataFrame(rows, "doc_id long, text string"))).split())
+    before = " ".join(t for _, t in rows)
+    for r in runs:
+        if before.count(r) > 1:
+            assert set(r.split()) <= found
+    assert all(len(set(b.split()) & found) > 90 for b in bases if b.split()[0] in before)
+
+
+def test_null_ids_are_told_apart(spark):
+    """Texts of null ids; with marks of 31 bits, some of 3000 collided with a chance of 1 in 500 only: the marks are of 128."""
+    r = " ".join(f"r{i}" for i in range(60))
+    rows = [(0, r)] + [(None, f"{' '.join(f'x{i}y{j}' for j in range(40))} {r} tail{i}") for i in range(12)]
+    out = P.repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert dict(out.dtypes)["t"] == "binary"
+    texts = left(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sum(r in t for t in texts) == 1 and len(texts) == 13
+
+
+@pytest.mark.parametrize(("threshold", "hot"), [(0.3, 4000), (0.5, 10), (0.8, 4000)])
+def test_near_lines_against_exact_jaccard(spark, threshold, hot):
+    rng = random.Random(19)
+    texts = []
+    for _ in range(12):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(12, 60))]
+        for _ in range(8):
+            w = list(base)
+            for _ in range(rng.randrange(len(w) // 5)):
+                w[rng.randrange(len(w))] = f"z{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    rows = list(enumerate(texts))
+    spans = P.repeats(spark.createDataFrame(rows, "doc_id long, text string"), threshold=threshold, hot=hot).collect()
+    some = {r["d"] for r in spans}
+    got = {r["d"] for r in spans if r["s"] == 0 and r["e"] == len(texts[r["d"]])}
+    root = list(range(len(texts)))
+    find = lambda x: x if root[x] == x else find(root[x])
+    for i, x in enumerate(texts):
+        for j in range(i):
+            if jaccard(x, texts[j]) >= threshold:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    want = {i for i in range(len(texts)) if find(i) != i}
+    # a run that only near lines hold is taken out of what the first of them loses
+    assert got <= want and len(got) >= 0.9 * len(want) and len(want & some) >= 0.97 * len(want) and len(want) > 20
+
+
+def test_settled_spans_against_marks():
+    rng = random.Random(3)
+    for _ in range(200):
+        events = [sorted(rng.sample(range(40), 2)) + [rng.randrange(3)] for _ in range(rng.randrange(1, 9))]
+        marks = [any(s <= x < e and k == 0 for s, e, k in events) or (any(s <= x < e and k == 1 for s, e, k in events) and not any(s <= x < e and k == 2 for s, e, k in events)) for x in range(40)]
+        lo, hi = P.settle(*(np.array(c) for c in zip(*events, strict=True)))
+        assert [any(a <= x < b for a, b in zip(lo, hi, strict=True)) for x in range(40)] == marks and all(b < a for b, a in zip(hi, lo[1:], strict=False))
