@@ -13,7 +13,8 @@ begin, and a window ranks inside a slice; the slices get as many as the source i
 Defined results: a null source is a source of its own, of the key None. A source without a weight has weight 0 and gives nothing; weights
 of sources that are not there are left out. Without weights, each source that is there weighs the same. Rows of equal hash (repeated rows) are in an order that
 depends on the partitions' order alone; each still has its own place. An empty table, or weights that are all zero, give no rows. Null
-and empty texts are documents like any other.
+and empty texts are documents like any other. Columns named mix_shard, mix_block or mix_place are replaced; all others pass through, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarrylens.llm.textblock import col, renamed
+
 BLOCK = 64  # documents a block
 SLICE = 20000  # documents a slice of a source's order, about
 EPOCHS = 4  # times that a scarce source is gone through at most, where all documents are to be taken
@@ -64,7 +67,7 @@ def quotas(counts: Mapping[str, int], weights: Mapping[str, float], epochs: int
 
 def temperature_weights(docs: DataFrame, power: float = 0.5, source: str = "source", nulls: bool = False) -> dict[str | None, float]:
     """Target weights that flatten the sources' sizes: each source's documents to a power; with nulls, the null source's too."""
-    return {r[0]: float(r[1]) ** power for r in docs.where(F.lit(nulls) | F.col(source).isNotNull()).groupBy(source).agg(F.count("*")).collect()}
+    return {r[0]: float(r[1]) ** power for r in docs.where(F.lit(nulls) | col(source).isNotNull()).groupBy(col(source)).agg(F.count("*")).collect()}
 
 
 def split_tree(blocks: np.ndarray, shards: int, seed: int) -> np.ndarray:
@@ -93,8 +96,11 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, sou
     spark = docs.sparkSession
     added = ["mix_shard", "mix_block", "mix_place"]
     docs = docs.drop(*added)
+    names_out = docs.columns
+    doc_id, source = (f"c{names_out.index(c)}" for c in (doc_id, source))
+    docs = renamed(docs)
     content = [c for c in docs.columns if c != doc_id and not isinstance(docs.schema[c].dataType, (T.MapType, T.VariantType))]
-    order = F.xxhash64(F.lit(seed), doc_id, *[f"`{c}`" for c in content])
+    order = F.xxhash64(F.lit(seed), doc_id, *content)
     keyed = docs.withColumn("__o", order)
     counts = {r[0]: r[1] for r in docs.groupBy(source).agg(F.count("*")).collect()}
     take = quotas(counts, weights if weights is not None else {s: 1.0 for s in counts}, epochs)
@@ -104,7 +110,7 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, sou
     if shards is None:
         shards = max(1, round(math.sqrt(sum(take.values())) / 8))
     if not names:
-        return docs.limit(0).withColumns({"mix_shard": F.lit(0), "mix_block": F.lit(0).cast("long"), "mix_place": F.lit(0).cast("long")})
+        return docs.limit(0).withColumns({"mix_shard": F.lit(0), "mix_block": F.lit(0).cast("long"), "mix_place": F.lit(0).cast("long")}).toDF(*names_out, *added)
     deal = split_tree(n_blocks, shards, seed)
     to = np.cumsum(deal, 0)
 
@@ -144,4 +150,4 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, sou
         per_block = F.broadcast(per_block)
     placed = placed.join(per_block, (F.col("__s") == F.col("__rs")) & (F.col("mix_block") == F.col("__b")))
     local = Window.partitionBy("mix_shard").orderBy(F.xxhash64("__o", F.lit(seed + 1), F.floor(F.col("__rank") / F.col("__have"))), "__o", "__s", "__rank")
-    return placed.withColumn("mix_place", F.row_number().over(local).cast("long") - 1).select(*[f"`{c}`" for c in docs.columns], *added)
+    return placed.withColumn("mix_place", F.row_number().over(local).cast("long") - 1).select(*docs.columns, *added).toDF(*names_out, *added)

@@ -50,8 +50,8 @@ def op5_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mixture of all sources at flattened weights: shard, block and place of every document, those of scarce sources repeated."""
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "source")
+    """The mixture of all sources at flattened weights: every document, whole, with its shard, block and place, those of scarce sources repeated."""
+    docs = _read(spark, sf_dir, "documents")
     return mix_sources(docs, temperature_weights(docs, nulls=True), epochs=EPOCHS)
 
 

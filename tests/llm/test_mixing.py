@@ -2,6 +2,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from quarrylens.llm.mixing import mix_sources, quotas, split_tree, temperature_weights
 
 
@@ -42,7 +43,10 @@ def test_exact_quotas_disjoint_blocks_local_places(spark):
 
 
 def test_odd_rows(odd, none):
+    odd = odd.withColumns({c: F.lit("same") for c in ("__o", "__s", "__take", "__rank", "a.b", "c0", "c1")})
+    none = odd.limit(0)
     out = mix_sources(odd, temperature_weights(odd, 1.0), block=2, shards=2)
+    assert set(odd.columns) - {"mix_shard"} < set(out.columns) and out.where("`a.b` <> 'same'").count() == 0
     assert out.count() == odd.where("source is not null").count()
     assert out.columns.count("mix_shard") == 1
     assert mix_sources(none).count() == 0 and mix_sources(odd, {"a": 0.0}).count() == 0
@@ -82,3 +86,17 @@ def test_null_is_a_source_of_its_own(spark, tmp_path):
     assert Counter(r["source"] for r in QUERIES["op6_source_mixing"](spark, str(tmp_path)).collect()) == {None: 30, "a": 30, "b": 30}
     assert Counter(r["source"] for r in mix_sources(docs, {None: 1, "a": 2}).collect()) == {None: 15, "a": 30}
     assert {r["source"] for r in mix_sources(docs, {"a": 2}).collect()} == {"a"}
+
+
+def test_the_query_takes_whole_documents(spark, sf):
+    from quarrylens.llm.queries import QUERIES
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = QUERIES["op6_source_mixing"](spark, sf)
+    assert got.columns[: len(docs.columns)] == docs.columns
+    rows = got.collect()
+    whole = {tuple(r) for r in docs.collect()}
+    assert {tuple(r)[: len(docs.columns)] for r in rows} == whole
+    places = Counter(r["mix_shard"] for r in rows)
+    for shard, n in places.items():
+        assert sorted(r["mix_place"] for r in rows if r["mix_shard"] == shard) == list(range(n))
