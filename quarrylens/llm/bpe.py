@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quarrylens.llm.textblock import MULT, blocks, eased, put_lists, put_strings, raw, span_hash, text_nulls
+from quarrylens.llm.textblock import MULT, blocks, col, eased, put_lists, put_strings, raw, renamed, span_hash, text_nulls
 from quarrylens.runtime import ship
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
@@ -297,33 +297,34 @@ def bpe_encode(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "text"
     extra = [T.StructField("tokens", T.ArrayType(T.IntegerType(), False)), T.StructField("n_tokens", T.LongType())] + [T.StructField("decoded", T.StringType())] * decoded
     names = {f.name for f in extra}
     kept = [f for f in docs.schema.fields if f.name not in names and (keep is None or f.name in keep)]
-    schema = T.StructType(kept + extra)
     columns = [f.name for f in kept]
+    need = list(dict.fromkeys([*columns, text]))
+    schema = T.StructType([T.StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(kept)] + extra)
+    body = f"c{need.index(text)}"
 
     def run(batches):
         words = Dictionary(merges(vocabulary))
 
         def flush(parts):
-            for b, ids, n, got, ends in encode_slice(parts, text, words):
-                null = text_nulls(b, text)
-                out = [b.column(b.schema.get_field_index(c)) for c in columns]
+            for b, ids, n, got, ends in encode_slice(parts, body, words):
+                null = text_nulls(b, body)
+                out = list(b.columns[: len(columns)])
                 out += [_null_rows(put_lists(ids, n, pa.int32()), null), _null_rows(pa.array(n, pa.int64()), null)]
                 out += [put_strings(got, ends, null)] * decoded
-                yield pa.RecordBatch.from_arrays(out, [*columns, *(f.name for f in extra)])
+                yield pa.RecordBatch.from_arrays(out, schema.names)
 
         held, size = [], 0
         for batch in batches:
-            for b in blocks(batch, text):
+            for b in blocks(batch, body):
                 held.append(b)
-                size += raw(b.column(b.schema.get_field_index(text)))[1][-1]
+                size += raw(b.column(b.schema.get_field_index(body)))[1][-1]
                 if size >= CHUNK:
                     yield from flush(held)
                     held, size = [], 0
         if held:
             yield from flush(held)
 
-    need = list(dict.fromkeys([*columns, text]))
-    return docs.select(*[f"`{c}`" for c in need]).mapInArrow(eased(run), schema)
+    return renamed(docs.select(*[col(c) for c in need])).mapInArrow(eased(run), schema).toDF(*columns, *(f.name for f in extra))
 
 
 def bpe_decode(df: DataFrame, vocabulary: str = VOCABULARY, tokens: str = "tokens", to: str = "decoded") -> DataFrame:

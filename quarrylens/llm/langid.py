@@ -9,7 +9,10 @@ A document is accepted if its best language gives its signs a higher mean probab
 Only words with a letter and without a digit count: numbers, codes and signs tell of no language.
 Defined results: a null, empty or blank text, or one without such a word, has no language, null score and margin, and is rejected. Ties go to the language first in
 alphabetical order. Where no labelled row exists, nothing has a language and all is rejected. A sign in no piece costs UNKNOWN. Words
-longer than LONGEST signs are scored in consecutive fragments of that length.
+of any length are summed over all their segmentations; those of more than LONGEST signs step by step in scaled numbers, many side by side. For
+the fit alone, on its bounded sample, they are cut into fragments of LONGEST. Repeated rows get the same result. Columns that are kept pass
+through, whatever their names, unless they have the name of a new one. The model is pieces x languages: as large as the vocabulary and the
+set of labels, which must be of languages.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrylens.llm.textblock import Lookup, blocks, eased, raw, span_hash, word_spans
+from quarrylens.llm.textblock import Lookup, blocks, col, eased, raw, renamed, span_hash, word_spans
 from quarrylens.llm.bpe import gather
 from quarrylens.runtime import ship
 
@@ -121,19 +124,54 @@ def char_rows(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
     return out, at + np.arange(len(at)), n + 1
 
 
+def long_scores(model: PieceModel, chars: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Log probabilities (words, languages) of words of any lengths, a column each, filled up below: the forward sums of the last few places
+    are kept, scaled after each step, and the scales' logarithms are added up."""
+    m, n = chars.shape
+    found = model.lookup(chars)
+    width, depth = model.prob.shape[1], len(found) - 1
+    window = np.zeros((depth, n, width))  # [0]: the place before
+    window[0] = 1.0
+    logs, out = np.zeros((n, width)), np.zeros((n, width))
+    step = max(1, (1 << 21) // (depth * n * width))
+    for base in range(0, m, step):
+        stop = min(base + step, m)
+        weight = np.zeros((stop - base, depth, n, width))  # of the pieces that end behind each place
+        for size in range(1, depth + 1):
+            place, word, row = found[size]
+            a, z = np.searchsorted(place, [base + 1 - size, stop + 1 - size])
+            weight[place[a:z] + size - 1 - base, size - 1, word[a:z]] = model.prob[row[a:z]]
+        for j in range(base, stop):
+            new = (window * weight[j - base]).sum(0)
+            window[1:] = window[:-1]
+            window[0] = new
+            window /= new
+            logs += np.log(new)
+            done = lens == j + 1
+            if done.any():
+                out[done] = logs[done]
+    return out
+
+
 def word_scores(model: PieceModel, cps: np.ndarray, at: np.ndarray, lens: np.ndarray) -> np.ndarray:
-    """Log probabilities (words, languages), each word's fragments added."""
+    """Log probabilities (words, languages)."""
     out = np.zeros((len(at), len(model.languages)))
-    word = np.arange(len(at))
-    while len(word):
-        n = np.minimum(lens, LONGEST)
-        for m in np.unique(n):
-            w = np.flatnonzero(n == m)
-            for c in range(0, len(w), 16384):
-                part = w[c : c + 16384]
-                out[word[part]] += model.score(cps[at[part] + np.arange(m)[:, None]])
-        on = lens > LONGEST
-        word, at, lens = word[on], at[on] + LONGEST, lens[on] - LONGEST
+    for m in np.unique(lens[lens <= LONGEST]):
+        w = np.flatnonzero(lens == m)
+        for c in range(0, len(w), 16384):
+            part = w[c : c + 16384]
+            out[part] = model.score(cps[at[part] + np.arange(m)[:, None]])
+    far = np.flatnonzero(lens > LONGEST)
+    far = far[np.argsort(lens[far], kind="stable")]
+    c = 0
+    while c < len(far):  # words of like lengths together
+        longest = min(int(2 * lens[far[c]]), int(lens[far[-1]]))
+        z = int(np.searchsorted(lens[far], longest, side="right"))
+        part = far[c : min(z, c + max(1, (1 << 18) // longest))]
+        rows = np.arange(lens[part].max())[:, None]
+        chars = np.where(rows < lens[part], cps[np.minimum(at[part] + rows, len(cps) - 1)], 0)
+        out[part] = long_scores(model, chars, lens[part])
+        c += len(part)
     return out
 
 
@@ -166,7 +204,7 @@ TELLING_WORD = r"w RLIKE '[^\\x00-\\x60\\x7b-\\x7f]' AND NOT w RLIKE '[0-9]'"  #
 
 def train_pieces(docs: DataFrame, vocabulary: str = VOCABULARY, sample: int = SAMPLE, rounds: int = ROUNDS, text: str = "text", lang: str = "lang") -> PieceModel:
     """Piece probabilities from about `sample` labelled documents a language, chosen by a hash of their text."""
-    labelled = docs.where(F.col(lang).isNotNull() & (F.length(F.trim(text)) > 0)).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    labelled = docs.where(col(lang).isNotNull() & (F.length(F.trim(col(text))) > 0)).select(col(lang).alias("lang"), col(text).alias("text"))
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(counts)
     model = untrained(vocabulary, languages)
@@ -198,13 +236,16 @@ def identify(docs: DataFrame, model: PieceModel, text: str = "text", keep: list[
     names = {f.name for f in extra}
     kept = [f for f in docs.schema.fields if f.name not in names and (keep is None or f.name in keep)]
     columns = [f.name for f in kept]
+    need = list(dict.fromkeys([*columns, text]))
+    schema = T.StructType([T.StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(kept)] + extra)
+    body = f"c{need.index(text)}"
 
     def run(batches):
         m = shared.value
         known, table = np.zeros(0, np.uint64), np.zeros((0, max(1, len(m.languages))))
         for batch in batches:
-            for b in blocks(batch, text, 4 << 20):
-                data, offs = raw(pc.utf8_lower(b.column(b.schema.get_field_index(text))))
+            for b in blocks(batch, body, 4 << 20):
+                data, offs = raw(pc.utf8_lower(b.column(b.schema.get_field_index(body))))
                 starts, ends, doc = evidence(data, *word_spans(data, offs))
                 h = span_hash(data, starts, ends)
                 u, first, inverse = np.unique(h, return_index=True, return_inverse=True)
@@ -231,15 +272,14 @@ def identify(docs: DataFrame, model: PieceModel, text: str = "text", keep: list[
                 else:
                     has = np.zeros(n, bool)
                 null = pa.array(~has)
-                out = [b.column(b.schema.get_field_index(c)) for c in columns]
+                out = list(b.columns[: len(columns)])
                 out.append(pc.if_else(null, None, pa.array(np.array([*m.languages, ""], object)[np.where(has, lid, -1)], pa.string())))
                 out.append(pc.if_else(null, None, pa.array(score)))
                 out.append(pc.if_else(null, None, pa.array(margin)))
                 out.append(pa.array(has & (score > FLOOR)))
-                yield pa.RecordBatch.from_arrays(out, [*columns, *(f.name for f in extra)])
+                yield pa.RecordBatch.from_arrays(out, schema.names)
 
-    need = list(dict.fromkeys([*columns, text]))
-    return docs.select(*[f"`{c}`" for c in need]).mapInArrow(eased(run), T.StructType(kept + extra))
+    return renamed(docs.select(*[col(c) for c in need])).mapInArrow(eased(run), schema).toDF(*columns, *(f.name for f in extra))
 
 
 def evidence(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
