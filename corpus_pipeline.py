@@ -9,12 +9,13 @@ from quarrylens.llm.jaccard import drop_near_duplicates
 from quarrylens.llm.langid import identify, train_pieces
 from quarrylens.llm.mixing import EPOCHS, mix_sources, temperature_weights
 from quarrylens.llm.passages import dedup
+from quarrylens.llm.textblock import col
 from quarrylens.runtime import materialize
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language is found."""
-    return identify(docs, train_pieces(docs)).where("lid_ok").select(docs.columns)
+    return identify(docs, train_pieces(docs)).where("lid_ok").select(*[col(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +30,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, those of scarce sources repeated towards the target weights, shard by shard, each shard shuffled."""
-    return mix_sources(docs, temperature_weights(docs, nulls=True), epochs=EPOCHS).where("mix_place >= 0").select(docs.columns)
+    return mix_sources(docs, temperature_weights(docs, nulls=True), epochs=EPOCHS).where("mix_place >= 0").select(*[col(c) for c in docs.columns])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
