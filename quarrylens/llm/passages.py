@@ -8,8 +8,10 @@ blocks, so that none is gathered in one place. Of each cluster the first paragra
 
 What is equal in all its words is looked for as well: whole texts and paragraphs; sentence runs (from each sentence start the least whole
 sentences that have WORDS words); and windows of WORDS words wherever they start: of each REACH windows in a row the one of least hash is
-posted, so that a repeat of WORDS + REACH - 1 words shares one with its like wherever it lies, and then every window near a shared one is
-compared. A repeat of 50 words is found whole, to the word.
+posted, and so is each segment, from one posted window to the end of the next, so that a repeat of WORDS + REACH - 1 words shares a window
+with its like wherever it lies. Shared segments are compared as they are; beside a shared window every window is, up to REACH away, but on a
+side with a shared segment whose first document is that of both its windows. A repeat of 50 words is found whole, to the word: one that
+holds neither window of a segment is shorter.
 
 What is removed has a kept copy. Near paragraphs are settled first. Of places of equal words, those clear of removed near paragraphs count: the
 first of them stays and the others go. Where there is none, the first of all is taken out of what its near paragraph loses. So each removed
@@ -19,7 +21,8 @@ first paragraph of a cluster loses nothing to another cluster. Only words of a n
 Defined results: words are runs free of white space; each sign of a script that is written without spaces (Chinese, Japanese, Thai, Lao,
 Khmer, Burmese, Tibetan) is a word of its own. Lines of fewer than `least` words recur by chance (headings, brackets, list items) and stay
 unless a longer repeat holds them. Null, empty and short texts have no paragraphs. Rows of equal id and text are one document, whose own copy is no
-repeat; rows of a null id come last in the order. Documents are told apart by id and 128 bits of their text's hash. Offsets count signs, from
+repeat; rows of a null id come last in the order. Documents are told apart by id and 128 bits of their text's hash; texts that agree in 64
+of them only (a chance of 3 in 10^8 for a million texts) are neither compared nor changed. Offsets count signs, from
 0, end excluded. Extra columns pass through dedup() whatever their names. An empty table gives no spans.
 """
 
@@ -235,7 +238,7 @@ def bands(grams: np.ndarray, line: np.ndarray, count: int, shape: tuple[int, int
             low = np.minimum.reduceat(h ^ (h >> np.uint64(31)), first)
             b = k // shape[1]
             out[:, b] = mix(out[:, b] * MULT + low + np.uint64(b + 1))
-    return out.view(np.int64)
+    return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)  # two of one key that differ cost a comparison
 
 
 def _emit_pieces(least: int, shape: tuple[int, int]):
@@ -252,43 +255,69 @@ def _emit_pieces(least: int, shape: tuple[int, int]):
                 at = pa.array(p.doc[first])
                 n = len(lines[0])
                 grams, line = p.grams(*lines)
-                key = bands(grams, line, n, shape) if n else np.zeros((0, shape[0]), np.int64)
-                lists = pa.concat_arrays([pa.nulls(len(runs[0]), pa.list_(pa.int64())), put_lists(key.ravel(), np.full(n, shape[0]), pa.int64())])
+                key = bands(grams, line, n, shape) if n else np.zeros((0, shape[0]), np.int32)
+                lists = pa.concat_arrays([pa.nulls(len(runs[0]), pa.list_(pa.int32())), put_lists(key.ravel(), np.full(n, shape[0]), pa.int32())])
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(h2), b.column(0).take(at), b.column(1).take(at), pa.array(s), pa.array(e), lists], ["h", "h2", "d", "t", "s", "e", "bands"])
 
     return run
 
 
 def _emit_picks(batches):
+    """Keys of the picks, as role 0, and of the segments that begin with them, as role 1."""
     for batch in batches:
         for b in blocks(batch, "text"):
             p = Paragraphs(b.column(2))
-            first, _, h, h2 = p.picks()
+            first, _, h, _ = p.picks()
+            i, a, z = segments(p, first)
+            g, _ = run_hashes(p.hash, a, z)
+            first = np.concatenate([first, first[i]])
             doc = p.doc[first]
-            at = pa.array(doc)
             place = (first - np.searchsorted(p.doc, doc)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(h2), b.column(0).take(at), b.column(1).take(at), pa.array(place)], ["h", "h2", "d", "t", "at"])
+            role = np.repeat(np.array([0, 1], np.int32), [len(h), len(g)])
+            at = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h, g])), b.column(0).take(at), b.column(1).take(at), pa.array(place), pa.array(role)], ["h", "d", "t", "at", "role"])
+
+
+def segments(p: Paragraphs, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each two picks in a row of one text: the place of the former among the picks, and the first and last word (excluded) of both."""
+    same = np.flatnonzero(p.doc[first[1:]] == p.doc[first[:-1]]) if len(first) else np.zeros(0, np.int64)
+    return same, first[same], first[same + 1] + WORDS if len(same) else first[:0]
 
 
 def _emit_near(batches):
-    """The windows less than REACH words from the first words in column at."""
+    """Of texts with their shared picks and segments (first word, role, hash of the first document's id): the shared segments, and the windows
+    beside a shared pick, up to REACH words away, but on a side with a shared segment of the same first document."""
     for batch in batches:
         for b in blocks(batch, "text"):
             p = Paragraphs(b.column(2))
-            first, last = p.windows()
+            first, _, _, _ = p.picks()
+            begin = np.searchsorted(p.doc, np.arange(b.num_rows + 1))
             lists = b.column(3)
-            row = np.repeat(np.arange(b.num_rows), np.asarray(pc.list_value_length(lists)))
-            centre = np.asarray(lists.flatten()).astype(np.int64) + np.searchsorted(p.doc, row)
-            lo = np.maximum(centre - REACH + 1, np.searchsorted(p.doc, row))
-            hi = np.minimum(centre + REACH, np.searchsorted(p.doc, row, side="right"))
+            at, role, head = (np.asarray(lists.flatten().field(k)).astype(np.int64) for k in range(3))
+            at += begin[np.repeat(np.arange(b.num_rows), np.asarray(pc.list_value_length(lists)))]
+            have = np.zeros((2, len(first)), bool)  # picks, segments that begin with them
+            heads = np.zeros((2, len(first)), np.int64)
+            place = np.searchsorted(first, at)
+            have[role, place] = True
+            heads[role, place] = head
+            shared, right = have
+            i, a, z = segments(p, first)
+            joined = np.zeros(len(first), bool)  # by the segment behind a pick
+            joined[i] = right[i] & (heads[1, i] == heads[0, i]) & (heads[1, i] == heads[0, i + 1])
+            left = np.zeros(len(first), bool)
+            left[i + 1] = joined[i]
             near = np.zeros(len(p.starts) + 1, np.int64)
-            np.add.at(near, lo, 1)
-            np.add.at(near, hi, -1)
-            some = (np.cumsum(near) > 0)[first]
-            first, last = first[some], last[some]
-            h, h2 = run_hashes(p.hash, first, last)
-            s, e = p.place(first, last)
-            at = pa.array(p.doc[first])
+            lo, hi = begin[p.doc[first]], begin[p.doc[first] + 1]
+            for at, start, end in ((shared & ~left, first - REACH + 1, first + 1), (shared & ~joined, first, first + REACH)):
+                np.add.at(near, np.maximum(start, lo)[at], 1)
+                np.add.at(near, np.minimum(end, hi)[at], -1)
+            w, w_end = p.windows()
+            some = (np.cumsum(near) > 0)[w]
+            some[np.searchsorted(w, first[shared])] = True
+            a, z = np.concatenate([a[right[i]], w[some]]), np.concatenate([z[right[i]], w_end[some]])
+            h, h2 = run_hashes(p.hash, a, z)
+            s, e = p.place(a, z)
+            at = pa.array(p.doc[a])
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(h2), b.column(0).take(at), b.column(1).take(at), pa.array(s), pa.array(e)], ["h", "h2", "d", "t", "s", "e"])
 
 
@@ -364,8 +393,13 @@ def _clusters(threshold: float, bands_n: int):
 
 
 def text_mark(text) -> F.Column:
-    """128 bits of a text's hash, to tell apart texts of one id."""
-    return F.unhex(F.md5(text))
+    """64 bits of a text's hash, by which a text is known; texts of one mark and different text_check() are left alone."""
+    return F.xxhash64(text)
+
+
+def text_check(text) -> F.Column:
+    """64 more bits, of another seed."""
+    return F.xxhash64(F.lit(7), text)
 
 
 def _side(df: DataFrame) -> DataFrame:
@@ -376,7 +410,8 @@ def _side(df: DataFrame) -> DataFrame:
 def near_lines(texts: DataFrame, lines: DataFrame, threshold: float, least: int, shape: tuple[int, int], hot: int = HOT) -> DataFrame:
     """(line, cluster) of the lines (by hash) that are alike, of texts(d, t, text) and their lines(h, t, bands)."""
     known = materialize(lines.groupBy(F.col("h").alias("line")).agg(F.first("bands").alias("bands")))
-    posted = known.select(F.explode("bands").alias("band"), "line")
+    key = lambda k, b: (k.cast("long") * F.lit(1 << 32)) + F.col(b)
+    posted = known.select(F.posexplode("bands").alias("k", "b"), "line").select(key(F.col("k"), "b").alias("band"), "line")
     met = materialize(posted.groupBy("band").agg(F.min("line").alias("first"), F.max("line").alias("last")).where("first < last").select("band", "first"))
     edges = posted.join(_side(met), "band").where("line > first").select(F.col("line").alias("a"), F.col("first").alias("b"))
     candidates = components(edges).select(F.col("node").alias("line"), F.col("component").alias("c"))
@@ -391,11 +426,11 @@ def near_lines(texts: DataFrame, lines: DataFrame, threshold: float, least: int,
     compare = lambda df: df.select("line", "c", "bands", "grams").repartition("c").sortWithinPartitions("c").mapInArrow(eased(_clusters(threshold, shape[0])), "line bigint, cluster bigint")
     out = compare(grams.where(F.col("n") <= hot))
     if big:
-        by_band = grams.where(F.col("n") > hot).withColumn("band", F.explode("bands"))
+        by_band = grams.where(F.col("n") > hot).select("*", F.posexplode("bands").alias("k", "b")).withColumn("band", key(F.col("k"), "b"))
         sizes = materialize(by_band.groupBy("band").agg(F.count("*").alias("m")).where("m > 1"))
         by_band = by_band.join(_side(sizes), "band").withColumn("blocks", F.ceil(F.col("m") / hot).cast("int"))
         by_band = by_band.withColumn("block", F.pmod(F.xxhash64("line"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        by_band = by_band.withColumn("c", F.xxhash64("band", F.least("block", "other"), F.greatest("block", "other"))).withColumn("bands", F.transform("bands", lambda x: F.when(x == F.col("band"), x).otherwise(F.xxhash64("line", x))))
+        by_band = by_band.withColumn("c", F.xxhash64("band", F.least("block", "other"), F.greatest("block", "other"))).withColumn("bands", F.array(*[F.when(F.col("k") == k, F.col("b")).otherwise(F.xxhash64("line", F.lit(k)).cast("int")) for k in range(shape[0])]))
         joined = compare(by_band).select(F.col("line").alias("a"), F.col("cluster").alias("b"))
         out = out.union(components(joined).select("node", "component"))
     return materialize(out)
@@ -408,18 +443,19 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     named = docs.where(col(text).isNotNull()).select(col(doc_id).alias("d"), text_mark(col(text)).alias("t"), col(text).alias("text"))
     kind = named.schema["d"].dataType.simpleString()
     order = F.struct(F.col("d").isNull().alias("none"), "d", "t", "s", "e")
-    place = f"d {kind}, t binary, s int, e int"
+    place = f"d {kind}, t bigint, s int, e int"
 
     # of equal texts, the one of the least id is looked at; the others repeat it as a whole
-    same = named.groupBy("t").agg(F.min("d").alias("first"), F.min(F.xxhash64("d")).alias("a"), F.max(F.xxhash64("d")).alias("z"))
-    same = materialize(same.where("a < z").select("t", "first"))
-    marked = named.join(_side(same).withColumn("many", F.lit(True)), "t", "left")
+    check = text_check(F.col("text"))
+    same = named.groupBy("t").agg(F.min("d").alias("first"), F.min(F.xxhash64("d")).alias("a"), F.max(F.xxhash64("d")).alias("z"), (F.min(check) < F.max(check)).alias("twins"))
+    same = materialize(same.where("a < z or twins").select("t", "first", "twins"))
+    marked = named.join(_side(same).withColumn("many", F.lit(True)), "t", "left").where("not coalesce(twins, false)")
     first = F.col("many").isNull() | F.col("d").eqNullSafe(F.col("first"))
     texts = marked.where(first).select("d", "t", "text")
     whole = marked.where(~first).select("d", "t", "text", "first").mapInArrow(eased(_emit_whole(least)), f"{place}, first {kind}")
     whole = whole.select("d", "t", "s", "e", F.array("first").alias("kept"))
 
-    pieces = materialize(texts.mapInArrow(eased(_emit_pieces(least, shape_)), f"h bigint, h2 int, {place}, bands array<bigint>"))
+    pieces = materialize(texts.mapInArrow(eased(_emit_pieces(least, shape_)), f"h bigint, h2 int, {place}, bands array<int>"))
     lines = pieces.where("bands is not null")
 
     # lines, alike by MinHash
@@ -431,22 +467,23 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     lost = materialize(near.groupBy("t").agg(F.collect_set(F.struct("s", "e")).alias("lost")))  # of a text, its own spans
 
     # windows near one that has its like
-    picks = texts.mapInArrow(eased(_emit_picks), f"h bigint, h2 int, d {kind}, t binary, at int").select("h", "h2", "t", "at")
-    picks = materialize(picks)
+    picks = materialize(texts.mapInArrow(eased(_emit_picks), f"h bigint, d {kind}, t bigint, at int, role int"))
     spot = F.xxhash64("t", "at")
-    met = materialize(picks.groupBy("h", "h2").agg(F.min(spot).alias("a"), F.max(spot).alias("z")).where("a < z").select("h", "h2"))
-    shared = materialize(picks.join(_side(met), ["h", "h2"]).groupBy("t").agg(F.collect_set("at").alias("at")))
+    met = materialize(picks.groupBy("h").agg(F.min(spot).alias("a"), F.max(spot).alias("z"), F.min("d").alias("head")).where("a < z").select("h", F.xxhash64("head").alias("head")))
+    shared = materialize(picks.join(_side(met), "h").groupBy("t").agg(F.collect_set(F.struct("at", "role", "head")).alias("shared")))  # of a text, its own words
     discard(picks)
-    about = texts.join(_side(shared), "t").select("d", "t", "text", "at")
+    about = texts.join(_side(shared), "t").select("d", "t", "text", "shared")
     windows = materialize(about.mapInArrow(eased(_emit_near), f"h bigint, h2 int, {place}"))
 
     # these, sentence runs and whole lines, equal in all their words
     runs = pieces.drop("bands").union(windows)
     spot = F.xxhash64("t", "s", "e")
-    met = materialize(runs.groupBy("h", "h2").agg(F.min(spot).alias("a"), F.max(spot).alias("z")).where("a < z").select("h", "h2"))
-    runs = runs.join(_side(met), ["h", "h2"]).join(_side(lost), "t", "left")
+    met = materialize(runs.groupBy("h").agg(F.min(spot).alias("a"), F.max(spot).alias("z")).where("a < z").select("h"))
+    runs = runs.join(_side(met), "h").join(_side(lost), "t", "left")
     clear = F.col("lost").isNull() | ~F.exists("lost", lambda x: (x["s"] < F.col("e")) & (x["e"] > F.col("s")))
     runs = materialize(runs.select("h", "h2", "d", "t", "s", "e", clear.alias("clear")))
+    discard(pieces)
+    discard(windows)
     heads = materialize(runs.groupBy("h", "h2").agg(F.min(F.struct((~F.col("clear")).alias("lost"), order.alias("o"))).alias("o")).select("h", "h2", "o.lost", "o.o"))
     gone = runs.where("clear").join(_side(heads), ["h", "h2"]).where(other)
     saved = heads.where("lost").select("o.*").union(firsts.select("o.*")).drop("none").join(_side(lost).select("t"), "t", "left_semi")
