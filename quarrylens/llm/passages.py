@@ -430,7 +430,7 @@ def near_lines(texts: DataFrame, lines: DataFrame, threshold: float, least: int,
         sizes = materialize(by_band.groupBy("band").agg(F.count("*").alias("m")).where("m > 1"))
         by_band = by_band.join(_side(sizes), "band").withColumn("blocks", F.ceil(F.col("m") / hot).cast("int"))
         by_band = by_band.withColumn("block", F.pmod(F.xxhash64("line"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        by_band = by_band.withColumn("c", F.xxhash64("band", F.least("block", "other"), F.greatest("block", "other"))).withColumn("bands", F.array(*[F.when(F.col("k") == k, F.col("b")).otherwise(F.xxhash64("line", F.lit(k)).cast("int")) for k in range(shape[0])]))
+        by_band = by_band.withColumn("c", F.xxhash64("band", F.least("block", "other"), F.greatest("block", "other"))).withColumn("bands", F.array(*[F.when(F.col("k") == k, F.col("b")).otherwise(F.shiftright(F.xxhash64("line", F.lit(k)), 33).cast("int")) for k in range(shape[0])]))
         joined = compare(by_band).select(F.col("line").alias("a"), F.col("cluster").alias("b"))
         out = out.union(components(joined).select("node", "component"))
     return materialize(out)
