@@ -202,10 +202,3 @@ def sarif_results(spark, sf_dir):
 def sarif_rules(spark, sf_dir):
     at = lambda p: F.get_json_object("rule", p)
     return emit.sarif_rules(reported(spark, sf_dir)).select("rule_id", at("$.name").alias("name"), at("$.shortDescription.text").alias("said"))
-
-
-@query("SELECT CAST(NULL AS VARCHAR) AS problem WHERE false")
-def report_recount(spark, sf_dir):
-    """Problems of a report whose counts are its own: none."""
-    rows = reported(spark, sf_dir)
-    return R.problems(rows, R.count_by(rows))

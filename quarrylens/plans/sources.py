@@ -11,6 +11,7 @@ from quarrylens.functions.facts import extract
 from quarrylens.operators.adapters import parse_payloads
 from quarrylens.operators.rules import copied_code, import_cycles, leaked_authority, magic_numbers, per_fact, scattered_constants, unused_private
 from quarrylens.plans.base import Query, table
+from quarrylens.runtime import materialize
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -77,7 +78,7 @@ def _expected() -> str:
 
 def rules_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rules of one file over a file for each part."""
-    return per_fact(extract(sample_files(spark, sf_dir))).select("path", "line", "signal")
+    return per_fact(materialize(extract(sample_files(spark, sf_dir)), by=["kind"])).select("path", "line", "signal")
 
 
 def group_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +110,7 @@ _CROSS_SQL = {
 
 
 def _cross(name: str) -> Query:
-    return lambda spark, sf_dir: CROSS_RULES[name](extract(group_files(spark, sf_dir))).select("path", "line", "signal")
+    return lambda spark, sf_dir: CROSS_RULES[name](materialize(extract(group_files(spark, sf_dir)), by=["kind"])).select("path", "line", "signal")
 
 
 def authority_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
