@@ -17,7 +17,7 @@ from quarrylens.operators.scan import Options, scan_files, scan_tree
 from quarrylens.sinks import emit
 from quarrylens.sources.domains import load_domain
 from quarrylens.sources.settings import config_schema, load_config, read_json
-from quarrylens.sources.tools import availability
+from quarrylens.sources.tools import analyzer_catalog, availability
 from quarrylens.sources.tree import synthetic_tree
 
 BUDGETS = {250: 8.0, 1000: 35.0}
@@ -47,6 +47,7 @@ def parser() -> argparse.ArgumentParser:
     scan.add_argument("--domain")
     scan.add_argument("--domain-file")
     scan.add_argument("--ratchet")
+    scan.add_argument("--no-tools", action="store_true", help="leave outside tools alone")
     scan.add_argument("--output")
     for name in ("emit-sarif", "emit-annotations", "emit-github-summary", "emit-baseline", "validate-report"):
         c = sub.add_parser(name)
@@ -55,7 +56,7 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--scope-class", action="append", default=[])
         c.add_argument("--owner-lane", action="append", default=[])
     sub.add_parser("validate-sarif").add_argument("document")
-    for name in ("show-config-schema", "show-profile-catalog", "show-analyzer-availability", "show-profile-execution-plan", "scale-check"):
+    for name in ("show-config-schema", "show-profile-catalog", "show-analyzer-catalog", "show-analyzer-availability", "show-profile-execution-plan", "scale-check"):
         sub.add_parser(name)
     return p
 
@@ -71,6 +72,8 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
         show(config_schema())
     elif a.command == "show-profile-catalog":
         show([{"profile_id": k, "signals": list(v), "lanes": list(catalog.LANES[k]), "analyzers": list(catalog.TOOLS.get(k, ()))} for k, v in catalog.SIGNALS.items()])
+    elif a.command == "show-analyzer-catalog":
+        show(analyzer_catalog())
     elif a.command == "show-analyzer-availability":
         show([r.asDict() for r in availability(spark).collect()])
     elif a.command == "show-profile-execution-plan":
@@ -90,7 +93,7 @@ def _scan(spark: SparkSession, a: argparse.Namespace) -> int:
     domain = load_domain(a.domain, a.domain_file)
     policy = R.GatePolicy(c.severity_threshold, c.fail_on_new_findings, c.fail_on_unreviewed_review_required, c.fail_on_analyzer_errors)
     exclude = (*a.exclude, *domain.excluded_files, *domain.excluded_prefixes)
-    options = Options(a.profile or c.profile, a.scope_mode or c.scope_mode, tuple(a.include), exclude, policy, a.operations, a.diff_from, side_terms=domain.side_program_terms, authority_terms=domain.authority_terms)
+    options = Options(a.profile or c.profile, a.scope_mode or c.scope_mode, tuple(a.include), exclude, policy, a.operations, a.diff_from, side_terms=domain.side_program_terms, authority_terms=domain.authority_terms, run_tools=not a.no_tools)
     done = scan_tree(spark, a.root, options)
     report = done.report(datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"))
     if a.ratchet:
@@ -107,9 +110,11 @@ def _scan(spark: SparkSession, a: argparse.Namespace) -> int:
 def _emit(spark: SparkSession, a: argparse.Namespace, show) -> int:
     rows = R.view(report_findings(spark, a.report), a.scope_class, a.owner_lane)
     if a.command == "validate-report":
-        found = [r["problem"] for r in R.problems(rows, R.count_by(rows)).collect()]
-        if read_json(a.report).get("summary", {}).get("total_findings") != rows.count():
-            found.append("total_findings does not add up")
+        report = read_json(a.report)
+        rows = report_findings(spark, a.report)
+        found = R.document_problems(report) + [r["problem"] for r in R.problems(rows, *R.stored_counts(spark, report.get("summary") or {})).collect()]
+        if len(report.get("residuals") or []) != (report.get("summary") or {}).get("residual_count"):
+            found.append("residual_count does not match the residuals")
         show(found)
         return 4 * bool(found)
     if a.command == "emit-sarif":
@@ -121,8 +126,9 @@ def _emit(spark: SparkSession, a: argparse.Namespace, show) -> int:
             f.writelines(r["annotation"] + "\n" for r in emit.annotations(rows).orderBy("emitted").toLocalIterator())
     else:
         policy = R.GatePolicy()
-        verdict = R.gate(rows, policy).first().asDict(recursive=True)
-        brief = R.brief(rows, verdict["decision"], verdict["blocking_count"], {}, from_view=True)
+        states = {str(x.get("tool")): str(x.get("state")) for x in read_json(a.report).get("external_runs") or []}
+        verdict = R.view_gate(rows, policy, states).first().asDict(recursive=True)
+        brief = R.brief(rows, verdict["decision"], verdict["blocking_count"], states, from_view=True)
         with open(a.output, "w", encoding="utf-8") as f:
             f.write(emit.markdown_summary({"gate": verdict, "review_brief": brief, "summary": R.totals(rows).first().asDict()}))
     return 0

@@ -24,6 +24,7 @@ import re
 import sys
 import tokenize
 import tomllib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 
 from quarrylens.functions.lifetimes import Function, Handles, With
 from quarrylens.functions.taint import SHELL_METHODS, flows, shell_true
-from quarrylens.runtime import ship
+from quarrylens.runtime import ship, spread
 
 SCHEMA = (
     "path string, kind string, line int, end_line int, ord int, name string, value string, excerpt string, symbol string, content string, "
@@ -107,16 +108,26 @@ class Text:
         self.spans: list[tuple[int, int, str]] = []
         self.docs: set[int] = set()
         self.count: Counter[str] = Counter()
+        self._ends: list[int] | None = None
+        self._inside: tuple[int, list[str]] = (-1, [])
 
     def line_at(self, index: int) -> int:
-        return self.text.count("\n", 0, index) + 1
+        if self._ends is None:
+            self._ends = [m.start() for m in re.finditer("\n", self.text)]
+        return bisect_left(self._ends, index) + 1
 
     def excerpt(self, line: int) -> str:
         return self.lines[line - 1].strip() if 1 <= line <= len(self.lines) else ""
 
     def symbol(self, line: int) -> str:
-        inside = [(end - start, k) for k, (start, end, _) in enumerate(self.spans) if start <= line <= end]
-        return self.spans[min(inside)[1]][2] if inside else ""
+        """Name of the shortest span that holds the line, the first of equal ones: spans are laid over the lines, the longest first."""
+        if self._inside[0] != len(self.spans):
+            names = [""] * (max((end for _, end, _ in self.spans), default=0) + 1)
+            for k in sorted(range(len(self.spans)), key=lambda k: (self.spans[k][0] - self.spans[k][1], -k)):
+                start, end, name = self.spans[k]
+                names[start : end + 1] = [name] * (end + 1 - start)
+            self._inside = len(self.spans), names
+        return self._inside[1][line] if line < len(self._inside[1]) else ""
 
     def fact(self, kind: str, line: int | None, **more) -> dict:
         self.count[kind] += 1
@@ -565,8 +576,13 @@ def facts_of(path: str, whole: str, text: str, emitters: tuple[Callable[[Text],
     yield from t.plain()
 
 
+def _columns(rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in _ARROW], schema=_ARROW)
+
+
 def extract(files: DataFrame, emitters: tuple = ()) -> DataFrame:
-    """Facts of files(path, text[, abs_path]). A null text gives no facts; equal rows give equal facts twice."""
+    """Facts of files(path, text[, abs_path]), the work of one Python pass; write them before several rules read them. Few small files are
+    spread over the cores. A null text gives no facts; equal rows give equal facts twice."""
     whole = files["abs_path"] if "abs_path" in files.columns else files["path"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -576,9 +592,9 @@ def extract(files: DataFrame, emitters: tuple = ()) -> DataFrame:
                 if path is not None and text is not None:
                     rows += facts_of(path, full or path, text.replace("\r\n", "\n").replace("\r", "\n"), tuple(emitters))
                 if len(rows) >= 20_000:
-                    yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+                    yield _columns(rows)
                     rows = []
-            yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+            yield _columns(rows)
 
     ship(files.sparkSession)
-    return files.select(files["path"], whole.alias("abs_path"), files["text"]).mapInArrow(run, SCHEMA)
+    return spread(files.select(files["path"], whole.alias("abs_path"), files["text"])).mapInArrow(run, SCHEMA)

@@ -125,8 +125,9 @@ def parse_payloads(payloads: DataFrame, only: list[str] | None = None) -> DataFr
         if only is None or name in only:
             rows = tool.findings(name, payloads).withColumn("rule_rank", F.lit(rank))
             out = rows if out is None else out.unionByName(rows)
-    # a payload's rows are few; place keeps their order
-    order = F.row_number().over(Window.partitionBy("rule_rank").orderBy("place"))
+    # place: the positions, level by level, in one payload; of several payloads of a tool, findings are told apart by what emission_key() holds
+    digits = F.transform("place", lambda x: F.least(x, F.lit(9999)))
+    order = F.aggregate(digits, F.lit(0).cast("long"), lambda s, x: s * 10000 + x)
     return out.withColumns({"phase": F.lit(3), "ord": order, "symbol": F.lit(""), "content": F.lit("")}).drop("place")
 
 

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarrylens.functions.columns import scope_class, suffix
 
 HYGIENE = tuple(
     (
@@ -61,6 +64,28 @@ def execution_plan(spark: SparkSession, readiness: dict[str, str]) -> DataFrame:
     return spark.createDataFrame(rows, "profile_id string, analyzer_id string, state string, runs boolean")
 
 
+def lane_files(files: DataFrame, scope_mode: str) -> DataFrame:
+    """The files(path, ...) that outside tools are asked about: of a whole repository its sources and tests, else all."""
+    return files.where(scope_class(F.col("path")).isin("runtime-source", "tests")) if scope_mode == "full-repo" else files
+
+
+def tool_facts(files: DataFrame) -> DataFrame:
+    """One row: which kinds of files there are."""
+    p = F.col("path")
+    has = lambda *ends: F.coalesce(F.bool_or(suffix(p).isin(*ends)), F.lit(False))
+    return files.agg(
+        has(".py").alias("python"), has(".js", ".jsx", ".ts", ".tsx").alias("web"), has(".ts", ".tsx").alias("typescript"), has(".sh", ".bash").alias("shell"), has(".sql").alias("sql"),
+        F.coalesce(F.bool_or(scope_class(p) == "runtime-source"), F.lit(False)).alias("runtime_source"),
+    )
+
+
+def tools_that_apply(facts: DataFrame, profile: str, tsconfig: bool) -> DataFrame:
+    """(tool): the tools of a profile that have something to read, in their order, from the row of tool_facts()."""
+    need = {**{t: F.col("python") for t in PYTHON_TOOLS}, "semgrep": F.col("runtime_source"), "eslint": F.col("web"), "tsc": F.col("typescript") & F.lit(tsconfig), "shellcheck": F.col("shell"), "sqlfluff": F.col("sql")}
+    named = F.array(*[F.when(need[t], F.lit(t)) for t in TOOLS.get(profile, ()) if t in need]).cast("array<string>")
+    return facts.select(F.explode(F.array_compact(named)).alias("tool"))
+
+
 def applicable_tools(profile: str, suffixes: set[str], runtime_source: bool, tsconfig: bool) -> list[str]:
     """The tools of a profile that have something to read."""
     web = {".js", ".jsx", ".ts", ".tsx"} & suffixes

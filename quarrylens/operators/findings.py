@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylens.functions.columns import fingerprint, scope_class, severity_rank
-from quarrylens.runtime import materialize
+from quarrylens.runtime import materialize, small_side
 from quarrylens.sources.settings import Operations
 
 COLUMNS = (
@@ -14,13 +14,14 @@ COLUMNS = (
     "owner_lane target_file line excerpt reason evidence_ref recommended_action verification_status finding_class scope_class"
 ).split()
 ORDER = ("phase", "path", "rule_rank", "ord", "line")
+SUPPRESSION_BLOCK = 50_000
 QUESTIONS = ("CI-06", "CI-08", "CI-11", "CI-12")
 
 
 def emission_key(phase: str = "phase") -> Column:
     """The order of emission: file by file, then after all files rule by rule."""
     late = F.col(phase) > 0
-    return F.struct(phase, F.when(late, "").otherwise(F.col("path")).alias("file"), "rule_rank", "path", "ord", "line", "signal")
+    return F.struct(phase, F.when(late, "").otherwise(F.col("path")).alias("file"), "rule_rank", "path", "ord", "line", "signal", "reason")
 
 
 def innermost(points: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
@@ -83,10 +84,25 @@ def matches(rows: DataFrame, entries: DataFrame, *keep: str) -> DataFrame:
     return hits.groupBy(hits["fingerprint"] if "fingerprint" not in entries.columns else keyed["fingerprint"]).agg(*[F.min_by(k, "ordinal").alias(k) for k in keep], F.lit(True).alias("hit"))
 
 
+def unsuppressed(rows: DataFrame, suppression: DataFrame) -> DataFrame:
+    """rows of which no signal, path, excerpt or reason holds a match(match). A table of entries of a checked size is broadcast; a larger one is
+    gone through in blocks of it, each written, so that no task holds more than a block."""
+    t = lambda c: F.coalesce(F.col(c), F.lit("")).contains(F.col("match"))
+    holds = t("signal") | t("path") | t("excerpt") | t("reason")
+    entries = suppression.select("match").where("match IS NOT NULL").distinct()
+    if small_side(entries):
+        return rows.join(F.broadcast(entries), holds, "left_anti")
+    entries = materialize(entries)
+    blocks = max(1, -(-entries.count() // SUPPRESSION_BLOCK))
+    for k in range(blocks):
+        some = entries.where(F.pmod(F.xxhash64("match"), F.lit(blocks)) == k)
+        rows = materialize(rows.join(F.broadcast(some), holds, "left_anti"))  # about SUPPRESSION_BLOCK entries
+    return rows
+
+
 def apply_operations(rows: DataFrame, ops: Operations) -> DataFrame:
     """rows without suppressed ones, with baseline and waiver states. Rows have distinct fingerprints."""
-    t = lambda c: F.coalesce(F.col(c), F.lit("")).contains(F.col("match"))
-    left = rows.join(F.broadcast(ops.suppression.select("match")), t("signal") | t("path") | t("excerpt") | t("reason"), "left_anti")
+    left = unsuppressed(rows, ops.suppression)
     base = matches(left, ops.baseline).select("fingerprint", F.lit("existing-baseline").alias("baseline_status"))
     waived = matches(left, ops.waiver).select("fingerprint", F.lit("active-waiver").alias("waiver_status"))
     out = left.join(base, "fingerprint", "left").join(waived, "fingerprint", "left")

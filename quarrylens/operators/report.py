@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrylens.functions.columns import SEVERITIES, severity_rank
@@ -55,25 +55,43 @@ class GatePolicy:
         return list(SEVERITIES[SEVERITIES.index(self.severity_threshold) :])
 
 
-def gate(rows: DataFrame, policy: GatePolicy, failed_tools: list[str] = (), classes=GATED) -> DataFrame:
-    """One row: the decision, the counts behind it, and each reason with the findings that give it. Only rows of gated classes count."""
+MEMBERS = 1000  # findings of a reason that its row lists; gate_members() has all
+
+
+def _gate_tests(policy: GatePolicy, classes) -> dict[str, tuple[Column, bool]]:
     free = (F.coalesce("waiver_status", F.lit("none")) == "none") & gated(classes)
     new = F.col("baseline_status") == "new"
-    tests = {
+    return {
         "severity-threshold": (free & F.col("severity").isin(*policy.blocking), True),
         "new-findings-present": (free & new, policy.fail_on_new_findings),
         "unreviewed-review-required": (free & new & (F.col("owner_lane") == "human-judgment"), policy.fail_on_unreviewed_review_required),
     }
-    ids = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("finding_id"))))
-    one = rows.agg(*[ids(c).alias(k) for k, (c, _) in tests.items()])
-    detail = [F.when(F.lit(on) & (F.size(F.col(f"`{k}`")) > 0), F.struct(F.lit(k).alias("reason"), F.size(F.col(f"`{k}`")).alias("count"), F.col(f"`{k}`").alias("members"))) for k, (_, on) in tests.items()]
+
+
+def gate_members(rows: DataFrame, policy: GatePolicy, classes=GATED) -> DataFrame:
+    """(reason, finding_id): every finding that gives a reason, whether the policy asks for it or not."""
+    hits = [F.when(c, F.lit(k)) for k, (c, _) in _gate_tests(policy, classes).items()]
+    return rows.select(F.explode(F.array_compact(F.array(*hits))).alias("reason"), "finding_id")
+
+
+def gate(rows: DataFrame, policy: GatePolicy, failed_tools: list[str] = (), classes=GATED) -> DataFrame:
+    """One row: the decision, the counts behind it, and each reason with the first MEMBERS findings, by id, that give it. Only rows of gated
+    classes count."""
+    tests = _gate_tests(policy, classes)
+    counts = rows.agg(*[F.count_if(c).cast("int").alias(k) for k, (c, _) in tests.items()])
+    place = F.row_number().over(Window.partitionBy("reason").orderBy("finding_id"))
+    some = gate_members(rows, policy, classes).withColumn("place", place).where(F.col("place") <= MEMBERS)
+    some = some.groupBy("reason").agg(F.array_sort(F.collect_list("finding_id")).alias("ids"))
+    some = some.agg(F.map_from_entries(F.collect_list(F.struct("reason", "ids"))).alias("members"))  # a row for each reason
+    one = counts.crossJoin(F.broadcast(some))  # one row each
+    detail = [F.when(F.lit(on) & (F.col(f"`{k}`") > 0), F.struct(F.lit(k).alias("reason"), F.col(f"`{k}`").alias("count"), F.try_element_at("members", F.lit(k)).alias("members"))) for k, (_, on) in tests.items()]
     tools = F.array(*map(F.lit, failed_tools)).cast("array<string>")
     detail.append(F.when(F.lit(policy.fail_on_analyzer_errors and bool(failed_tools)), F.struct(F.lit("analyzer-runtime-error").alias("reason"), F.lit(len(failed_tools)).alias("count"), tools.alias("members"))))
     why = F.array_compact(F.array(*detail))
     return one.select(
         F.when(F.size(why) > 0, "fail").otherwise("pass").alias("decision"),
-        F.size("severity-threshold").alias("blocking_count"),
-        F.size("unreviewed-review-required").alias("unreviewed_review_required_count"),
+        F.col("`severity-threshold`").alias("blocking_count"),
+        F.col("`unreviewed-review-required`").alias("unreviewed_review_required_count"),
         F.lit(len(failed_tools)).alias("analyzer_failure_count"),
         F.transform(why, lambda x: x["reason"]).alias("reasons"),
         why.alias("reason_details"),
@@ -156,12 +174,58 @@ def ratchet_violations(current: DataFrame, stored: DataFrame) -> DataFrame:
     return out.where("current > previous").select("ci_id", "previous", "current", (F.col("current") - F.col("previous")).alias("delta"))
 
 
-def problems(rows: DataFrame, counts: DataFrame) -> DataFrame:
-    """What is wrong with a report: enumerations out of their domain and counts that a recount doesn't give. No rows: valid."""
+def view_summary(rows: DataFrame, classes=GATED, suppressed_count: int = 0, resolved_baseline_count: int = 0) -> DataFrame:
+    """(dimension, value, n) of a view of a report: count_by() and totals() under the report's own gate classes, an absent value as ''."""
+    one = totals(rows, classes).withColumns({"suppressed_count": F.lit(suppressed_count), "resolved_baseline_count": F.lit(resolved_baseline_count)})
+    scalars = one.select(F.explode(F.array(*[F.struct(F.lit("total").alias("dimension"), F.lit(c).alias("value"), F.col(c).cast("long").alias("n")) for c in one.columns])).alias("s")).select("s.*")
+    return count_by(rows, classes, (*DIMENSIONS,)).unionByName(scalars)
+
+
+def view_gate(rows: DataFrame, policy: GatePolicy, tool_states: dict[str, str], classes=GATED) -> DataFrame:
+    """The gate of a view: as gate(), under the report's classes; tools that are absent or not set up are no failures here."""
+    return gate(rows, policy, sorted(t for t, s in tool_states.items() if s not in (*FINE, *ABSENT)), classes)
+
+
+STORED_DIMENSIONS = ("by_severity", "by_baseline_status")
+STORED_TOTALS = ("total_findings", "new_count", "existing_baseline_count", "waived_count", "residual_count")
+
+
+def stored_counts(spark: SparkSession, summary: dict) -> tuple[DataFrame, DataFrame]:
+    """counts(dimension, value, n) and totals(name, stored) of a report's summary; what is no count is null."""
+    number = lambda x: x if isinstance(x, int) and not isinstance(x, bool) else None
+    tables = {d: summary.get(d) if isinstance(summary.get(d), dict) else {} for d in STORED_DIMENSIONS}
+    counts = spark.createDataFrame([(d, str(k), number(n)) for d, of in tables.items() for k, n in of.items()], "dimension string, value string, n long")
+    return counts, spark.createDataFrame([(k, number(summary.get(k))) for k in STORED_TOTALS], "name string, stored long")
+
+
+def problems(rows: DataFrame, counts: DataFrame | None = None, stored: DataFrame | None = None) -> DataFrame:
+    """What is wrong with a report: enumerations out of their domain, and, held against a recount of its rows, the counts(dimension, value, n)
+    of the dimensions and the totals(name, stored) of its summary. No rows: valid."""
     domains = {"severity": SEVERITIES, "confidence": SEVERITIES[:3], "baseline_status": ("new", "existing-baseline"), "waiver_status": ("none", "active-waiver"), "owner_lane": LANES}
     bad = [F.when(~F.coalesce(F.col(c).isin(*d), F.lit(False)), F.concat(F.lit(f"{c}: "), F.coalesce(c, F.lit("null")))) for c, d in domains.items()]
     bad += [F.when(F.coalesce(F.col(c), F.lit("")) == "", F.lit(f"{c} is empty")) for c in ("finding_id", "fingerprint", "ci_id", "signal", "target_file")]
     bad.append(F.when(F.col("line") < 1, F.lit("line is below 1")))
-    first = rows.select(F.explode(F.array_compact(F.array(*bad))).alias("problem"))
-    again = count_by(rows).withColumnRenamed("n", "recount").join(counts, ["dimension", "value"], "full").where("NOT (recount <=> n)")
-    return first.unionByName(again.select(F.concat_ws(" ", "dimension", "value", F.lit("does not add up")).alias("problem")))
+    out = rows.select(F.explode(F.array_compact(F.array(*bad))).alias("problem"))
+    if counts is not None:
+        names = [d.removeprefix("by_") for d in STORED_DIMENSIONS]
+        own = count_by(rows, dimensions=names).where(F.col("dimension").isin(*STORED_DIMENSIONS)).withColumnRenamed("n", "recount")
+        again = own.join(counts, ["dimension", "value"], "full").where("NOT (recount <=> n)")
+        out = out.unionByName(again.select(F.concat_ws(" ", "dimension", "value", F.lit("does not add up")).alias("problem")))
+    if stored is not None:
+        one = totals(rows)
+        own = one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("recount")) for c in STORED_TOTALS])).alias("s")).select("s.*")
+        out = out.unionByName(own.join(stored, "name", "left").where("NOT (recount <=> stored)").select(F.concat_ws(" ", "name", F.lit("does not add up")).alias("problem")))
+    return out
+
+
+def document_problems(report: dict) -> list[str]:
+    """What is wrong with the parts of a report document around its findings."""
+    out = [f"{k} is no list" for k in ("findings", "blockers", "residuals") if not isinstance(report.get(k, []), list)]
+    out += [f"{k} is missing" for k in ("summary", "gate", "findings") if k not in report]
+    verdict = report.get("gate") if isinstance(report.get("gate"), dict) else {}
+    if verdict.get("decision") not in ("pass", "fail"):
+        out.append("gate.decision is neither pass nor fail")
+    if verdict.get("blocking_count") != len(report.get("blockers") or []):
+        out.append("gate.blocking_count does not add up")
+    told = {x.get("reason") for x in verdict.get("reason_details") or []}
+    return out + [f"gate.reason_details lacks {r}" for r in verdict.get("reasons") or [] if r not in told]

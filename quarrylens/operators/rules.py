@@ -131,17 +131,20 @@ def _anchored(groups: DataFrame) -> DataFrame:
     return groups.select("*", "first.*").drop("first")
 
 
-def by_value(rows: DataFrame) -> DataFrame:
-    """Of each value: n_files, the first three files by path, refs, whether all are flagged, its first fact, and a 128-bit mark of the set of its files.
+def by_value(rows: DataFrame, least: int) -> DataFrame:
+    """Of each value of `least` files or more: n_files, the first three files by path, refs, whether all are flagged, its first fact, and a
+    128-bit mark of the set of its files.
 
-    The set is never gathered in one row: it is counted and marked (by sums that don't depend on order), so that a value of millions of files costs no memory.
+    The set is never gathered or sorted in one place: it is counted and marked (by sums that don't depend on order), and a limit on the rank
+    cuts each task's files of a value to three before they move.
     """
     fact = F.struct("path", "line", "ord", "excerpt", "symbol", "content", "name")
     each = rows.groupBy("value", "path").agg(F.count("*").alias("n"), F.bool_and(F.coalesce("flag", F.lit(False))).alias("flag"), F.min_by(fact, "ord").alias("fact"))
-    place = F.row_number().over(Window.partitionBy("value").orderBy("path"))
     marks = [F.bit_xor(F.xxhash64(F.lit(k), "path")).alias(f"mark{k}") for k in (1, 2)]
-    few = F.array_sort(F.collect_list(F.when(F.col("place") <= 3, F.col("path")))).alias("files")
-    return each.withColumn("place", place).groupBy("value").agg(F.count("*").alias("n_files"), few, F.sum("n").alias("refs"), F.bool_and("flag").alias("all_flagged"), F.min_by("fact", "path").alias("first"), *marks)
+    sets = each.groupBy("value").agg(F.count("*").alias("n_files"), F.sum("n").alias("refs"), F.bool_and("flag").alias("all_flagged"), F.min_by("fact", "path").alias("first"), *marks).where(F.col("n_files") >= least)
+    place = F.row_number().over(Window.partitionBy("value").orderBy("path"))
+    few = rows.select("value", "path").distinct().withColumn("place", place).where("place <= 3").groupBy("value").agg(F.array_sort(F.collect_list("path")).alias("files"))
+    return sets.join(few, "value")
 
 
 def copied_code(facts: DataFrame) -> DataFrame:
@@ -149,16 +152,18 @@ def copied_code(facts: DataFrame) -> DataFrame:
     fns = facts.where("kind = 'fn' AND value IS NOT NULL AND NOT (name LIKE '\\_\\_%' AND name LIKE '%\\_\\_')")
     p = F.col("path")
     support = has_segment(p, ["test", "tests", "docs", *SAMPLE_SEGMENTS]) | under(p, ["shared/tools", "shared/report/examples"])
-    shapes = by_value(fns.withColumn("flag", support)).where("n_files >= 2")
-    by = F.array_sort(F.collect_list(F.struct("first.path", "first.line", "first.name"))).alias("shared")
-    sets = shapes.groupBy("n_files", "mark1", "mark2").agg(by, F.first("files").alias("files"), F.bool_and("all_flagged").alias("support"), F.min_by("first", F.struct("first.path", "first.line")).alias("first"))
-    names = F.array_distinct(F.transform("shared", lambda x: x["name"]))
-    reason = F.format_string("%d function(s) (%s) have one shape in %d files: %s", F.size("shared"), F.array_join(F.slice(names, 1, 6), ", "), F.col("n_files"), F.array_join("files", ", "))
+    shapes = by_value(fns.withColumn("flag", support), 2)
+    named = shapes.groupBy("n_files", "mark1", "mark2", "first.name").agg(F.min(F.struct("first.path", "first.line", "first.name")).alias("at"))
+    rank = F.row_number().over(Window.partitionBy("n_files", "mark1", "mark2").orderBy("at"))
+    named = named.withColumn("k", rank).where("k <= 6").groupBy("n_files", "mark1", "mark2").agg(F.array_sort(F.collect_list("at")).alias("some"))
+    sets = shapes.groupBy("n_files", "mark1", "mark2").agg(F.count("*").alias("shared"), F.first("files").alias("files"), F.bool_and("all_flagged").alias("support"), F.min_by("first", F.struct("first.path", "first.line")).alias("first")).join(named, ["n_files", "mark1", "mark2"])
+    names = F.transform("some", lambda x: x["name"])
+    reason = F.format_string("%d function(s) (%s) have one shape in %d files: %s", F.col("shared"), F.array_join(names, ", "), F.col("n_files"), F.array_join("files", ", "))
     return _cross(_anchored(sets), "CI05_COPY_PASTE_CODE", 0, F.when(F.col("support"), "low").otherwise("medium"), "low", F.when(F.col("support"), "P3").otherwise("P2"), reason, "Share one function.", F.format_string("def %s(...)", F.col("name")))
 
 
 def _scattered(facts: DataFrame, kind: str, having: Column) -> DataFrame:
-    return by_value(facts.where((F.col("kind") == kind) & having)).where("n_files >= 3")
+    return by_value(facts.where((F.col("kind") == kind) & having), 3)
 
 
 def magic_numbers(facts: DataFrame) -> DataFrame:
@@ -181,10 +186,12 @@ def import_cycles(facts: DataFrame) -> DataFrame:
     modules = facts.where("kind = 'module'").groupBy(F.col("name").alias("module")).agg(F.max("path").alias("path"))
     edges = facts.where("kind = 'import'").join(modules, (F.col("name") == modules.module) & (facts.path == modules.path), "left_semi").select(F.col("name").alias("src"), F.col("value").alias("dst"))
     edges = edges.join(modules.select(F.col("module").alias("dst")), "dst", "left_semi").select("src", "dst").distinct()
-    cycles = strong_components(edges).groupBy("component").agg(F.array_sort(F.collect_list("node")).alias("cycle"))
-    rows = cycles.join(modules, modules.module == F.element_at("cycle", 1)).select("path", F.lit(1).alias("line"), F.lit("").alias("symbol"), F.lit("").alias("content"), F.lit(0).alias("ord"), "cycle")
-    dots = lambda k: F.when(F.size("cycle") > k, "...").otherwise("")
-    return _cross(rows, "CI13_CIRCULAR_IMPORT", 3, "medium", "high", "P2", F.format_string("%d modules import each other: %s%s", F.size("cycle"), F.array_join(F.slice("cycle", 1, 5), ", "), dots(5)), "Move what they share into a third module.", F.concat(F.array_join(F.slice("cycle", 1, 4), " <-> "), dots(4)))
+    nodes = strong_components(edges)
+    nodes = nodes.groupBy("component").agg(F.count("*").alias("size")).join(nodes.withColumn("k", F.row_number().over(Window.partitionBy("component").orderBy("node"))).where("k <= 5"), "component")
+    cycles = nodes.groupBy("component", "size").agg(F.array_sort(F.collect_list("node")).alias("cycle"))  # its first five
+    rows = cycles.join(modules, modules.module == F.element_at("cycle", 1)).select("path", F.lit(1).alias("line"), F.lit("").alias("symbol"), F.lit("").alias("content"), F.lit(0).alias("ord"), "cycle", F.col("size").alias("modules"))
+    dots = lambda k: F.when(F.col("modules") > k, "...").otherwise("")
+    return _cross(rows, "CI13_CIRCULAR_IMPORT", 3, "medium", "high", "P2", F.format_string("%d modules import each other: %s%s", F.col("modules"), F.array_join(F.slice("cycle", 1, 5), ", "), dots(5)), "Move what they share into a third module.", F.concat(F.array_join(F.slice("cycle", 1, 4), " <-> "), dots(4)))
 
 
 def scattered_constants(facts: DataFrame) -> DataFrame:

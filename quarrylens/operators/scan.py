@@ -3,22 +3,24 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
+import os
+from dataclasses import dataclass, field, replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.functions.columns import squash
+from quarrylens.functions.columns import squash, suffix
 from quarrylens.functions.facts import extract
 from quarrylens.operators import report as R
 from quarrylens.operators.adapters import parse_payloads
-from quarrylens.operators.catalog import SIDE, active_signals, check_request
+from quarrylens.operators.catalog import EXTERNAL, LANES, SIDE, TOOLS, active_signals, check_request, lane_files, tool_facts, tools_that_apply
 from quarrylens.operators.findings import apply_operations, changed_only, innermost, report_rows, resolved, settle
 from quarrylens.operators.rules import all_findings, leaked_authority
 from quarrylens.runtime import materialize
-from quarrylens.sources.diff import git_diff, parse_hunks
+from quarrylens.sources.diff import git_changed, git_diff, parse_hunks
 from quarrylens.sources.settings import Operations, load_operations
+from quarrylens.sources.tools import run_tools
 from quarrylens.sources.tree import ignore_patterns, preset_filters, read_tree, select_targets
 
 
@@ -35,6 +37,7 @@ class Options:
     side_terms: tuple[str, ...] = ()
     authority_terms: tuple[str, ...] = ()
     tool_states: dict[str, str] = field(default_factory=dict)
+    run_tools: bool = False
 
 
 @dataclass
@@ -67,7 +70,7 @@ class Scan:
         brief = R.brief(self.findings, self.gate["decision"], len(blockers), self.options.tool_states)
         return {
             "generated_at": made_at, "profile": self.options.profile, "scope_mode": self.options.scope_mode, "summary": self.summary, "gate": self.gate, "review_brief": brief, "blockers": blockers,
-            "residuals": rows(R.residuals(self.findings)), "resolved_baseline": rows(self.resolved), "skipped": rows(self.skipped), "findings": rows(ordered),
+            "external_runs": [{"tool": t, "state": s} for t, s in sorted(self.options.tool_states.items())], "residuals": rows(R.residuals(self.findings)), "resolved_baseline": rows(self.resolved), "skipped": rows(self.skipped), "findings": rows(ordered),
         }
 
     def exit_code(self) -> int:
@@ -78,12 +81,23 @@ class Scan:
 def anchored_payloads(payloads: DataFrame, files: DataFrame, spans: DataFrame) -> DataFrame:
     """Outside findings of the scanned files, with the symbol and the squashed line that identify them."""
     raw = parse_payloads(payloads).join(files.select("path"), "path", "left_semi")
-    raw = innermost(raw.drop("symbol"), spans, ["path", "rule_rank", "ord"])
+    raw = innermost(raw.drop("symbol"), spans, ["path", "line"])
     lines = files.join(raw.select("path").distinct(), "path", "left_semi").select("path", F.split("text", "\n").alias("lines"))
     out = raw.drop("content").join(lines, "path", "left")
     return out.withColumn("content", F.coalesce(squash(F.try_element_at("lines", F.col("line"))), F.lit(""))).drop("lines")
 
 
+def outside_runs(files: DataFrame, root: str, options: Options) -> DataFrame | None:
+    """What the outside tools of the profile say of a tree; None where the profile has no such lane. Their file list is the driver's, as theirs is."""
+    spark = files.sparkSession
+    if EXTERNAL not in LANES.get(options.profile, ()) or options.profile not in TOOLS:
+        return None
+    asked = lane_files(files.select("path"), options.scope_mode)
+    tools = [r["tool"] for r in tools_that_apply(tool_facts(asked), options.profile, os.path.isfile(os.path.join(root, "tsconfig.json"))).collect()]
+    paths = sorted(r["path"] for r in asked.where(suffix(F.col("path")).isin(".py", ".sh", ".bash")).select("path").toLocalIterator()) if tools else []
+    return run_tools(spark, root, tools, [os.path.join(root, p) for p in paths])
+
+
 def scan_files(files: DataFrame, options: Options = Options(), operations: Operations | None = None, payloads: DataFrame | None = None, hunks: DataFrame | None = None, skipped: DataFrame | None = None, emitters: tuple = (), rules: tuple = ()) -> Scan:
     """Inspect files(path, text[, abs_path]), one row a path. emitters add facts in the Python pass; rules turn facts into raw findings (RAW)."""
     spark = files.sparkSession
@@ -98,7 +112,7 @@ def scan_files(files: DataFrame, options: Options = Options(), operations: Opera
     raw = raw.withColumn("evidence_ref", F.lit("inspection-rules"))
     spans = facts.where("kind = 'span'")
     if payloads is not None:
-        raw = raw.unionByName(anchored_payloads(payloads, files, spans))
+        raw = raw.unionByName(anchored_payloads(payloads, lane_files(files, options.scope_mode), spans))
     if hunks is not None:
         raw = changed_only(raw, spans, hunks)
     ops = operations or load_operations(spark, options.operations_file)
@@ -110,16 +124,21 @@ def scan_files(files: DataFrame, options: Options = Options(), operations: Opera
 
 
 def scan_tree(spark: SparkSession, root: str, options: Options = Options(), payloads: DataFrame | None = None) -> Scan:
-    """Inspect a directory tree."""
+    """Inspect a directory tree; with options.run_tools the outside tools of the profile too, unless payloads are given."""
     include, exclude = preset_filters(root, options.scope_mode, list(options.include), [*options.exclude, *ignore_patterns(root)])
     entries = select_targets(read_tree(spark, root), include, exclude, most_files=options.most_files)
     targets = entries.where("skip_reason IS NULL")
     hunks = None
     if options.diff_from:
         try:
+            changed = spark.createDataFrame([(p,) for p in git_changed(root, options.diff_from)], "path string")
             hunks = parse_hunks(spark, git_diff(root, options.diff_from))
-            targets = targets.join(hunks.select("path").distinct(), "path", "left_semi")
+            targets = targets.join(changed, "path", "left_semi")
         except ValueError:
             hunks = None
     files = materialize(targets.select("path", "abs_path", "text"))
+    if payloads is None and options.run_tools and (runs := outside_runs(files, root, options)) is not None:
+        runs = materialize(runs)
+        options = replace(options, tool_states={r["tool"]: r["state"] for r in runs.select("tool", "state").collect()})
+        payloads = runs.where("state IN ('executed', 'no-tests-collected')").select("tool", "root", "payload")
     return scan_files(files, options, payloads=payloads, hunks=hunks, skipped=entries.where("skip_reason <> ''").select("path", F.col("skip_reason").alias("reason")))

@@ -28,9 +28,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a fresh one where it is unset (local runs)."""
+    """The folder all executors share: spark.checkpoint.dir, or a fresh one where it is unset and one machine does all."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="ql-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -47,6 +49,13 @@ def materialize(df: DataFrame, parts: int | None = None, by: list[str] = ()) ->
     return out
 
 
+def spread(df: DataFrame, each: int = 32 << 20) -> DataFrame:
+    """df in as many partitions as there are cores, if it is estimated at less than `each` bytes a core: a few small files would else be the
+    work of as few tasks. A larger table has splits enough and is not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if not df.isStreaming and small_side(df, each * cores) else df
+
+
 def discard(df: DataFrame) -> None:
     """Delete what materialize() wrote for df; later reads of it fail."""
     path = getattr(df, "_ql_path", None)

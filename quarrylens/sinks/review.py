@@ -6,6 +6,7 @@ import json
 import os
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quarrylens.operators import evaluate as E
 from quarrylens.sinks.emit import write_text
@@ -22,6 +23,22 @@ def density_markdown(rows: DataFrame) -> str:
     return "# Findings by rule\n\n" + _table(["rule", "findings", "files", "samples"], [[r["ci_id"], r["n"], r["files"], "; ".join(f"{s['project']}/{s['target_file']}:{s['line']}" for s in r["samples"])] for r in out])
 
 
+def write_corpus(rows: DataFrame, path: str, with_findings: bool = False, **settings) -> None:
+    """A corpus document: each project's and each rule's findings, with samples, and all of them if asked, streamed row by row."""
+    density = [r.asDict(recursive=True) for r in E.density(rows).collect()]  # one row a rule
+    projects = [r.asDict() for r in rows.groupBy("project").agg(F.count("*").alias("total_findings")).orderBy("project").collect()]
+    head = {"projects": projects, "total_findings": sum(p["total_findings"] for p in projects), "per_ci_id": {r["ci_id"]: {"count": r["n"], "files_affected": r["files"], "samples": r["samples"]} for r in density}, **settings}
+    with open(f"{path}.new", "w", encoding="utf-8") as f:
+        f.write(json.dumps(head, ensure_ascii=False)[:-1])
+        if with_findings:
+            f.write(', "findings": [')
+            for k, x in enumerate(rows.orderBy("emitted").drop("emitted").toJSON().toLocalIterator()):
+                f.write(", " * bool(k) + x)
+            f.write("]")
+        f.write("}\n")
+    os.replace(f"{path}.new", path)
+
+
 def precision_markdown(rows: DataFrame, labels: DataFrame) -> str:
     out = sorted(E.precision(rows, labels).collect(), key=lambda r: (r["is_total"], r["ci_id"] or ""))
     names = ["true_positive", "false_positive", "skipped", "unlabeled", "precision", "label_coverage"]

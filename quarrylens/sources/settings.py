@@ -96,6 +96,18 @@ def ratchet_state(path: str) -> dict[str, int] | None:
     return {str(k): int(v) for k, v in read_json(path)["ci_id_counts"].items()} if os.path.isfile(path) else None
 
 
+def load_harness(spark: SparkSession, path: str) -> DataFrame:
+    """Findings of a corpus document (write_corpus), each with a fingerprint."""
+    payload = read_json(path)
+    found = payload.get("findings") if isinstance(payload, dict) else None
+    if not isinstance(found, list) or not all(isinstance(r, dict) for r in found):
+        raise ValueError("the document has no list of findings; write it with them")
+    if not all(str(r.get("fingerprint") or "").strip() for r in found):
+        raise ValueError("a finding has no fingerprint")
+    names = "fingerprint project ci_id signal target_file".split()
+    return spark.createDataFrame([(*(None if r.get(c) is None else str(r[c]) for c in names), r.get("line"), k) for k, r in enumerate(found)], ", ".join(f"{c} string" for c in names) + ", line int, emitted int")
+
+
 def load_labels(spark: SparkSession, path: str, allow_blank: bool = False) -> DataFrame:
     """labels(fingerprint, label, notes); each fingerprint once, each label a known one."""
     rows = read_json(path)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quarrylens.operators.report import ratchet_violations
+from quarrylens.operators.scan import Options, Scan, scan_files
 
 
 def _counts(spark: SparkSession, folder: str, batch: int) -> DataFrame:
@@ -40,9 +41,14 @@ def ratchet_stream(findings: DataFrame, folder: str, checkpoint: str, report: Ca
     return findings.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def scan_stream(spark: SparkSession, folder: str, checkpoint: str, handle: Callable[[int, DataFrame], None]) -> StreamingQuery:
-    """Facts of the files(path, text) that arrive as Parquet below folder, batch by batch."""
-    from quarrylens.functions.facts import extract
+def scan_stream(spark: SparkSession, folder: str, checkpoint: str, handle: Callable[[int, Scan], None], options: Options | None = None) -> StreamingQuery:
+    """Inspect the files(path, text) that arrive as Parquet below folder: a scan for each batch, which handle gets with the batch's number.
 
+    A batch that runs again after a failure is inspected again and gives the same scan; handle must put it in place under its number.
+    """
     files = spark.readStream.schema("path string, text string").parquet(folder)
-    return extract(files).writeStream.foreachBatch(lambda df, k: handle(k, df)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def step(batch: DataFrame, number: int) -> None:
+        handle(number, scan_files(batch, options or Options()))
+
+    return files.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
