@@ -209,7 +209,7 @@ def problems(rows: DataFrame, counts: DataFrame | None = None, stored: DataFrame
     if counts is not None:
         names = [d.removeprefix("by_") for d in STORED_DIMENSIONS]
         own = count_by(rows, dimensions=names).where(F.col("dimension").isin(*STORED_DIMENSIONS)).withColumnRenamed("n", "recount")
-        again = own.join(counts, ["dimension", "value"], "full").where("NOT (recount <=> n)")
+        again = own.join(counts.where(F.col("dimension").isin(*STORED_DIMENSIONS)), ["dimension", "value"], "full").where("NOT (recount <=> n)")
         out = out.unionByName(again.select(F.concat_ws(" ", "dimension", "value", F.lit("does not add up")).alias("problem")))
     if stored is not None:
         one = totals(rows)
