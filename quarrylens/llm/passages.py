@@ -13,10 +13,10 @@ with its like wherever it lies. Shared segments are compared as they are; beside
 side with a shared segment whose first document is that of both its windows. A repeat of 50 words is found whole, to the word: one that
 holds neither window of a segment is shorter.
 
-What is removed has a kept copy. Near paragraphs are settled first. Of places of equal words, those clear of removed near paragraphs count: the
-first of them stays and the others go. Where there is none, the first of all is taken out of what its near paragraph loses. So each removed
-word of a repeat is found again, within the same run of words, at an earlier clear place, and following these places ends at text that stays; the
-first paragraph of a cluster loses nothing to another cluster. Only words of a near paragraph that no run holds elsewhere go with it.
+What is removed has a kept copy. Near paragraphs are settled first: the first of a cluster loses nothing to another cluster, and of the others
+a run of WORDS words and more that the first lacks (none of its 3-grams is there) stays. What they lose is masked, and equal words are looked
+for in what is left: of each run the first place stays, in the order of id, text and place. So each removed word of a run is found again,
+within the same run of words, at an earlier place, and following these places ends at text that stays.
 
 Defined results: words are runs free of white space; each sign of a script that is written without spaces (Chinese, Japanese, Thai, Lao,
 Khmer, Burmese, Tibetan) is a word of its own. Lines of fewer than `least` words recur by chance (headings, brackets, list items) and stay
@@ -241,27 +241,96 @@ def bands(grams: np.ndarray, line: np.ndarray, count: int, shape: tuple[int, int
     return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)  # two of one key that differ cost a comparison
 
 
-def _emit_pieces(least: int, shape: tuple[int, int]):
-    """Sentence runs, whose bands are null, and lines."""
+def _emit_lines(least: int, shape: tuple[int, int]):
+    def run(batches):
+        for batch in batches:
+            for b in blocks(batch, "text"):
+                p = Paragraphs(b.column(2))
+                first, last = p.lines(least)
+                h, _ = run_hashes(p.hash, first, last)
+                s, e = p.place(first, last)
+                at = pa.array(p.doc[first])
+                grams, line = p.grams(first, last)
+                key = bands(grams, line, len(first), shape) if len(first) else np.zeros((0, shape[0]), np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(h), b.column(0).take(at), b.column(1).take(at), pa.array(s), pa.array(e), put_lists(key.ravel(), np.full(len(first), shape[0]), pa.int32())], ["h", "d", "t", "s", "e", "bands"])
+
+    return run
+
+
+def _emit_pieces(least: int):
+    """Sentence runs and lines."""
 
     def run(batches):
         for batch in batches:
             for b in blocks(batch, "text"):
                 p = Paragraphs(b.column(2))
-                runs, lines = p.runs(), p.lines(least)
-                first, last = (np.concatenate(x) for x in zip(runs, lines, strict=True))
+                first, last = (np.concatenate(x) for x in zip(p.runs(), p.lines(least), strict=True))
                 h, h2 = run_hashes(p.hash, first, last)
                 s, e = p.place(first, last)
                 at = pa.array(p.doc[first])
-                n = len(lines[0])
-                grams, line = p.grams(*lines)
-                key = bands(grams, line, n, shape) if n else np.zeros((0, shape[0]), np.int32)
-                lists = pa.concat_arrays([pa.nulls(len(runs[0]), pa.list_(pa.int32())), put_lists(key.ravel(), np.full(n, shape[0]), pa.int32())])
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(h2), b.column(0).take(at), b.column(1).take(at), pa.array(s), pa.array(e), lists], ["h", "h2", "d", "t", "s", "e", "bands"])
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(h2), b.column(0).take(at), b.column(1).take(at), pa.array(s), pa.array(e)], ["h", "h2", "d", "t", "s", "e"])
 
     return run
 
 
+def _novel(batches):
+    """Of lines with the 3-grams of the first of their cluster: the runs of WORDS words and more that the first lacks, as words of the line."""
+    for b in batches:
+        own, first = b.column(2), b.column(3)
+        rows, a, z = [], [], []
+        for i in range(b.num_rows):
+            new = ~np.isin(np.asarray(own[i].values), np.asarray(first[i].values))
+            edge = np.diff(np.concatenate([[0], new.astype(np.int8), [0]]))
+            lo, hi = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+            lo, hi = np.where(lo > 0, lo + N - 1, 0), np.where(hi < len(new), hi, hi + N - 1)  # the words of no known gram
+            some = hi - lo >= WORDS
+            rows.append(np.full(int(some.sum()), i))
+            a.append(lo[some])
+            z.append(hi[some])
+        if rows:
+            at = pa.array(np.concatenate(rows))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(np.concatenate(a).astype(np.int32)), pa.array(np.concatenate(z).astype(np.int32))], ["line", "head", "a", "z"])
+
+
+def _mask(batches):
+    """Texts whose near spans (s, e, kd, novel words; of no kd: the first of a cluster, which stays) are masked, a line end a sign, and what is masked."""
+    for batch in batches:
+        for b in blocks(batch, "text"):
+            p = Paragraphs(b.column(2))
+            lead = (p.data & 0xC0) != 0x80
+            sign = p.sign
+            begin = np.searchsorted(p.doc, np.arange(b.num_rows + 1))
+            drop = np.zeros(int(lead.sum()), bool)
+            texts, spans = [], []
+            word_sign = sign[p.starts]
+            for i, list_ in enumerate(b.column(3).to_pylist()):
+                base, size = int(sign[p.offs[i]]), int(sign[p.offs[i + 1]] - sign[p.offs[i]])
+                gone = np.zeros(size, bool)
+                for x in list_:
+                    if not x["head"]:
+                        gone[x["s"] : x["e"]] = True
+                for x in list_:
+                    if x["head"]:
+                        gone[x["s"] : x["e"]] = False
+                    elif x["novel"]:
+                        w = begin[i] + int(np.searchsorted(word_sign[begin[i] : begin[i + 1]], base + x["s"]))
+                        for y in x["novel"]:
+                            gone[word_sign[w + y["a"]] - base : int(sign[p.ends[w + y["z"] - 1]]) - base] = False
+                drop[base : base + size] = gone
+                edge = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
+                parts = list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
+                spans.append([{"s": max(a, x["s"]), "e": min(z, x["e"]), "kd": x["kd"]} for x in list_ if not x["head"] for a, z in parts if a < x["e"] and x["s"] < z])
+            # a dropped sign is one line end: its first byte is kept as such
+            sign_of = np.cumsum(lead) - 1
+            of = drop[sign_of] if len(sign_of) else np.zeros(0, bool)
+            keep = ~of | lead
+            data = np.where(of & lead, np.uint8(10), p.data)[keep]
+            offs = np.concatenate([[0], np.cumsum(keep)])[p.offs]
+            texts = put_strings(data, offs)
+            kind = b.schema.field(3).type.value_type.field("kd").type
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), texts, pa.array(spans, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("kd", kind)])))], ["d", "t", "text", "gone"])
+
+
 def _emit_picks(batches):
     """Keys of the picks, as role 0, and of the segments that begin with them, as role 1."""
     for batch in batches:
@@ -407,8 +476,8 @@ def _side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if small_side(df) else df
 
 
-def near_lines(texts: DataFrame, lines: DataFrame, threshold: float, least: int, shape: tuple[int, int], hot: int = HOT) -> DataFrame:
-    """(line, cluster) of the lines (by hash) that are alike, of texts(d, t, text) and their lines(h, t, bands)."""
+def near_lines(texts: DataFrame, lines: DataFrame, threshold: float, least: int, shape: tuple[int, int], hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """(line, cluster) of the lines (by hash) that are alike, of texts(d, t, text) and their lines(h, t, bands); and (line, grams) of these."""
     known = materialize(lines.groupBy(F.col("h").alias("line")).agg(F.first("bands").alias("bands")))
     key = lambda k, b: (k.cast("long") * F.lit(1 << 32)) + F.col(b)
     posted = known.select(F.posexplode("bands").alias("k", "b"), "line").select(key(F.col("k"), "b").alias("band"), "line")
@@ -422,7 +491,7 @@ def near_lines(texts: DataFrame, lines: DataFrame, threshold: float, least: int,
     grams = about.mapInArrow(eased(_emit_grams(least)), "line bigint, grams array<bigint>").dropDuplicates(["line"])
     grams = grams.join(_side(candidates), "line").join(known, "line").select("line", "c", "n", "bands", "grams")
     big = not candidates.where(F.col("n") > hot).isEmpty()
-    grams = materialize(grams) if big else grams
+    grams = materialize(grams)
     compare = lambda df: df.select("line", "c", "bands", "grams").repartition("c").sortWithinPartitions("c").mapInArrow(eased(_clusters(threshold, shape[0])), "line bigint, cluster bigint")
     out = compare(grams.where(F.col("n") <= hot))
     if big:
@@ -433,7 +502,7 @@ def near_lines(texts: DataFrame, lines: DataFrame, threshold: float, least: int,
         by_band = by_band.withColumn("c", F.xxhash64("band", F.least("block", "other"), F.greatest("block", "other"))).withColumn("bands", F.array(*[F.when(F.col("k") == k, F.col("b")).otherwise(F.shiftright(F.xxhash64("line", F.lit(k)), 33).cast("int")) for k in range(shape[0])]))
         joined = compare(by_band).select(F.col("line").alias("a"), F.col("cluster").alias("b"))
         out = out.union(components(joined).select("node", "component"))
-    return materialize(out)
+    return materialize(out), grams
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, least: int = LEAST, hot: int = HOT) -> DataFrame:
@@ -442,7 +511,7 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     shape_ = shape(threshold)
     named = docs.where(col(text).isNotNull()).select(col(doc_id).alias("d"), text_mark(col(text)).alias("t"), col(text).alias("text"))
     kind = named.schema["d"].dataType.simpleString()
-    order = F.struct(F.col("d").isNull().alias("none"), "d", "t", "s", "e")
+    order = (F.col("d").isNull().alias("none"), "d", "t", "s", "e")
     place = f"d {kind}, t bigint, s int, e int"
 
     # of equal texts, the one of the least id is looked at; the others repeat it as a whole
@@ -455,16 +524,27 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     whole = marked.where(~first).select("d", "t", "text", "first").mapInArrow(eased(_emit_whole(least)), f"{place}, first {kind}")
     whole = whole.select("d", "t", "s", "e", F.array("first").alias("kept"))
 
-    pieces = materialize(texts.mapInArrow(eased(_emit_pieces(least, shape_)), f"h bigint, h2 int, {place}, bands array<int>"))
-    lines = pieces.where("bands is not null")
-
     # lines, alike by MinHash
-    clusters = near_lines(texts, lines, threshold, least, shape_, hot)
-    alike = lines.join(_side(clusters.withColumnRenamed("line", "h")), "h").select("cluster", "d", "t", "s", "e")
-    firsts = materialize(alike.groupBy("cluster").agg(F.min(order).alias("o")))
+    lines = materialize(texts.mapInArrow(eased(_emit_lines(least, shape_)), f"h bigint, {place}, bands array<int>"))
+    clusters, grams = near_lines(texts, lines, threshold, least, shape_, hot)
+    alike = lines.join(_side(clusters.withColumnRenamed("line", "h")), "h").select("cluster", "h", "d", "t", "s", "e")
+    firsts = materialize(alike.groupBy("cluster").agg(F.min(F.struct(*order, "h")).alias("o")))
     other = ~((F.col("t") == F.col("o.t")) & (F.col("s") == F.col("o.s")) & (F.col("e") == F.col("o.e")))
-    near = materialize(alike.join(_side(firsts), "cluster").where(other).select("d", "t", "s", "e", F.col("o.d").alias("kd")))
-    lost = materialize(near.groupBy("t").agg(F.collect_set(F.struct("s", "e")).alias("lost")))  # of a text, its own spans
+    near = materialize(alike.join(_side(firsts), "cluster").where(other).select("h", "d", "t", "s", "e", F.col("o.d").alias("kd"), F.col("o.h").alias("head")))
+    pairs = near.where("h <> head").select(F.col("h").alias("line"), "head").distinct()
+    own, first_ = grams.select("line", "grams"), grams.select(F.col("line").alias("head"), F.col("grams").alias("first"))
+    novel = pairs.join(own, "line").join(first_, "head").select("line", "head", "grams", "first").mapInArrow(eased(_novel), "line bigint, head bigint, a int, z int")
+    novel = materialize(novel.groupBy(F.col("line").alias("h"), "head").agg(F.collect_list(F.struct("a", "z")).alias("novel")))  # of a line, its own runs
+    lost = near.join(_side(novel), ["h", "head"], "left").select("t", "s", "e", "kd", F.lit(False).alias("head"), "novel")
+    stay = firsts.select("o.t", "o.s", "o.e", F.lit(None).cast(kind).alias("kd"), F.lit(True).alias("head"), F.lit(None).cast(novel.schema["novel"].dataType).alias("novel"))
+    lost = lost.union(stay).groupBy("t").agg(F.collect_list(F.struct("s", "e", "kd", "head", "novel")).alias("lost")).where(F.exists("lost", lambda x: ~x["head"]))
+    lost = materialize(lost)  # of a text, its own spans
+    masked = texts.join(_side(lost), "t").select("d", "t", "text", "lost").mapInArrow(eased(_mask), f"d {kind}, t bigint, text string, gone array<struct<s:int,e:int,kd:{kind}>>")
+    masked = materialize(masked)
+    for used in (lines, grams, near, firsts, lost):
+        discard(used)
+    texts = texts.join(_side(masked.select("t")), "t", "left_anti").select("d", "t", "text").union(masked.select("d", "t", "text"))
+    pieces = materialize(texts.mapInArrow(eased(_emit_pieces(least)), f"h bigint, h2 int, {place}"))
 
     # windows near one that has its like
     picks = materialize(texts.mapInArrow(eased(_emit_picks), f"h bigint, d {kind}, t bigint, at int, role int"))
@@ -476,21 +556,16 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     windows = materialize(about.mapInArrow(eased(_emit_near), f"h bigint, h2 int, {place}"))
 
     # these, sentence runs and whole lines, equal in all their words
-    runs = pieces.drop("bands").union(windows)
+    runs = pieces.union(windows)
     spot = F.xxhash64("t", "s", "e")
     met = materialize(runs.groupBy("h").agg(F.min(spot).alias("a"), F.max(spot).alias("z")).where("a < z").select("h"))
-    runs = runs.join(_side(met), "h").join(_side(lost), "t", "left")
-    clear = F.col("lost").isNull() | ~F.exists("lost", lambda x: (x["s"] < F.col("e")) & (x["e"] > F.col("s")))
-    runs = materialize(runs.select("h", "h2", "d", "t", "s", "e", clear.alias("clear")))
+    runs = materialize(runs.join(_side(met), "h"))
     discard(pieces)
     discard(windows)
-    heads = materialize(runs.groupBy("h", "h2").agg(F.min(F.struct((~F.col("clear")).alias("lost"), order.alias("o"))).alias("o")).select("h", "h2", "o.lost", "o.o"))
-    gone = runs.where("clear").join(_side(heads), ["h", "h2"]).where(other)
-    saved = heads.where("lost").select("o.*").union(firsts.select("o.*")).drop("none").join(_side(lost).select("t"), "t", "left_semi")
-
-    kept = F.col("o.d").alias("kd")
-    events = gone.select("d", "t", "s", "e", kept, F.lit(0).alias("kind")).union(near.select("d", "t", "s", "e", "kd", F.lit(1))).union(saved.select("d", "t", "s", "e", F.lit(None).cast(kind), F.lit(2)))
-    by_text = events.groupBy("d", "t").agg(F.collect_list(F.struct("s", "e", "kd", "kind")).alias("events"))
+    heads = materialize(runs.groupBy("h", "h2").agg(F.min(F.struct(*order)).alias("o")))
+    gone = runs.join(_side(heads), ["h", "h2"]).where(other).select("d", "t", "s", "e", F.col("o.d").alias("kd"))
+    gone = gone.union(masked.select("d", "t", F.explode("gone").alias("x")).select("d", "t", "x.*"))
+    by_text = gone.groupBy("d", "t").agg(F.collect_list(F.struct("s", "e", "kd")).alias("events"))
     settled = by_text.mapInArrow(eased(_settle), f"{place}, kept array<{kind}>")
     return settled.union(whole)
 
@@ -508,17 +583,12 @@ def _emit_whole(least: int):
     return run
 
 
-def settle(s: np.ndarray, e: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spans that are removed of one text: what events of kind 0 (equal) hold, and of kind 1 (near) outside of kind 2 (saved), merged where
-    they touch."""
-    points = np.unique(np.concatenate([s, e]))
-    cover = np.zeros((3, len(points) + 1), np.int64)
-    np.add.at(cover, (kind, np.searchsorted(points, s)), 1)
-    np.add.at(cover, (kind, np.searchsorted(points, e)), -1)
-    equal, near, saved = np.cumsum(cover, 1)[:, :-1] > 0
-    out = equal | (near & ~saved)
-    edge = np.diff(np.concatenate([[0], out.astype(np.int8), [0]]))
-    return points[np.flatnonzero(edge == 1)], points[np.flatnonzero(edge == -1)]
+def settle(s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans of one text merged where they touch."""
+    o = np.argsort(s, kind="stable")
+    s, most = s[o], np.maximum.accumulate(e[o])
+    new = np.flatnonzero(np.concatenate([[True], s[1:] > most[:-1]]))
+    return s[new], most[np.append(new[1:], len(s)) - 1]
 
 
 def _settle(batches):
@@ -527,7 +597,7 @@ def _settle(batches):
         flat = lists.flatten()
         if not len(flat):
             continue
-        s, e, what = (np.asarray(flat.field(i)).astype(np.int64) for i in (0, 1, 3))
+        s, e = (np.asarray(flat.field(i)).astype(np.int64) for i in (0, 1))
         code = pc.dictionary_encode(flat.field(2), null_encoding="encode")
         sort = pc.array_sort_indices(code.dictionary)
         by_value = np.argsort(np.asarray(sort))  # rank of each code
@@ -536,14 +606,8 @@ def _settle(batches):
         row, starts, ends, kept, counts = [], [], [], [], []
         for i in range(batch.num_rows):
             a, z = offs[i], offs[i + 1]
-            lo, hi = settle(s[a:z], e[a:z], what[a:z])
-            if not len(lo):
-                continue
-            own = np.flatnonzero(what[a:z] < 2) + a
-            first, last = np.searchsorted(hi, s[own], side="right"), np.searchsorted(lo, e[own], side="left")
-            n = np.maximum(last - first, 0)
-            span = np.repeat(first, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            pair = np.unique(np.stack([span, np.repeat(rank[own], n)]), axis=1)
+            lo, hi = settle(s[a:z], e[a:z])
+            pair = np.unique(np.stack([np.searchsorted(lo, s[a:z], side="right") - 1, rank[a:z]]), axis=1)
             row.append(np.full(len(lo), i))
             starts.append(lo)
             ends.append(hi)

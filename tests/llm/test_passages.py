@@ -198,10 +198,10 @@ def test_near_lines_against_exact_jaccard(spark, threshold, hot):
     rows = list(enumerate(texts))
     shape = P.shape(threshold)
     docs = spark.createDataFrame(rows, "d long, text string").select("d", P.text_mark(F.col("text")).alias("t"), "text")
-    pieces = docs.mapInArrow(P._emit_pieces(8, shape), "h bigint, h2 int, d bigint, t bigint, s int, e int, bands array<int>").where("bands is not null").persist()
+    pieces = docs.mapInArrow(P._emit_lines(8, shape), "h bigint, d bigint, t bigint, s int, e int, bands array<int>").persist()
     place = {r["h"]: r["d"] for r in pieces.collect()}
     cluster = {}
-    for r in P.near_lines(docs, pieces, threshold, 8, shape, hot).collect():
+    for r in P.near_lines(docs, pieces, threshold, 8, shape, hot)[0].collect():
         cluster.setdefault(r["cluster"], set()).add(place[r["line"]])
     got = {frozenset(x) for x in cluster.values()}
     root = list(range(len(texts)))
@@ -221,10 +221,10 @@ def test_near_lines_against_exact_jaccard(spark, threshold, hot):
 def test_settled_spans_against_marks():
     rng = random.Random(3)
     for _ in range(200):
-        events = [sorted(rng.sample(range(40), 2)) + [rng.randrange(3)] for _ in range(rng.randrange(1, 9))]
-        marks = [any(s <= x < e and k == 0 for s, e, k in events) or (any(s <= x < e and k == 1 for s, e, k in events) and not any(s <= x < e and k == 2 for s, e, k in events)) for x in range(40)]
+        events = [sorted(rng.sample(range(40), 2)) for _ in range(rng.randrange(1, 9))]
         lo, hi = P.settle(*(np.array(c) for c in zip(*events, strict=True)))
-        assert [any(a <= x < b for a, b in zip(lo, hi, strict=True)) for x in range(40)] == marks and all(b < a for b, a in zip(hi, lo[1:], strict=False))
+        assert [any(a <= x < b for a, b in zip(lo, hi, strict=True)) for x in range(40)] == [any(s <= x < e for s, e in events) for x in range(40)]
+        assert all(b < a for b, a in zip(hi, lo[1:], strict=False))
 
 
 def test_texts_of_one_mark_are_left_alone(spark, monkeypatch):
