@@ -8,7 +8,8 @@ the tree as a whole draws what dealing all blocks from one shuffled deck would,
 within one. Leaves take disjoint ranges of each source's permuted blocks; the documents of a shard are shuffled locally.
 
 A source's order is never sorted in one place: documents are counted by (source, slice of the hash), slices give the ranks where they
-begin, and a window ranks inside a slice; the slices get as many as the source is large.
+begin, and a window ranks inside a slice; the slices get as many as the source is large. All of this moves hashes only: each document is
+sent once, to the places that its hash got.
 
 Defined results: a null source is a source of its own, of the key None. A source without a weight has weight 0 and gives nothing; weights
 of sources that are not there are left out. Without weights, each source that is there weighs the same. Rows of equal hash (repeated rows) are in an order that
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarrylens.llm.textblock import col, renamed
+from quarrylens.runtime import materialize, small_side
 
 BLOCK = 64  # documents a block
 SLICE = 20000  # documents a slice of a source's order, about
@@ -114,12 +116,20 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, sou
     deal = split_tree(n_blocks, shards, seed)
     to = np.cumsum(deal, 0)
 
+    # what is moved: a row's hash, its number among rows of the same hash, and its source
+    same = materialize(keyed.groupBy("__o").agg(F.count("*").alias("n")).where("n > 1").select("__o"))
+    side = F.broadcast(same) if small_side(same) else same
+    number = F.row_number().over(Window.partitionBy("__o").orderBy("__o"))
+    whole = keyed.join(side, "__o", "left_anti").withColumn("__n", F.lit(1)).unionByName(keyed.join(side, "__o", "left_semi").withColumn("__n", number))
+    slim = keyed.select("__o", F.col(source).alias("__src"))
+    slim = slim.join(side, "__o", "left_anti").withColumn("__n", F.lit(1)).unionByName(slim.join(side, "__o", "left_semi").withColumn("__n", number))
+
     # slices of each source's order, and the rank where each begins
     n_slices = {s: max(1, round(counts[s] / SLICE)) for s in names}
     info = spark.createDataFrame([(s, j, take[s], counts[s], n_slices[s]) for j, s in enumerate(names)], T.StructType([T.StructField("__v", docs.schema[source].dataType), T.StructField("__s", T.IntegerType()), T.StructField("__take", T.LongType()), T.StructField("__have", T.LongType()), T.StructField("__slices", T.IntegerType())]))
     info = F.broadcast(info) if len(names) <= 100_000 else info
     unit = (F.shiftrightunsigned("__o", 33)).cast("double") / F.lit(float(2**31))
-    keyed = keyed.join(info, F.col(source).eqNullSafe(F.col("__v"))).withColumn("__slice", F.floor(unit * F.col("__slices")).cast("int"))
+    keyed = slim.join(info, F.col("__src").eqNullSafe(F.col("__v"))).withColumn("__slice", F.floor(unit * F.col("__slices")).cast("int"))
     begins = keyed.groupBy("__s", "__slice").agg(F.count("*").alias("n"))
     begins = begins.withColumn("__begin", F.sum("n").over(Window.partitionBy("__s").orderBy("__slice")) - F.col("n")).drop("n")
     ranked = keyed.withColumn("__r", F.row_number().over(Window.partitionBy("__s", "__slice").orderBy(F.shiftrightunsigned("__o", 33), "__o")))
@@ -150,4 +160,5 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, sou
         per_block = F.broadcast(per_block)
     placed = placed.join(per_block, (F.col("__s") == F.col("__rs")) & (F.col("mix_block") == F.col("__b")))
     local = Window.partitionBy("mix_shard").orderBy(F.xxhash64("__o", F.lit(seed + 1), F.floor(F.col("__rank") / F.col("__have"))), "__o", "__s", "__rank")
-    return placed.withColumn("mix_place", F.row_number().over(local).cast("long") - 1).select(*docs.columns, *added).toDF(*names_out, *added)
+    placed = placed.withColumn("mix_place", F.row_number().over(local).cast("long") - 1).select("__o", "__n", *added)
+    return whole.join(placed, ["__o", "__n"]).select(*docs.columns, *added).toDF(*names_out, *added)
