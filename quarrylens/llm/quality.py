@@ -3,10 +3,12 @@
 A logistic classifier, fitted on a bounded sample of labelled documents, gives each document's evidence: the log of how much likelier it is
 to be good than its features' prior. Hosts and paths are the document's neighbourhood: a host's share of good documents is a beta
 posterior around the global share, a path's one around its host's, and how hard sparse sites shrink is estimated from how much the
-sites differ beyond what chance explains (moments, by grouped aggregation). A document's posterior is its evidence on its path's odds.
+sites differ beyond what chance explains (moments, by grouped aggregation). A document's posterior is its evidence on the odds of its path
+as the others there make them: its own chance is left out of its path, its host and the whole, so that no evidence counts twice.
 
 Defined results: null texts have the features of empty ones. A null host or path is a site of its own. With no labels, or labels of one
-kind, the evidence is 0 and the prior one half. Repeated rows count each time. A label given twice to an id counts as the lower one.
+kind, the evidence is 0 and the prior one half; so is the prior of the only document there is. Texts of any length are read whole. A
+posterior of just keep_at keeps. Repeated rows count each time. A label given twice to an id counts as the lower one.
 Extra columns are ignored. An empty table gives no rows.
 """
 
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrylens.llm.textblock import blocks, eased, raw, span_hash, word_spans
+from quarrylens.llm.textblock import blocks, col, eased, raw, span_hash, word_spans
 from quarrylens.runtime import materialize, ship, small_side
 
 SAMPLE = 4000  # labelled documents to fit on, about
@@ -99,13 +101,13 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> t
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> tuple[np.ndarray, float, float]:
     """Weights, intercept and the share of good documents of the labels; fitted on about `sample` of them, chosen by hash."""
     ship(docs.sparkSession)
-    known = labels.where(F.col(doc_id).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("__id")).agg(F.min(label).alias("__y"))
-    total, good = known.agg(F.count("*"), F.coalesce(F.avg("__y"), F.lit(0.5))).first()
+    known = labels.where(col(doc_id).isNotNull() & col(label).isin(0, 1)).groupBy(col(doc_id).alias("id")).agg(F.min(col(label)).alias("y"))
+    total, good = known.agg(F.count("*"), F.coalesce(F.avg("y"), F.lit(0.5))).first()
     if not total:
         return np.zeros(DENSE + BUCKETS), 0.0, 0.5
-    some = known.where(F.pmod(F.xxhash64("__id", F.lit(5)), F.lit(1 << 20)) < min(1.0, sample / total) * (1 << 20))
+    some = known.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 20)) < min(1.0, sample / total) * (1 << 20))
     some = F.broadcast(some)  # `sample` ids, about
-    rows = docs.join(some, docs[doc_id] == some["__id"]).select("__y", F.col(text).alias("text"))
+    rows = docs.select(col(doc_id).alias("id"), col(text).alias("text")).join(some, "id").select("y", "text")
 
     def run(batches):
         for batch in batches:
@@ -150,21 +152,24 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     """(doc_id, evidence, host_share, path_share, posterior, keep) of every document."""
     model = train(docs, labels, doc_id=doc_id, text=text)
     prior = min(max(model[2], 0.01), 0.99)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), F.col(text).alias("body"))
+    rows = docs.select(col(doc_id).alias("doc_id"), F.coalesce(col(host).cast("string"), F.lit("")).alias("host"), F.coalesce(col(path).cast("string"), F.lit("")).alias("path"), col(text).alias("body"))
     scored = materialize(evidence(rows, model, "body", ["doc_id", "host", "path"]))
     chance = 1 / (1 + F.exp(-(F.col("evidence") + F.lit(float(np.log(prior / (1 - prior)))))))
     paths = materialize(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(chance).alias("good")))
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    whole = F.broadcast(hosts.agg((F.sum("good") / F.sum("n")).alias("share")))  # one row
-    hosts = hosts.crossJoin(whole)
-    strength = F.broadcast(hosts.agg(_strength(hosts, F.col("share")).alias("k")))  # one row
-    hosts = hosts.crossJoin(strength).select("host", ((F.col("share") * F.col("k") + F.col("good")) / (F.col("k") + F.col("n"))).alias("host_share"))
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("good").alias("host_good"))
+    whole = F.broadcast(hosts.agg(F.sum("host_good").alias("all_good"), F.sum("host_n").alias("all_n")))  # one row
+    hosts = hosts.crossJoin(whole).withColumns({"n": F.col("host_n"), "good": F.col("host_good"), "share": F.col("all_good") / F.col("all_n")})
+    strength = F.broadcast(hosts.agg(_strength(hosts, F.col("share")).alias("host_k")))  # one row
+    hosts = hosts.crossJoin(strength).withColumn("host_share", (F.col("share") * F.col("host_k") + F.col("host_good")) / (F.col("host_k") + F.col("host_n"))).drop("n", "good", "share")
     sites = paths.join(hosts, "host")
-    strength = F.broadcast(sites.agg(_strength(sites, F.col("host_share")).alias("k")))  # one row
-    sites = sites.crossJoin(strength).select("host", "path", "host_share", ((F.col("host_share") * F.col("k") + F.col("good")) / (F.col("k") + F.col("n"))).alias("path_share"))
+    strength = F.broadcast(sites.agg(_strength(sites, F.col("host_share")).alias("path_k")))  # one row
+    sites = sites.crossJoin(strength).withColumn("path_share", (F.col("host_share") * F.col("path_k") + F.col("good")) / (F.col("path_k") + F.col("n")))
     if small_side(paths):
         sites = F.broadcast(sites)
-    out = scored.join(sites, ["host", "path"])
-    share = F.least(F.greatest("path_share", F.lit(1e-6)), F.lit(1 - 1e-6))
+    out = scored.join(sites, ["host", "path"]).withColumn("own", chance)
+    others = lambda prior, k, good, n: (prior * F.col(k) + F.greatest(F.col(good) - F.col("own"), F.lit(0.0))) / (F.col(k) + F.col(n) - 1)
+    share = F.when(F.col("all_n") > 1, F.greatest(F.col("all_good") - F.col("own"), F.lit(0.0)) / (F.col("all_n") - 1)).otherwise(0.5)
+    share = others(others(share, "host_k", "host_good", "host_n"), "path_k", "good", "n")
+    share = F.least(F.greatest(share, F.lit(1e-6)), F.lit(1 - 1e-6))
     posterior = 1 / (1 + F.exp(-(F.col("evidence") + F.log(share / (1 - share)))))
     return out.select("doc_id", "evidence", "host_share", "path_share", posterior.alias("posterior"), (posterior >= keep_at).alias("keep"))

@@ -38,12 +38,30 @@ def test_sparse_sites_shrink(spark):
     far = path[(path["host"] - path["share"]).abs() > 1e-6]
     k = (far["share"] - far["mean"]) * far["n"] / (far["host"] - far["share"])
     assert np.allclose(k, k.median(), rtol=1e-2)
-    odds = out["path_share"] / (1 - out["path_share"])
-    assert np.allclose(out["posterior"], 1 / (1 + np.exp(-(out["evidence"] + np.log(odds)))))
+    # strengths by hand, and posteriors with a document's own chance left out of its sites
+
+    def strength(n, good, centre):
+        mean = good / n
+        between = max((np.sum(n * (mean - centre) ** 2) - np.sum(centre * (1 - centre))) / n.sum(), 1e-6)
+        return min(max(np.sum(n * centre * (1 - centre)) / n.sum() / between - 1, 1.0), 1e6)
+
+    n_h, good_h = host["n"].to_numpy(), (host["n"] * host["mean"]).to_numpy()
+    k_h = strength(n_h, good_h, np.full(len(n_h), whole))
+    assert np.allclose(host["share"], (whole * k_h + good_h) / (k_h + n_h))
+    n_p, good_p = path["n"].to_numpy(), (path["n"] * path["mean"]).to_numpy()
+    k_p = strength(n_p, good_p, path["host"].to_numpy())
+    assert np.allclose(path["share"], (path["host"] * k_p + good_p) / (k_p + n_p))
+    c, by_host, by_path = out["chance"], out.groupby("source")["chance"], out.groupby(["source", "lang"])["chance"]
+    share = (c.sum() - c) / (len(c) - 1)
+    share = (share * k_h + by_host.transform("sum") - c) / (k_h + by_host.transform("size") - 1)
+    share = (share * k_p + by_path.transform("sum") - c) / (k_p + by_path.transform("size") - 1)
+    assert np.allclose(out["posterior"], 1 / (1 + np.exp(-(out["evidence"] + np.log(share / (1 - share))))))
 
 
 def test_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (2, 0), (5, 1), (5, 0), (None, 1), (8, None), (77, 0)], "doc_id long, quality int")
+    odd = odd.withColumns({c: F.lit("x") for c in ("__y", "__id", "a.b", "evidence", "n", "good", "id", "y")})
+    none = odd.limit(0)
     out = classify(odd, labels).collect()
     assert len(out) == odd.count() and all(0 <= r["posterior"] <= 1 for r in out)
     assert classify(none, labels).count() == 0
