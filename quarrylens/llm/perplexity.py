@@ -21,6 +21,7 @@ from quarrylens.llm.bytegrams import gathered, gram_counts, score_rows
 
 ORDER = 5
 WIDE = 3.0
+ACCURACY = 10_000  # a quartile's rank is right to one part in so many; what is held does not grow with the language
 LEAST = 0.02  # of a logarithm: the least half-width of a band
 ERRORS = 4.0  # over the root of a text's bytes: what a band is wider for a short text, whose mean is less sure
 
@@ -104,7 +105,7 @@ def perplexity_bands(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     scored = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"), F.octet_length(text).alias("size"))
     scored = materialize(perplexities(scored, keep=["doc_id", "lang", "size"]))
     part = F.coalesce("lang", F.lit(""))
-    bands = scored.groupBy(part.alias("part")).agg(F.percentile("log_perplexity", [0.25, 0.75]).alias("q"))
+    bands = scored.groupBy(part.alias("part")).agg(F.percentile_approx("log_perplexity", [0.25, 0.75], ACCURACY).alias("q"))
     low, high = F.col("q")[0], F.col("q")[1]
     reach = (high - low) * wide + LEAST
     bands = F.broadcast(bands.select("part", (low - reach).alias("least"), (high + reach).alias("most")))
