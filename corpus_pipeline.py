@@ -1,4 +1,11 @@
-"""The corpus pipeline: language ID, near-duplicate join, passage dedup, mixing and tokens, each stage over all that its predecessor kept."""
+"""The corpus pipeline: language ID, near-duplicate join, passage dedup, mixing and tokens, each stage over all that its predecessor kept.
+
+Defined results: a document without text, or in whose text no language is found (blank, or no word of letters), is rejected by the first
+stage; a null language, source or id is no ground. Of rows of equal id and text one stays. Of a passage that repeats the first place stays; a
+document of which only white space is left goes. A null source is a source of its own. Of a scarce source documents come up to EPOCHS times.
+Ties go to the least id, then the least text. Very long texts are read whole. Columns of documents pass through up to the last stage, whatever
+their names. An empty table gives no rows.
+"""
 
 from __future__ import annotations
 
