@@ -7,7 +7,9 @@ one byte longer give, from the deepest up. A bit's probability then mixes the es
 by its posterior weight. A text's score is the mean code length of its bytes, in bits.
 
 Defined results: a null text has no score; an empty text is its end alone, whose cost it has. Texts begin after DEPTH begin signs and end
-with an end sign, which counts as a byte. Repeated rows count as often as they occur. An empty table gives no rows. Extra columns are ignored.
+with an end sign, which counts as a byte; the signs of code 2 and 3 in a text are the same as these. Repeated rows count as often as they
+occur and get the same score; texts of any length are read whole. An empty table gives no rows. Extra columns are ignored, whatever their
+names. Texts that are no part of the corpus are not scored: a byte that was never counted raises an error. Depths beyond 6 are refused.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylens.llm.bytegrams import gathered, gram_counts, score_rows
+from quarrylens.llm.textblock import col
 
 DEPTH = 4
 HALF = np.log(0.5)
@@ -105,12 +108,17 @@ def weigh(keys: np.ndarray, counts: np.ndarray, depth: int) -> Tree:
 
 
 def _cost(tree: Tree, part: str, keys: np.ndarray) -> np.ndarray:
-    return tree.bits[np.searchsorted(tree.keys, keys)].astype(np.float64)
+    at = np.minimum(np.searchsorted(tree.keys, keys), len(tree.keys) - 1)
+    if (tree.keys[at] != keys).any():
+        raise ValueError("a text holds a byte after a context that the corpus doesn't have")
+    return tree.bits[at].astype(np.float64)
 
 
 def code_lengths(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH) -> DataFrame:
     """(doc_id, bits_per_byte) of every document, under the context trees of all of them."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    if not 0 <= depth <= 6:
+        raise ValueError("depth must be 0 to 6")
+    rows = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"))
     keys, counts = gathered(gram_counts(rows.withColumn("text", F.coalesce("text", F.lit(""))), depth + 1)).get("", (np.zeros(0, np.int64), np.zeros(0, np.int64)))
     tree = weigh(keys, counts, depth) if len(keys) else Tree(keys, np.zeros(0, np.float32))
     return score_rows(rows, depth + 1, docs.sparkSession.sparkContext.broadcast(tree), _cost, "bits_per_byte", keep=["doc_id"])
