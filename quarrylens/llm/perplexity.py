@@ -5,7 +5,9 @@ keys (the bytes themselves) that a binary search reads. Each text's perplexity i
 quartiles of the logarithms of all its texts' perplexities, WIDE interquartile ranges beyond either side. Below the band are texts too
 uniform to tell anything, above it those unlike the language.
 
-Defined results: a null or blank text has null perplexity and is rejected; the end of a text counts as a sign. A null language is a language
+Defined results: a null or blank text has null perplexity and is rejected; the end of a text counts as a sign; the signs of code 2 and 3 in a
+text are the same as its begin and end marks. Repeated rows count as often as they occur. Perplexities of just a limit are accepted. Texts of
+any length are read whole. A null language is a language
 of its own, "". A language whose texts all have one perplexity accepts those. Extra columns are ignored. An empty table gives no rows.
 """
 
@@ -18,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylens.llm.bytegrams import gathered, gram_counts, score_rows
+from quarrylens.llm.textblock import col
 
 ORDER = 5
 WIDE = 3.0
@@ -102,8 +105,8 @@ def perplexity_bands(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """(doc_id, lang, perplexity, lower, upper, accepted) of every document."""
     from quarrylens.runtime import materialize
 
-    scored = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"), F.octet_length(text).alias("size"))
-    scored = materialize(perplexities(scored, keep=["doc_id", "lang", "size"]))
+    scored = docs.select(col(doc_id).alias("doc_id"), col(lang).alias("lang"), col(text).alias("text"), F.octet_length(col(text)).alias("size"))
+    scored = materialize(perplexities(scored, "text", "lang", ["doc_id", "lang", "size"]))
     part = F.coalesce("lang", F.lit(""))
     bands = scored.groupBy(part.alias("part")).agg(F.percentile_approx("log_perplexity", [0.25, 0.75], ACCURACY).alias("q"))
     low, high = F.col("q")[0], F.col("q")[1]
