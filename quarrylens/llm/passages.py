@@ -33,7 +33,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylens.llm.components import components
@@ -544,7 +544,7 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     for used in (lines, grams, near, firsts, lost):
         discard(used)
     texts = texts.join(_side(masked.select("t")), "t", "left_anti").select("d", "t", "text").union(masked.select("d", "t", "text"))
-    pieces = materialize(texts.mapInArrow(eased(_emit_pieces(least)), f"h bigint, h2 int, {place}"))
+    pieces = texts.mapInArrow(eased(_emit_pieces(least)), f"h bigint, h2 int, {place}")
 
     # windows near one that has its like
     picks = materialize(texts.mapInArrow(eased(_emit_picks), f"h bigint, d {kind}, t bigint, at int, role int"))
@@ -553,17 +553,12 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     shared = materialize(picks.join(_side(met), "h").groupBy("t").agg(F.collect_set(F.struct("at", "role", "head")).alias("shared")))  # of a text, its own words
     discard(picks)
     about = texts.join(_side(shared), "t").select("d", "t", "text", "shared")
-    windows = materialize(about.mapInArrow(eased(_emit_near), f"h bigint, h2 int, {place}"))
+    windows = about.mapInArrow(eased(_emit_near), f"h bigint, h2 int, {place}")
 
     # these, sentence runs and whole lines, equal in all their words
     runs = pieces.union(windows)
-    spot = F.xxhash64("t", "s", "e")
-    met = materialize(runs.groupBy("h").agg(F.min(spot).alias("a"), F.max(spot).alias("z")).where("a < z").select("h"))
-    runs = materialize(runs.join(_side(met), "h"))
-    discard(pieces)
-    discard(windows)
-    heads = materialize(runs.groupBy("h", "h2").agg(F.min(F.struct(*order)).alias("o")))
-    gone = runs.join(_side(heads), ["h", "h2"]).where(other).select("d", "t", "s", "e", F.col("o.d").alias("kd"))
+    of = Window.partitionBy("h", "h2").orderBy(*order)  # places are sorted on disk, and none is held but the first
+    gone = runs.withColumn("o", F.first(F.struct("d", "t", "s", "e")).over(of)).where(other).select("d", "t", "s", "e", F.col("o.d").alias("kd"))
     gone = gone.union(masked.select("d", "t", F.explode("gone").alias("x")).select("d", "t", "x.*"))
     by_text = gone.groupBy("d", "t").agg(F.collect_list(F.struct("s", "e", "kd")).alias("events"))
     settled = by_text.mapInArrow(eased(_settle), f"{place}, kept array<{kind}>")
