@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PACKAGE = Path(__file__).resolve().parent
 _SHIPPED: set[str] = set()
@@ -42,6 +43,8 @@ def materialize(df: DataFrame, parts: int | None = None, by: list[str] = ()) ->
     """Write df as Parquet into the shared folder, in folders by columns, and read it back: cuts lineage, survives executor loss."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ql-{uuid.uuid4().hex}"
+    if by:  # a folder's rows come from few tasks, so that files are few, and a large folder's from many
+        df = df.hint("rebalance", *[F.col(c) for c in by])
     out = (df if parts is None else df.coalesce(parts)).write
     (out.partitionBy(*by) if by else out).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
