@@ -60,13 +60,15 @@ def spread(df: DataFrame, each: int = 32 << 20) -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Delete what materialize() wrote for df; later reads of it fail."""
+    """Delete what materialize() wrote for df; later reads of it fail. The driver's heap is collected, since Spark deletes the shuffle files of
+    ended jobs only when their plans are, which a large heap puts off while the executors' disks fill."""
     path = getattr(df, "_ql_path", None)
     if path:
         spark = df.sparkSession
         jvm = spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        jvm.java.lang.System.gc()
 
 
 def small_side(df: DataFrame, limit: int = 8 << 20) -> bool:
