@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +31,12 @@ from pyspark.sql import functions as F
 
 from quarrylens.llm.components import components
 from quarrylens.llm.textblock import MULT, blocks, col, eased, free, gram_hash, put_lists, raw, span_hash, word_spans
-from quarrylens.runtime import materialize, ship, small_side
+from quarrylens.runtime import discard, materialize, ship, small_side
 
 N = 3
 THRESHOLD = 0.6
 MISS = 1e-9  # chance that a pair of the threshold meets nowhere
+PARTS = 4  # of the groups, by their hash, that are routed one after another, so that a fraction of the routed signatures is on disk at a time
 HOT = 4096  # signatures of the largest group that one task compares
 LEAF, FAN = 16, 8
 WORD = r"[^ \t\n\x0b\f\r\x1c-\x1f]"  # of text that has a word
@@ -302,19 +303,29 @@ def text_pairs(docs: DataFrame, text: str = "text", n: int = N, threshold: float
     texts = docs.where(col(text).isNotNull()).select(text_key(col(text)).alias("k"), col(text).alias("text"))
     signed = materialize(texts.mapInArrow(eased(_signatures(n, width)), "k binary, size int, bottom array<bigint>, bits binary").dropDuplicates(["k"]))
     posted = signed.select(F.explode("bottom").alias("g"), "k").withColumn("n", F.count("*").over(Window.partitionBy("g"))).where("n > 1")
-    met = posted.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("g", F.ceil(F.col("n") / hot).cast("int").alias("blocks")))).alias("met"))  # at most width of them
-    routed = signed.select("k", "size", "bits").join(met, "k").select("k", "size", "bits", F.col("met.g").alias("bottom"), F.explode("met").alias("m")).select("k", "size", "bits", "bottom", "m.*")
-    routed = routed.withColumn("block", F.pmod(F.xxhash64("k"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    least, most = F.least("block", "other"), F.greatest("block", "other")
-    routed = routed.select("g", F.xxhash64("g", least, most).alias("cell"), "k", "size", "bits", "bottom", "block", (least != most).alias("across")).repartition("cell").sortWithinPartitions("cell", "g")
-    found = materialize(routed.mapInArrow(eased(_traverse(threshold, width)), "cell bigint, k binary, partners array<binary>"))
+    met = materialize(posted.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("g", F.ceil(F.col("n") / hot).cast("int").alias("blocks")))).alias("met")))  # at most width of them
+    joined = materialize(signed.select("k", "size", "bits").join(met, "k"))
+    discard(signed)
+    discard(met)
+    found = []
+    for part in range(PARTS):
+        routed = joined.select("k", "size", "bits", F.col("met.g").alias("bottom"), F.explode("met").alias("m")).select("k", "size", "bits", "bottom", "m.*").where(F.pmod(F.xxhash64("g"), F.lit(PARTS)) == part)
+        routed = routed.withColumn("block", F.pmod(F.xxhash64("k"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        least, most = F.least("block", "other"), F.greatest("block", "other")
+        routed = routed.select("g", F.xxhash64("g", least, most).alias("cell"), "k", "size", "bits", "bottom", "block", (least != most).alias("across")).repartition("cell").sortWithinPartitions("cell", "g")
+        found.append(materialize(routed.mapInArrow(eased(_traverse(threshold, width)), "cell bigint, k binary, partners array<binary>")))
+    discard(joined)
+    parts, found = found, reduce(DataFrame.union, found)
     wanted = found.select("k").distinct()
     if small_side(found):
         wanted = F.broadcast(wanted)
     grams = texts.join(wanted, "k", "left_semi").mapInArrow(eased(_grams(n)), "k binary, grams array<bigint>").dropDuplicates(["k"])
     together = found.join(grams, "k").repartition("cell").sortWithinPartitions("cell").select("cell", "k", "partners", "grams")
     pairs = together.mapInArrow(eased(_verify(threshold)), "ka binary, kb binary, both int, either int")
-    return pairs.select("ka", "kb", (F.col("both").cast("double") / F.col("either").cast("double")).alias("jaccard"))
+    pairs = materialize(pairs.select("ka", "kb", (F.col("both").cast("double") / F.col("either").cast("double")).alias("jaccard")))
+    for used in parts:
+        discard(used)
+    return pairs
 
 
 def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
@@ -323,7 +334,7 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ids = docs.where(col(doc_id).isNotNull()).select(col(doc_id).alias("d"), F.when(col(text).rlike(WORD), text_key(col(text))).alias("k"))
     named = ids.where("k is not null").groupBy("k", "d").agg(F.lit(1).alias("one"))
     held = named.groupBy("k").agg(F.count("*").alias("copies"), F.min("d").alias("first"))
-    pairs = materialize(text_pairs(docs.where(col(doc_id).isNotNull()), text, n, threshold).select("ka", "kb"))
+    pairs = text_pairs(docs.where(col(doc_id).isNotNull()), text, n, threshold).select("ka", "kb")
     linked = pairs.union(pairs.select("kb", "ka")).join(held.select(F.col("k").alias("kb"), "copies"), "kb")
     linked = linked.groupBy(F.col("ka").alias("k")).agg(F.sum("copies").alias("to"))
     nodes = components(pairs, "ka", "kb").select(F.col("node").alias("k"), "component")
@@ -337,7 +348,10 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def near_duplicate_groups(docs: DataFrame, text: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """(k, component): of each text that is like another one, by text_key(), the least key of its group."""
-    return components(text_pairs(docs, text, n, threshold), "ka", "kb").select(F.col("node").alias("k"), "component")
+    pairs = text_pairs(docs, text, n, threshold)
+    out = components(pairs, "ka", "kb")
+    discard(pairs)
+    return out.select(F.col("node").alias("k"), "component")
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 PACKAGE = Path(__file__).resolve().parent
 _SHIPPED: set[str] = set()
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ship(spark: SparkSession) -> None:
@@ -40,13 +41,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, parts: int | None = None, by: list[str] = ()) -> DataFrame:
-    """Write df as Parquet into the shared folder, in folders by columns, and read it back: cuts lineage, survives executor loss."""
+    """Write df as Parquet into the shared folder, in folders by columns, and read it back: cuts lineage, survives executor loss. The shuffle
+    files of the write are deleted when it ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ql-{uuid.uuid4().hex}"
-    if by:  # a folder's rows come from few tasks, so that files are few, and a large folder's from many
-        df = df.hint("rebalance", *[F.col(c) for c in by])
-    out = (df if parts is None else df.coalesce(parts)).write
-    (out.partitionBy(*by) if by else out).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        if by:  # a folder's rows come from few tasks, so that files are few, and a large folder's from many
+            df = df.hint("rebalance", *[F.col(c) for c in by])
+        out = (df if parts is None else df.coalesce(parts)).write
+        (out.partitionBy(*by) if by else out).parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._ql_path = path
     return out

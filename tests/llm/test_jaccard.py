@@ -1,12 +1,15 @@
 import hashlib
 import itertools
 import random
+import time
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 from quarrylens.llm import jaccard as J
 from quarrylens.llm.components import components
+from quarrylens.runtime import shared_dir
 
 
 def grams(text, n=3):
@@ -144,3 +147,19 @@ def test_groups_are_whole():
     seen = [t["g"].to_pylist() for t in J.groups(batches, "g", 20)]
     assert sum(seen, []) == rows
     assert all(set(a).isdisjoint(b) for a, b in itertools.combinations(seen, 2))
+
+
+def test_only_the_pairs_are_left_on_disk(spark):
+    """Neither intermediate tables nor shuffle files of text_pairs() stay when it has its pairs."""
+    shared = Path(shared_dir(spark).removeprefix("file://"))
+    files = lambda: {x for x in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "/shuffle_" in x}
+    tables, before = set(shared.glob("ql-*")), files()
+    df = spark.createDataFrame(list(enumerate(variants(random.Random(4), 40, 60))), "doc_id long, text string")
+    pairs = J.text_pairs(df)
+    left = set(shared.glob("ql-*")) - tables
+    assert [str(x) for x in left] == [pairs._ql_path.removeprefix("file://")]
+    for _ in range(50):  # they are deleted in the background
+        if not (more := files() - before):
+            break
+        time.sleep(0.2)
+    assert not more and pairs.count()
