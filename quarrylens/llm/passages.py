@@ -29,6 +29,7 @@ of them only (a chance of 3 in 10^8 for a million texts) are neither compared no
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,8 @@ REACH = 31  # windows in a row of which one is posted: repeats of 50 words are f
 N = 3
 THRESHOLD = 0.7
 RECALL = 0.99  # chance that a pair of the threshold shares a band
+PARTS = 4  # of bands and of picks, that are brought together one after another, so that a fraction of them is on disk in a shuffle at a time
+FEW = 32 << 20  # bytes of a table of marks that is broadcast, where else whole texts would be shuffled
 HOT = 4000  # paragraphs of a component that one task compares
 _R = np.random.RandomState(41)
 SEEDS = (_R.randint(0, 2**62, 512).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -353,41 +356,46 @@ def segments(p: Paragraphs, first: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return same, first[same], first[same + 1] + WORDS if len(same) else first[:0]
 
 
-def _emit_near(batches):
-    """Of texts with their shared picks and segments (first word, role, hash of the first document's id): the shared segments, and the windows
+def _emit_near(least: int):
+    """What _emit_pieces() gives and, of texts with their shared picks and segments (first word, role, hash of the first document's id): the shared segments, and the windows
     beside a shared pick, up to REACH words away, but on a side with a shared segment of the same first document."""
-    for batch in batches:
-        for b in blocks(batch, "text"):
-            p = Paragraphs(b.column(2))
-            first, _, _, _ = p.picks()
-            begin = np.searchsorted(p.doc, np.arange(b.num_rows + 1))
-            lists = b.column(3)
-            at, role, head = (np.asarray(lists.flatten().field(k)).astype(np.int64) for k in range(3))
-            at += begin[np.repeat(np.arange(b.num_rows), np.asarray(pc.list_value_length(lists)))]
-            have = np.zeros((2, len(first)), bool)  # picks, segments that begin with them
-            heads = np.zeros((2, len(first)), np.int64)
-            place = np.searchsorted(first, at)
-            have[role, place] = True
-            heads[role, place] = head
-            shared, right = have
-            i, a, z = segments(p, first)
-            joined = np.zeros(len(first), bool)  # by the segment behind a pick
-            joined[i] = right[i] & (heads[1, i] == heads[0, i]) & (heads[1, i] == heads[0, i + 1])
-            left = np.zeros(len(first), bool)
-            left[i + 1] = joined[i]
-            near = np.zeros(len(p.starts) + 1, np.int64)
-            lo, hi = begin[p.doc[first]], begin[p.doc[first] + 1]
-            for at, start, end in ((shared & ~left, first - REACH + 1, first + 1), (shared & ~joined, first, first + REACH)):
-                np.add.at(near, np.maximum(start, lo)[at], 1)
-                np.add.at(near, np.minimum(end, hi)[at], -1)
-            w, w_end = p.windows()
-            some = (np.cumsum(near) > 0)[w]
-            some[np.searchsorted(w, first[shared])] = True
-            a, z = np.concatenate([a[right[i]], w[some]]), np.concatenate([z[right[i]], w_end[some]])
-            h, h2 = run_hashes(p.hash, a, z)
-            s, e = p.place(a, z)
-            at = pa.array(p.doc[a])
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(h2), b.column(0).take(at), b.column(1).take(at), pa.array(s), pa.array(e)], ["h", "h2", "d", "t", "s", "e"])
+
+    def run(batches):
+        for batch in batches:
+            for b in blocks(batch, "text"):
+                p = Paragraphs(b.column(2))
+                first, _, _, _ = p.picks()
+                begin = np.searchsorted(p.doc, np.arange(b.num_rows + 1))
+                lists = b.column(3)
+                at, role, head = (np.asarray(lists.flatten().field(k)).astype(np.int64) for k in range(3))
+                at += begin[np.repeat(np.arange(b.num_rows), np.asarray(pc.list_value_length(lists)))]
+                have = np.zeros((2, len(first)), bool)  # picks, segments that begin with them
+                heads = np.zeros((2, len(first)), np.int64)
+                place = np.searchsorted(first, at)
+                have[role, place] = True
+                heads[role, place] = head
+                shared, right = have
+                i, a, z = segments(p, first)
+                joined = np.zeros(len(first), bool)  # by the segment behind a pick
+                joined[i] = right[i] & (heads[1, i] == heads[0, i]) & (heads[1, i] == heads[0, i + 1])
+                left = np.zeros(len(first), bool)
+                left[i + 1] = joined[i]
+                near = np.zeros(len(p.starts) + 1, np.int64)
+                lo, hi = begin[p.doc[first]], begin[p.doc[first] + 1]
+                for at, start, end in ((shared & ~left, first - REACH + 1, first + 1), (shared & ~joined, first, first + REACH)):
+                    np.add.at(near, np.maximum(start, lo)[at], 1)
+                    np.add.at(near, np.minimum(end, hi)[at], -1)
+                w, w_end = p.windows()
+                some = (np.cumsum(near) > 0)[w]
+                some[np.searchsorted(w, first[shared])] = True
+                pieces = zip(p.runs(), p.lines(least), strict=True)
+                a, z = (np.concatenate([*x, y[right[i]], v[some]]) for x, y, v in zip(pieces, (a, z), (w, w_end), strict=True))
+                h, h2 = run_hashes(p.hash, a, z)
+                s, e = p.place(a, z)
+                at = pa.array(p.doc[a])
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(h2), b.column(0).take(at), b.column(1).take(at), pa.array(s), pa.array(e)], ["h", "h2", "d", "t", "s", "e"])
+
+    return run
 
 
 def _emit_grams(least: int):
@@ -471,19 +479,21 @@ def text_check(text) -> F.Column:
     return F.xxhash64(F.lit(7), text)
 
 
-def _side(df: DataFrame) -> DataFrame:
+def _side(df: DataFrame, limit: int = 8 << 20) -> DataFrame:
     """df, a written table, to be broadcast in a join if it is small."""
-    return F.broadcast(df) if small_side(df) else df
+    return F.broadcast(df) if small_side(df, limit) else df
 
 
 def near_lines(texts: DataFrame, lines: DataFrame, threshold: float, least: int, shape: tuple[int, int], hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(line, cluster) of the lines (by hash) that are alike, of texts(d, t, text) and their lines(h, t, bands); and (line, grams) of these."""
     known = materialize(lines.groupBy(F.col("h").alias("line")).agg(F.first("bands").alias("bands")))
     key = lambda k, b: (k.cast("long") * F.lit(1 << 32)) + F.col(b)
-    posted = known.select(F.posexplode("bands").alias("k", "b"), "line").select(key(F.col("k"), "b").alias("band"), "line")
-    met = materialize(posted.groupBy("band").agg(F.min("line").alias("first"), F.max("line").alias("last")).where("first < last").select("band", "first"))
-    edges = posted.join(_side(met), "band").where("line > first").select(F.col("line").alias("a"), F.col("first").alias("b"))
-    candidates = components(edges).select(F.col("node").alias("line"), F.col("component").alias("c"))
+    posted = known.select(F.posexplode("bands").alias("k", "b"), "line").select("k", key(F.col("k"), "b").alias("band"), "line")
+    first = F.first("line").over(Window.partitionBy("band").orderBy("line"))
+    edges = [materialize(posted.where(F.col("k") % PARTS == part).withColumn("first", first).where("line > first").select(F.col("line").alias("a"), F.col("first").alias("b"))) for part in range(min(PARTS, shape[0]))]
+    candidates = components(reduce(DataFrame.union, edges)).select(F.col("node").alias("line"), F.col("component").alias("c"))
+    for used in edges:
+        discard(used)
     candidates = materialize(candidates.join(candidates.groupBy("c").agg(F.count("*").alias("n")), "c"))
     wanted = lines.select("t", F.col("h").alias("line")).join(_side(candidates).select("line"), "line").groupBy("line").agg(F.min("t").alias("t"))
     wanted = materialize(wanted.groupBy("t").agg(F.collect_list("line").alias("wanted")))  # of a text, its own lines
@@ -492,6 +502,8 @@ def near_lines(texts: DataFrame, lines: DataFrame, threshold: float, least: int,
     grams = grams.join(_side(candidates), "line").join(known, "line").select("line", "c", "n", "bands", "grams")
     big = not candidates.where(F.col("n") > hot).isEmpty()
     grams = materialize(grams)
+    discard(known)
+    discard(wanted)
     compare = lambda df: df.select("line", "c", "bands", "grams").repartition("c").sortWithinPartitions("c").mapInArrow(eased(_clusters(threshold, shape[0])), "line bigint, cluster bigint")
     out = compare(grams.where(F.col("n") <= hot))
     if big:
@@ -531,9 +543,10 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     firsts = materialize(alike.groupBy("cluster").agg(F.min(F.struct(*order, "h")).alias("o")))
     other = ~((F.col("t") == F.col("o.t")) & (F.col("s") == F.col("o.s")) & (F.col("e") == F.col("o.e")))
     near = materialize(alike.join(_side(firsts), "cluster").where(other).select("h", "d", "t", "s", "e", F.col("o.d").alias("kd"), F.col("o.h").alias("head")))
-    pairs = near.where("h <> head").select(F.col("h").alias("line"), "head").distinct()
-    own, first_ = grams.select("line", "grams"), grams.select(F.col("line").alias("head"), F.col("grams").alias("first"))
-    novel = pairs.join(own, "line").join(first_, "head").select("line", "head", "grams", "first").mapInArrow(eased(_novel), "line bigint, head bigint, a int, z int")
+    pairs = materialize(near.where("h <> head").select(F.col("h").alias("line"), "head").distinct())
+    heads = materialize(pairs.select("head").distinct())
+    own, first_ = grams.select("line", "grams"), grams.select(F.col("line").alias("head"), F.col("grams").alias("first")).join(_side(heads), "head", "left_semi")
+    novel = own.join(_side(pairs), "line").join(first_, "head").select("line", "head", "grams", "first").mapInArrow(eased(_novel), "line bigint, head bigint, a int, z int")
     novel = materialize(novel.groupBy(F.col("line").alias("h"), "head").agg(F.collect_list(F.struct("a", "z")).alias("novel")))  # of a line, its own runs
     lost = near.join(_side(novel), ["h", "head"], "left").select("t", "s", "e", "kd", F.lit(False).alias("head"), "novel")
     stay = firsts.select("o.t", "o.s", "o.e", F.lit(None).cast(kind).alias("kd"), F.lit(True).alias("head"), F.lit(None).cast(novel.schema["novel"].dataType).alias("novel"))
@@ -541,27 +554,34 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     lost = materialize(lost)  # of a text, its own spans
     masked = texts.join(_side(lost), "t").select("d", "t", "text", "lost").mapInArrow(eased(_mask), f"d {kind}, t bigint, text string, gone array<struct<s:int,e:int,kd:{kind}>>")
     masked = materialize(masked)
-    for used in (lines, grams, near, firsts, lost):
+    marks = materialize(masked.select("t"))
+    for used in (lines, clusters, grams, near, firsts, pairs, heads, novel, lost):
         discard(used)
-    texts = texts.join(_side(masked.select("t")), "t", "left_anti").select("d", "t", "text").union(masked.select("d", "t", "text"))
-    pieces = texts.mapInArrow(eased(_emit_pieces(least)), f"h bigint, h2 int, {place}")
+    texts = texts.join(_side(marks, FEW), "t", "left_anti").select("d", "t", "text").union(masked.select("d", "t", "text"))
 
     # windows near one that has its like
     picks = materialize(texts.mapInArrow(eased(_emit_picks), f"h bigint, d {kind}, t bigint, at int, role int"))
     spot = F.xxhash64("t", "at")
-    met = materialize(picks.groupBy("h").agg(F.min(spot).alias("a"), F.max(spot).alias("z"), F.min("d").alias("head")).where("a < z").select("h", F.xxhash64("head").alias("head")))
-    shared = materialize(picks.join(_side(met), "h").groupBy("t").agg(F.collect_set(F.struct("at", "role", "head")).alias("shared")))  # of a text, its own words
-    discard(picks)
-    about = texts.join(_side(shared), "t").select("d", "t", "text", "shared")
-    windows = about.mapInArrow(eased(_emit_near), f"h bigint, h2 int, {place}")
+    parts = [picks.where(F.pmod("h", F.lit(PARTS)) == part) for part in range(PARTS)]
+    met = [materialize(some.groupBy("h").agg(F.min(spot).alias("a"), F.max(spot).alias("z"), F.min("d").alias("head")).where("a < z").select("h", F.xxhash64("head").alias("head"))) for some in parts]
+    found = [materialize(some.join(_side(of), "h").select("t", "at", "role", "head")) for some, of in zip(parts, met, strict=True)]
+    shared = materialize(reduce(DataFrame.union, found).groupBy("t").agg(F.collect_set(F.struct("at", "role", "head")).alias("shared")))  # of a text, its own words
+    sharing = materialize(shared.select("t"))
+    for used in (picks, *met, *found):
+        discard(used)
+    about = texts.join(_side(sharing, FEW), "t", "left_semi").join(_side(shared), "t").select("d", "t", "text", "shared")
+    rest = texts.join(_side(sharing, FEW), "t", "left_anti").select("d", "t", "text")
 
     # these, sentence runs and whole lines, equal in all their words
-    runs = pieces.union(windows)
+    runs = rest.mapInArrow(eased(_emit_pieces(least)), f"h bigint, h2 int, {place}").union(about.mapInArrow(eased(_emit_near(least)), f"h bigint, h2 int, {place}"))
     of = Window.partitionBy("h", "h2").orderBy(*order)  # places are sorted on disk, and none is held but the first
     gone = runs.withColumn("o", F.first(F.struct("d", "t", "s", "e")).over(of)).where(other).select("d", "t", "s", "e", F.col("o.d").alias("kd"))
-    gone = gone.union(masked.select("d", "t", F.explode("gone").alias("x")).select("d", "t", "x.*"))
+    gone = materialize(gone.union(masked.select("d", "t", F.explode("gone").alias("x")).select("d", "t", "x.*")))
+    for used in (masked, marks, shared, sharing):
+        discard(used)
     by_text = gone.groupBy("d", "t").agg(F.collect_list(F.struct("s", "e", "kd")).alias("events"))
-    settled = by_text.mapInArrow(eased(_settle), f"{place}, kept array<{kind}>")
+    settled = materialize(by_text.mapInArrow(eased(_settle), f"{place}, kept array<{kind}>"))
+    discard(gone)
     return settled.union(whole)
 
 

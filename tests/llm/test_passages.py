@@ -1,9 +1,11 @@
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from quarrylens.llm import passages as P
+from quarrylens.runtime import shared_dir
 
 
 def sentence(rng, lo=4, hi=11):
@@ -237,3 +239,15 @@ def test_texts_of_one_mark_are_left_alone(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     out = {x["doc_id"]: x["text"] for x in P.dedup(docs).collect()}
     assert all(out[i] == t or out[i] == t.replace(r, "") for i, t in rows) and any(r in t for t in out.values())
+
+
+def test_only_the_spans_are_left_on_disk(spark):
+    """Of the tables that repeats() writes, its spans and the texts that occur twice stay."""
+    shared = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(shared.glob("ql-*"))
+    rng = random.Random(5)
+    passage = prose(rng, 11)
+    rows = [(i, f"{prose(rng, 6)} {passage} {prose(rng, 6)}") for i in range(6)]
+    out = P.repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    left = set(shared.glob("ql-*")) - before
+    assert len(left) <= 5 and out.count() == 5  # the nodes of components() are the others
