@@ -95,22 +95,26 @@ def _power_tables(n: int) -> dict[str, np.ndarray]:
     return _TABLES
 
 
-def run_hashes(words: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of each run of words [first, last), the same for the same words anywhere."""
+def run_hash(words: np.ndarray, first: np.ndarray, last: np.ndarray, k: str = "1") -> np.ndarray:
+    """A hash of each run of words [first, last), the same for the same words anywhere."""
     t = _power_tables(len(words))
-    out = []
     with np.errstate(over="ignore"):
-        for p, i in (("p1", "i1"), ("p2", "i2")):
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * t[p][: len(words)])])
-            out.append(mix((sums[last] - sums[first]) * t[i][first] + (last - first).astype(np.uint64)))
-    return out[0].view(np.int64), (out[1] >> np.uint64(32)).astype(np.int64).astype(np.int32)
+        sums = np.zeros(len(words) + 1, np.uint64)
+        np.cumsum(words * t["p" + k][: len(words)], out=sums[1:])
+        return mix((sums[last] - sums[first]) * t["i" + k][first] + (last - first).astype(np.uint64)).view(np.int64)
+
+
+def run_hashes(words: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """run_hash() and 32 bits of another."""
+    return run_hash(words, first, last), (run_hash(words, first, last, "2") >> 32).astype(np.int32)
 
 
 def wide(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places and code points of the signs of three bytes."""
-    at = np.flatnonzero((data & 0xF0) == 0xE0)
-    b = data.astype(np.int32) if len(at) else np.zeros(0, np.int32)
-    return at, ((b[at] & 15) << 12 | (b[at + 1] & 63) << 6 | b[at + 2] & 63) if len(at) else np.zeros(0, np.int32)
+    at = np.flatnonzero(data >= 0xE0)
+    at = at[data[at] < 0xF0]
+    b = [data[at + k].astype(np.int32) for k in range(3)]
+    return at, (b[0] & 15) << 12 | (b[1] & 63) << 6 | b[2] & 63
 
 
 def signs_apart(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,7 +126,7 @@ def signs_apart(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
         lone |= (point >= lo) & (point <= hi)
     lone &= point != 0x3000  # a space
     at = at[lone]
-    far = np.flatnonzero(data[:-1] == 0xF0) if len(data) else at
+    far = np.flatnonzero(data == 0xF0)
     far = far[data[far + 1] >= 0xA0]  # Chinese of the planes from 2 on
     if not len(at) and not len(far):
         return starts, ends, doc
@@ -138,26 +142,24 @@ class Paragraphs:
         self.data, self.offs = raw(col)
         self.starts, self.ends, self.doc = signs_apart(self.data, self.offs)
         self.hash = span_hash(self.data, self.starts, self.ends)
-        lead = np.concatenate([[0], np.cumsum((self.data & 0xC0) != 0x80)])
-        self.sign = lead  # signs before a byte
+        self.sign = np.zeros(len(self.data) + 1, np.int64)  # signs before a byte
+        np.cumsum((self.data.view(np.int8) >= -64).astype(np.int64), out=self.sign[1:])
         n = len(self.starts)
         new_doc = np.ones(n, bool)
         new_doc[1:] = self.doc[1:] != self.doc[:-1]
-        breaks = np.concatenate([[0], np.cumsum(self.data == 10)])
+        breaks = np.bincount(np.searchsorted(self.starts, np.flatnonzero(self.data == 10)), minlength=n + 1)  # before each word
         self.new_line = new_doc.copy()
         self.new_block = new_doc.copy()
-        if n:
-            between = breaks[self.starts[1:]] - breaks[self.ends[:-1]]
-            self.new_line[1:] |= between != 0
-            self.new_block[1:] |= between > 1
-        is_end = _ENDS[self.data]
-        at, point = wide(self.data)
-        is_end[at[np.isin(point, _WIDE_ENDS)] + 2] = True
+        self.new_line[1:] |= breaks[1:n] != 0
+        self.new_block[1:] |= breaks[1:n] > 1
         stop = np.zeros(n, bool)
         for back in range(1, 5):
             at = self.ends - back
-            ok = at >= self.starts
-            stop[ok] |= is_end[at[ok]]
+            stop |= _ENDS[self.data[np.maximum(at, 0)]] & (at >= self.starts)
+        at, point = wide(self.data)
+        at = at[np.isin(point, _WIDE_ENDS)] + 2
+        word = np.searchsorted(self.starts, at, side="right") - 1
+        stop[word[self.ends[word] - at <= 4]] = True
         self.new_sentence = self.new_line.copy()
         self.new_sentence[1:] |= stop[:-1]
 
@@ -179,22 +181,25 @@ class Paragraphs:
         first = first[self.doc[first] == self.doc[first + WORDS - 1]]
         return first, first + WORDS
 
-    def picks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """First and last word (excluded) and the two hashes of the windows that are least of some REACH in a row, or of all their text has."""
+    def picks(self) -> tuple[np.ndarray, np.ndarray]:
+        """First word and hash of the windows that are least of some REACH in a row, or of all their text has."""
         first, last = self.windows()
-        h, h2 = run_hashes(self.hash, first, last)
+        h = run_hash(self.hash, first, last)
         doc = self.doc[first]
         cut = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
         size = np.diff(np.append(cut, len(doc)))
         least = np.repeat(np.minimum.reduceat(h, cut), size) if len(doc) else h
-        at = [np.flatnonzero((h == least) & (np.repeat(size, size) < REACH))]
+        some = (h == least) & (np.repeat(size, size) < REACH)
         if len(h) >= REACH:
-            rows = np.arange(len(h) - REACH + 1)
-            rows = rows[doc[rows] == doc[rows + REACH - 1]]
-            view = np.lib.stride_tricks.sliding_window_view(h, REACH)
-            at += [some + view[some].argmin(1) for some in np.array_split(rows, len(rows) // 50_000 + 1)]
-        at = np.unique(np.concatenate(at))
-        return first[at], last[at], h[at], h2[at]
+            low, place, wide_ = h, np.arange(len(h)), 1  # the least of so many in a row, and the first place of it
+            while wide_ < REACH:
+                by = min(wide_, REACH - wide_)
+                a, b = low[:-by], low[by:]
+                place = np.where(a <= b, place[:-by], place[by:])
+                low, wide_ = np.minimum(a, b), wide_ + by
+            some[place[doc[: len(place)] == doc[REACH - 1 :]]] = True
+        at = np.flatnonzero(some)
+        return first[at], h[at]
 
     def texts(self, least: int) -> tuple[np.ndarray, np.ndarray]:
         """First and last word (excluded) of the texts of at least so many words."""
@@ -236,9 +241,12 @@ def bands(grams: np.ndarray, line: np.ndarray, count: int, shape: tuple[int, int
     first = np.searchsorted(line, np.arange(count))
     out = np.zeros((count, shape[0]), np.uint64)
     with np.errstate(over="ignore"):
+        h, high = np.empty_like(grams), np.empty_like(grams)
         for k, seed in enumerate(SEEDS[: shape[0] * shape[1]]):
-            h = grams * seed
-            low = np.minimum.reduceat(h ^ (h >> np.uint64(31)), first)
+            np.multiply(grams, seed, out=h)
+            np.right_shift(h, np.uint64(31), out=high)
+            np.bitwise_xor(h, high, out=h)
+            low = np.minimum.reduceat(h, first)
             b = k // shape[1]
             out[:, b] = mix(out[:, b] * MULT + low + np.uint64(b + 1))
     return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)  # two of one key that differ cost a comparison
@@ -250,7 +258,7 @@ def _emit_lines(least: int, shape: tuple[int, int]):
             for b in blocks(batch, "text"):
                 p = Paragraphs(b.column(2))
                 first, last = p.lines(least)
-                h, _ = run_hashes(p.hash, first, last)
+                h = run_hash(p.hash, first, last)
                 s, e = p.place(first, last)
                 at = pa.array(p.doc[first])
                 grams, line = p.grams(first, last)
@@ -339,9 +347,9 @@ def _emit_picks(batches):
     for batch in batches:
         for b in blocks(batch, "text"):
             p = Paragraphs(b.column(2))
-            first, _, h, _ = p.picks()
+            first, h = p.picks()
             i, a, z = segments(p, first)
-            g, _ = run_hashes(p.hash, a, z)
+            g = run_hash(p.hash, a, z)
             first = np.concatenate([first, first[i]])
             doc = p.doc[first]
             place = (first - np.searchsorted(p.doc, doc)).astype(np.int32)
@@ -364,7 +372,7 @@ def _emit_near(least: int):
         for batch in batches:
             for b in blocks(batch, "text"):
                 p = Paragraphs(b.column(2))
-                first, _, _, _ = p.picks()
+                first, _ = p.picks()
                 begin = np.searchsorted(p.doc, np.arange(b.num_rows + 1))
                 lists = b.column(3)
                 at, role, head = (np.asarray(lists.flatten().field(k)).astype(np.int64) for k in range(3))
@@ -398,23 +406,60 @@ def _emit_near(least: int):
     return run
 
 
-def _emit_grams(least: int):
-    """3-grams of the lines whose hashes are in column wanted."""
+def _emit_grams(least: int, shape: tuple[int, int]):
+    """3-grams and bands of the lines whose hashes are in column wanted."""
 
     def run(batches):
         for batch in batches:
             for b in blocks(batch, "text"):
                 p = Paragraphs(b.column(2))
                 first, last = p.lines(least)
-                h, _ = run_hashes(p.hash, first, last)
+                h = run_hash(p.hash, first, last)
                 some = np.isin(h, np.asarray(b.column(3).flatten()))
                 h, at = np.unique(h[some], return_index=True)
                 grams, line = p.grams(first[some][at], last[some][at])
-                yield pa.RecordBatch.from_arrays([pa.array(h), put_lists(grams.view(np.int64), np.bincount(line, minlength=len(h)) if len(h) else np.zeros(0, np.int64), pa.int64())], ["line", "grams"])
+                key = bands(grams, line, len(h), shape) if len(h) else np.zeros((0, shape[0]), np.int32)
+                size = np.bincount(line, minlength=len(h)) if len(h) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h), put_lists(grams.view(np.int64), size, pa.int64()), put_lists(key.ravel(), np.full(len(h), shape[0]), pa.int32())], ["line", "grams", "bands"])
 
     return run
 
 
+def ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of ranges, one after another."""
+    return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
+
+
+def gram_sets(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The number of distinct values of each list, and these, numbered from 0, one list after another."""
+    _, flat = np.unique(np.asarray(lists.flatten()), return_inverse=True)
+    most = int(flat.max(initial=0)) + 1
+    code = np.sort(np.repeat(np.arange(len(lists)), np.asarray(pc.list_value_length(lists))) * most + flat)
+    code = code[np.diff(code, prepend=-1) > 0]
+    return np.bincount(code // most, minlength=len(lists)), code % most
+
+
+def alike(same: np.ndarray, root: np.ndarray, size: np.ndarray, begin: np.ndarray, flat: np.ndarray, mark: np.ndarray, threshold: float):
+    """Pairs of the lines same, of different roots, whose sets flat[begin : begin + size] have the threshold's Jaccard: each line against all
+    behind it at once. The caller may join roots meanwhile."""
+    values = flat[ranges(begin[same], size[same])]
+    lens = size[same]
+    offs = np.cumsum(lens) - lens
+    for i, x in enumerate(same[:-1].tolist()):
+        n, m = size[x], lens[i + 1 :]
+        some = i + 1 + np.flatnonzero((root[same[i + 1 :]] != root[x]) & (np.minimum(n, m) >= threshold * np.maximum(n, m)))
+        if not len(some):
+            continue
+        mark[values[offs[i] : offs[i] + n]] = 1
+        if 4 * len(some) < len(m):
+            both = np.add.reduceat(mark[values[ranges(offs[some], lens[some])]], np.cumsum(lens[some]) - lens[some])
+        else:
+            both = np.add.reduceat(mark[values[offs[i + 1] :]], offs[i + 1 :] - offs[i + 1])[some - i - 1]
+        mark[values[offs[i] : offs[i] + n]] = 0
+        for y in same[some[both >= threshold * (n + lens[some] - both)]].tolist():
+            yield x, y
+
+
 def _clusters(threshold: float, bands_n: int):
     """Inside each candidate component, the clusters of lines that are joined by verified pairs of a shared band."""
 
@@ -422,49 +467,23 @@ def _clusters(threshold: float, bands_n: int):
         for table in groups(batches, "c", 4000):
             c, line = np.asarray(table["c"]), np.asarray(table["line"])
             key = np.asarray(table["bands"].combine_chunks().flatten()).reshape(-1, bands_n)
-            lists = table["grams"].combine_chunks()
-            flat, offs = np.asarray(lists.flatten()), np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(lists)))])
+            size, flat = gram_sets(table["grams"].combine_chunks())
+            begin = np.cumsum(size) - size
+            mark = np.zeros(int(flat.max(initial=-1)) + 1, np.int32)  # 1 for the grams of the line in turn
             root = np.arange(len(c))
-
-            def find(x):
-                while root[x] != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
-                return x
-
-            cut = np.concatenate([[0], np.flatnonzero(np.diff(c)) + 1, [len(c)]])
-            for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                if z - a < 2:
-                    continue
-                sets = [np.unique(flat[offs[i] : offs[i + 1]]) for i in range(a, z)]
-                for b in range(bands_n):
-                    order = np.argsort(key[a:z, b], kind="stable")
-                    for same in np.split(order, np.flatnonzero(np.diff(key[a:z, b][order])) + 1):
-                        if len(same) < 2:
-                            continue
-                        known: dict[int, list[int]] = {}
-                        for x in same.tolist():
-                            for r in list(known):
-                                if r not in known or find(a + x) == find(r):
-                                    continue
-                                for y in known[r]:
-                                    small, large = sorted((len(sets[x]), len(sets[y])))
-                                    if small < threshold * large:
-                                        continue
-                                    both = small + large - len(np.union1d(sets[x], sets[y]))
-                                    if both >= threshold * (small + large - both):
-                                        u, v = sorted((find(a + x), find(r)))
-                                        root[v] = u
-                                        break
-                            merged: dict[int, list[int]] = {}
-                            for r, members in known.items():
-                                merged.setdefault(find(r), []).extend(members)
-                            merged.setdefault(find(a + x), []).append(x)
-                            known = merged
-            at = np.array([find(i) for i in range(len(c))])
-            size = np.bincount(at, minlength=len(c))
-            keep = size[at] > 1
-            yield pa.RecordBatch.from_arrays([pa.array(line[keep]), pa.array(line[at][keep])], ["line", "cluster"])
+            for b in range(bands_n):
+                order = np.lexsort((key[:, b], c))
+                turns = np.concatenate([[0], np.flatnonzero((np.diff(c[order]) != 0) | (np.diff(key[order, b]) != 0)) + 1, [len(c)]])
+                for i in np.flatnonzero(np.diff(turns) > 1).tolist():
+                    same = order[turns[i] : turns[i + 1]]
+                    if (root[same] == root[same[0]]).all():
+                        continue
+                    for x, y in alike(same, root, size, begin, flat, mark, threshold):
+                        u, v = sorted((root[x], root[y]))
+                        if u < v:
+                            root[root == v] = u
+            keep = np.bincount(root, minlength=len(c))[root] > 1
+            yield pa.RecordBatch.from_arrays([pa.array(line[keep]), pa.array(line[root][keep])], ["line", "cluster"])
 
     return run
 
@@ -486,11 +505,11 @@ def _side(df: DataFrame, limit: int = 8 << 20) -> DataFrame:
 
 def near_lines(texts: DataFrame, lines: DataFrame, threshold: float, least: int, shape: tuple[int, int], hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(line, cluster) of the lines (by hash) that are alike, of texts(d, t, text) and their lines(h, t, bands); and (line, grams) of these."""
-    known = materialize(lines.groupBy(F.col("h").alias("line")).agg(F.first("bands").alias("bands")))
+    known = materialize(lines.groupBy(F.col("h").alias("line")).agg(*[F.max(F.col("bands")[k]).alias(f"b{k}") for k in range(shape[0])]))
     key = lambda k, b: (k.cast("long") * F.lit(1 << 32)) + F.col(b)
-    posted = known.select(F.posexplode("bands").alias("k", "b"), "line").select("k", key(F.col("k"), "b").alias("band"), "line")
+    posted = lambda part: known.select(F.explode(F.array(*[key(F.lit(k), f"b{k}") for k in range(part, shape[0], PARTS)])).alias("band"), "line")
     first = F.first("line").over(Window.partitionBy("band").orderBy("line"))
-    edges = [materialize(posted.where(F.col("k") % PARTS == part).withColumn("first", first).where("line > first").select(F.col("line").alias("a"), F.col("first").alias("b"))) for part in range(min(PARTS, shape[0]))]
+    edges = [materialize(posted(part).withColumn("first", first).where("line > first").select(F.col("line").alias("a"), F.col("first").alias("b"))) for part in range(min(PARTS, shape[0]))]
     candidates = components(reduce(DataFrame.union, edges)).select(F.col("node").alias("line"), F.col("component").alias("c"))
     for used in edges:
         discard(used)
@@ -498,8 +517,8 @@ def near_lines(texts: DataFrame, lines: DataFrame, threshold: float, least: int,
     wanted = lines.select("t", F.col("h").alias("line")).join(_side(candidates).select("line"), "line").groupBy("line").agg(F.min("t").alias("t"))
     wanted = materialize(wanted.groupBy("t").agg(F.collect_list("line").alias("wanted")))  # of a text, its own lines
     about = texts.join(_side(wanted), "t").select("d", "t", "text", "wanted")
-    grams = about.mapInArrow(eased(_emit_grams(least)), "line bigint, grams array<bigint>").dropDuplicates(["line"])
-    grams = grams.join(_side(candidates), "line").join(known, "line").select("line", "c", "n", "bands", "grams")
+    grams = about.mapInArrow(eased(_emit_grams(least, shape)), "line bigint, grams array<bigint>, bands array<int>").dropDuplicates(["line"])
+    grams = grams.join(_side(candidates), "line").select("line", "c", "n", "bands", "grams")
     big = not candidates.where(F.col("n") > hot).isEmpty()
     grams = materialize(grams)
     discard(known)

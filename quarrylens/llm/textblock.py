@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 _RNG = np.random.RandomState(20240229)
 BYTE64 = _RNG.randint(0, 2**63 - 1, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 MULT = np.uint64(0x9E3779B97F4A7C15)
-_POW = np.ones(1, np.uint64)
+_POW = _UNPOW = np.ones(1, np.uint64)
+FLAT = 4 << 20  # bytes of a block whose powers are kept
 WS = np.zeros(256, bool)
 WS[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 
@@ -72,7 +73,16 @@ def powers(n: int) -> np.ndarray:
         size = max(n, 2 * len(_POW), 1024)
         with np.errstate(over="ignore"):
             _POW = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, MULT, np.uint64)]))
-    return _POW
+    return _POW[:n]
+
+
+def unpowers(n: int) -> np.ndarray:
+    """The inverses of powers(n), kept for later calls."""
+    global _UNPOW
+    if n > len(_UNPOW):
+        with np.errstate(over="ignore"):
+            _UNPOW = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, 2 * len(_UNPOW), 1024) - 1, pow(int(MULT), -1, 2**64), np.uint64)]))
+    return _UNPOW[:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -114,12 +124,14 @@ def blocks(batch: pa.RecordBatch, text: str, most: int = 2 << 20) -> Iterator[pa
 def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and document indices of the words (runs free of white space) of a block."""
     inside = np.zeros(len(data) + 2, bool)
-    inside[1:-1] = ~WS[data]
-    edge = np.zeros(len(data) + 1, bool)
-    edge[offs] = True
-    starts = np.flatnonzero(inside[1:-1] & (~inside[:-2] | edge[:-1]))
-    ends = np.flatnonzero(inside[1:-1] & (~inside[2:] | edge[1:])) + 1
-    return starts, ends, np.searchsorted(offs, starts, side="right") - 1
+    inside[1:-1] = (data - np.uint8(9) > 4) & (data - np.uint8(28) > 4)  # not WS
+    turns = np.flatnonzero(inside[1:] != inside[:-1])  # the first byte of a word, and the first one behind it, by turns
+    starts, ends = turns[::2], turns[1::2]
+    cuts = np.unique(offs[(offs > 0) & (offs < len(data))])
+    cuts = cuts[inside[cuts] & inside[cuts + 1]]
+    if len(cuts):
+        starts, ends = (np.insert(x, np.searchsorted(x, cuts), cuts) for x in (starts, ends))
+    return starts, ends, np.repeat(np.arange(len(offs) - 1), np.diff(np.searchsorted(starts, offs)))
 
 
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -129,11 +141,13 @@ def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     lens = ends - starts
     first = np.cumsum(lens) - lens
     total = int(lens.sum())
-    within = np.arange(total, dtype=np.int64) - np.repeat(first, lens)
-    table = powers(int(lens.max()))
-    tiled = total == len(data) and starts[0] == 0
     with np.errstate(over="ignore"):
-        v = BYTE64[data if tiled else data[within + np.repeat(starts, lens)]] * table[within]
+        if len(data) <= min(FLAT, 2 * total):  # sums up to each byte: the difference of two, shifted back, is that of the span
+            sums = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(BYTE64[data] * powers(len(data)), out=sums[1:])
+            return mix((sums[ends] - sums[starts]) * unpowers(len(data))[starts] + lens.astype(np.uint64) * MULT)
+        within = np.arange(total, dtype=np.int64) - np.repeat(first, lens)
+        v = BYTE64[data[within + np.repeat(starts, lens)]] * powers(int(lens.max()))[within]
         return mix(np.add.reduceat(v, first) + lens.astype(np.uint64) * MULT)
 
 
@@ -149,9 +163,9 @@ def gram_hash(words: np.ndarray, docs: np.ndarray, n: int) -> tuple[np.ndarray,
     keep = (at + n <= ends) | (at == starts)
     h = np.zeros(last, np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(n):
-            ok = at + k < ends
-            h[ok] = mix(h[ok] * MULT + words[at[ok] + k] + np.uint64(k + 1))
+        for k in range(min(n, last)):
+            some = h[: last - k]
+            np.copyto(some, mix(some * MULT + words[k:] + np.uint64(k + 1)), where=at[k:] < ends[: last - k])
     return h[keep], at[keep]
 
 

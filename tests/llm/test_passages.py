@@ -1,7 +1,9 @@
 import random
+import time
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from quarrylens.llm import passages as P
@@ -229,6 +231,33 @@ def test_settled_spans_against_marks():
         assert all(b < a for b, a in zip(hi, lo[1:], strict=False))
 
 
+def test_a_crowded_band_takes_no_step_of_python_a_pair():
+    """1500 lines of one band, each unlike the others."""
+    rng = np.random.RandomState(6)
+    grams = [rng.randint(0, 300, 60) for _ in range(1500)]
+    batch = pa.record_batch({"line": pa.array(range(1500)), "c": pa.array([1] * 1500), "bands": pa.array([[1]] * 1500, pa.list_(pa.int32())), "grams": pa.array(grams, pa.list_(pa.int64()))})
+    began = time.process_time()
+    out = list(P._clusters(0.7, 1)(iter([batch])))
+    assert time.process_time() - began < 5 and sum(b.num_rows for b in out) == 0  # 1.1 million pairs
+
+
+def test_lines_of_a_band_against_all_pairs():
+    rng = np.random.RandomState(4)
+    base = [rng.randint(0, 200, 30) for _ in range(12)]
+    grams = [np.where(rng.rand(30) < rng.rand() / 3, rng.randint(0, 200, 30), base[i % 12]) for i in range(120)]
+    c, key = np.repeat([1, 2], 60), rng.randint(0, 3, (120, 2)).astype(np.int32)
+    batch = pa.record_batch({"line": pa.array(range(120)), "c": pa.array(c), "bands": pa.array(key.tolist(), pa.list_(pa.int32())), "grams": pa.array(grams, pa.list_(pa.int64()))})
+    got = {x: y for b in P._clusters(0.6, 2)(iter([batch])) for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+    root = np.arange(120)
+    for x in range(120):
+        for y in range(x):
+            a, b = set(grams[x]), set(grams[y])
+            if c[x] == c[y] and (key[x] == key[y]).any() and len(a & b) >= 0.6 * len(a | b):
+                u, v = sorted((root[x], root[y]))
+                root[root == v] = u
+    assert got == {i: int(root[i]) for i in range(120) if (root == root[i]).sum() > 1} and len(got) > 20
+
+
 def test_texts_of_one_mark_are_left_alone(spark, monkeypatch):
     """With marks of a few values, texts that only share a mark are not cut by each other's spans."""
     rng = random.Random(8)
