@@ -38,7 +38,12 @@ LONGEST = 32
 UNKNOWN = math.exp(-12.0)
 FLOOR = -math.log(256.0)
 MARK = 0x2581
-WORDS_KEPT = 1 << 21
+KIND = np.zeros(256, np.uint8)  # of each byte: 1 of a letter or a sign outside ASCII, 2 a digit
+KIND[97:123] = KIND[128:] = 1
+KIND[48:58] = 2
+BLOCK = 2 << 20  # bytes of text that are taken at once
+CELLS = 1 << 18  # signs of words that are scored at once
+KEPT = 1 << 21  # scores (words x languages) that a partition remembers
 
 
 @dataclass
@@ -158,8 +163,9 @@ def word_scores(model: PieceModel, cps: np.ndarray, at: np.ndarray, lens: np.nda
     out = np.zeros((len(at), len(model.languages)))
     for m in np.unique(lens[lens <= LONGEST]):
         w = np.flatnonzero(lens == m)
-        for c in range(0, len(w), 16384):
-            part = w[c : c + 16384]
+        step = max(1, CELLS // int(m))
+        for c in range(0, len(w), step):
+            part = w[c : c + step]
             out[part] = model.score(cps[at[part] + np.arange(m)[:, None]])
     far = np.flatnonzero(lens > LONGEST)
     far = far[np.argsort(lens[far], kind="stable")]
@@ -244,12 +250,12 @@ def identify(docs: DataFrame, model: PieceModel, text: str = "text", keep: list[
         m = shared.value
         known, table = np.zeros(0, np.uint64), np.zeros((0, max(1, len(m.languages))))
         for batch in batches:
-            for b in blocks(batch, body, 4 << 20):
+            for b in blocks(batch, body, BLOCK):
                 data, offs = raw(pc.utf8_lower(b.column(b.schema.get_field_index(body))))
                 starts, ends, doc = evidence(data, *word_spans(data, offs))
                 h = span_hash(data, starts, ends)
                 u, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-                if len(known) > WORDS_KEPT:
+                if table.size > KEPT:
                     known, table = known[:0], table[:0]
                 i = np.minimum(np.searchsorted(known, u), max(0, len(known) - 1))
                 new = known[i] != u if len(known) else np.ones(len(u), bool)
@@ -286,14 +292,12 @@ def evidence(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc: np.nda
     """The words that tell of a language: those with a letter (or a sign outside ASCII) and without a digit."""
     if not len(starts):
         return starts, ends, doc
-    kind = np.zeros(len(data) + 1, np.int64)
-    kind[:-1] = ((data >= 97) & (data <= 122) | (data >= 128)) + ((data >= 48) & (data <= 57)).astype(np.int64) * (1 << 32)
-    sums = np.add.reduceat(kind, np.stack([starts, ends], 1).ravel())[::2]
-    good = (sums > 0) & (sums < 1 << 32)
+    good = np.bitwise_or.reduceat(KIND[np.append(data, np.uint8(0))], np.stack([starts, ends], 1).ravel())[::2] == 1
     return starts[good], ends[good], doc[good]
 
 
 def _continuations(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Bytes of each span that only continue a sign."""
-    c = np.concatenate([[0], np.cumsum((data & 0xC0) == 0x80)])
+    c = np.zeros(len(data) + 1, np.int32)
+    np.cumsum((data & 0xC0) == 0x80, out=c[1:])
     return (c[ends] - c[starts]).astype(float)

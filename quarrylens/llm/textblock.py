@@ -16,7 +16,7 @@ _RNG = np.random.RandomState(20240229)
 BYTE64 = _RNG.randint(0, 2**63 - 1, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 MULT = np.uint64(0x9E3779B97F4A7C15)
 _POW = _UNPOW = np.ones(1, np.uint64)
-FLAT = 4 << 20  # bytes of a block whose powers are kept
+PIECE = 1 << 17  # bytes hashed at once: the powers that are kept, for as long as a worker lives, are of four times as many at most
 WS = np.zeros(256, bool)
 WS[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 
@@ -136,19 +136,33 @@ def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of byte spans (none empty), equal for equal bytes wherever they lie."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
     lens = ends - starts
-    first = np.cumsum(lens) - lens
-    total = int(lens.sum())
+    upto = np.cumsum(lens)
+    out = np.empty(len(starts), np.uint64)
+    a = 0
     with np.errstate(over="ignore"):
-        if len(data) <= min(FLAT, 2 * total):  # sums up to each byte: the difference of two, shifted back, is that of the span
-            sums = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum(BYTE64[data] * powers(len(data)), out=sums[1:])
-            return mix((sums[ends] - sums[starts]) * unpowers(len(data))[starts] + lens.astype(np.uint64) * MULT)
-        within = np.arange(total, dtype=np.int64) - np.repeat(first, lens)
-        v = BYTE64[data[within + np.repeat(starts, lens)]] * powers(int(lens.max()))[within]
-        return mix(np.add.reduceat(v, first) + lens.astype(np.uint64) * MULT)
+        while a < len(starts):
+            z = max(a + 1, int(np.searchsorted(upto, upto[a] - lens[a] + PIECE, side="right")))
+            out[a:z] = _piece_hash(data, starts[a:z], ends[a:z], lens[a:z])
+            a = z
+        return mix(out + lens.astype(np.uint64) * MULT)
+
+
+def _piece_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The sums behind span_hash(), of spans of at most PIECE bytes in all or of a single longer one."""
+    total = int(lens.sum())
+    if total > PIECE:
+        at = range(int(starts[0]), int(ends[0]), PIECE)
+        each = (int((BYTE64[x] * powers(len(x))).sum()) for x in (data[k : min(k + PIECE, int(ends[0]))] for k in at))
+        return np.array([sum(v * pow(int(MULT), k - at[0], 2**64) for k, v in zip(at, each)) % 2**64], np.uint64)
+    base, stop = int(starts.min()), int(ends.max())
+    if stop - base <= 2 * total:  # sums up to each byte: the difference of two, shifted back, is that of the span
+        sums = np.zeros(stop - base + 1, np.uint64)
+        np.cumsum(BYTE64[data[base:stop]] * powers(stop - base), out=sums[1:])
+        return (sums[ends - base] - sums[starts - base]) * unpowers(stop - base)[starts - base]
+    first = np.cumsum(lens) - lens
+    within = np.arange(total, dtype=np.int64) - np.repeat(first, lens)
+    return np.add.reduceat(BYTE64[data[within + np.repeat(starts, lens)]] * powers(int(lens.max()))[within], first)
 
 
 def gram_hash(words: np.ndarray, docs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
