@@ -21,7 +21,7 @@ from quarrylens.operators.adapters import outcome, readiness
 from quarrylens.operators.scan import scan_files
 from quarrylens.plans.base import CLASS_SQL, PATH_SQL, Query, event_findings, table, user_path
 from quarrylens.plans.lifecycle import OPERATED_SQL, SETTLED_SQL, reported
-from quarrylens.runtime import materialize
+from quarrylens.runtime import materialize, shared_path
 from quarrylens.sinks import emit, review
 from quarrylens.sources import settings
 from quarrylens.sources.diff import hunks_of
@@ -339,15 +339,15 @@ def _module(k) -> F.Column:
 
 @query("SELECT 'src/p' || p_partkey || '.py' AS path, CASE p_partkey % 4 WHEN 0 THEN 'CI14_DYNAMIC_CODE_EXECUTION' ELSE 'CI03_TODO_HACK' END AS signal, 2 AS line FROM part WHERE p_partkey % 4 < 2")
 def scan_over_stream(spark, sf_dir):
-    """A module for each part, in two batches of a stream, each inspected as it comes."""
-    found: list[tuple] = []
-    with folder() as at:
-        k = F.col("p_partkey")
-        files = table(spark, sf_dir, "part").select(F.format_string("src/p%d.py", k).alias("path"), _module(k).alias("text"), (k % 2).alias("b"))
-        for b in range(2):
-            files.where(F.col("b") == b).drop("b").coalesce(1).write.mode("append").parquet(str(at / "in"))
-        scan_stream(spark, str(at / "in"), str(at / "check"), lambda n, scan: found.extend((r["target_file"], r["signal"], r["line"]) for r in scan.findings.collect())).awaitTermination()
-    return spark.createDataFrame(found, "path string, signal string, line int")
+    """A module for each part, in two batches of a stream, each inspected as it comes; its findings are written under its number."""
+    at = shared_path(spark)
+    k = F.col("p_partkey")
+    files = table(spark, sf_dir, "part").select(F.format_string("src/p%d.py", k).alias("path"), _module(k).alias("text"), (k % 2).alias("b"))
+    for b in range(2):
+        files.where(F.col("b") == b).drop("b").write.mode("append").parquet(f"{at}/in")
+        put = lambda n, scan: scan.findings.select(F.col("target_file").alias("path"), "signal", "line").write.mode("overwrite").parquet(f"{at}/found/{n}")
+        scan_stream(spark, f"{at}/in", f"{at}/check", put).awaitTermination()
+    return spark.read.schema("path string, signal string, line int").parquet(f"{at}/found/*")
 
 
 def _lambdas(t) -> Iterator[dict]:

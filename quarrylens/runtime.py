@@ -40,11 +40,16 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def shared_path(spark: SparkSession) -> str:
+    """A new name in the shared folder."""
+    return f"{shared_dir(spark)}/ql-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, parts: int | None = None, by: list[str] = ()) -> DataFrame:
     """Write df as Parquet into the shared folder, in folders by columns, and read it back: cuts lineage, survives executor loss. The shuffle
     files of the write are deleted when it ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ql-{uuid.uuid4().hex}"
+    path = shared_path(spark)
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:

@@ -35,6 +35,10 @@ def test_names():
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)
 
 
+def test_findings_of_a_stream_stay_in_files(spark):
+    assert registry.QUERIES["scan_over_stream"](spark, SF).inputFiles()
+
+
 def test_numbers_of_many_suppliers_are_uncommon(spark, tmp_path):
     at = str(tmp_path / "supplier.parquet")
     spark.range(2020, 2040).selectExpr("id AS s_suppkey").coalesce(1).write.parquet(at)
