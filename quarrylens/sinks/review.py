@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylens.operators import evaluate as E
+from quarrylens.runtime import discard, materialize
 from quarrylens.sinks.emit import write_text
 
+RANGE = 50_000
+
 
 def _table(head: list[str], rows: list[list]) -> str:
     line = lambda xs: "| " + " | ".join("" if x is None else f"{x:.3f}" if isinstance(x, float) else str(x).replace("|", "\\|") for x in xs) + " |"
@@ -24,7 +27,11 @@ def density_markdown(rows: DataFrame) -> str:
 
 
 def write_corpus(rows: DataFrame, path: str, with_findings: bool = False, **settings) -> None:
-    """A corpus document: each project's and each rule's findings, with samples, and all of them if asked, streamed row by row."""
+    """A corpus document: each project's and each rule's findings, with samples, and all of them if asked, streamed row by row.
+
+    rows are written once and read from there; the driver gets them in ranges of about RANGE rows.
+    """
+    rows = materialize(rows)
     density = [r.asDict(recursive=True) for r in E.density(rows).collect()]  # one row a rule
     projects = [r.asDict() for r in rows.groupBy("project").agg(F.count("*").alias("total_findings")).orderBy("project").collect()]
     head = {"projects": projects, "total_findings": sum(p["total_findings"] for p in projects), "per_ci_id": {r["ci_id"]: {"count": r["n"], "files_affected": r["files"], "samples": r["samples"]} for r in density}, **settings}
@@ -32,11 +39,13 @@ def write_corpus(rows: DataFrame, path: str, with_findings: bool = False, **sett
         f.write(json.dumps(head, ensure_ascii=False)[:-1])
         if with_findings:
             f.write(', "findings": [')
-            for k, x in enumerate(rows.orderBy("emitted").drop("emitted").toJSON().toLocalIterator()):
+            ranges = rows.repartitionByRange(max(1, -(-head["total_findings"] // RANGE)), "emitted").sortWithinPartitions("emitted")
+            for k, x in enumerate(ranges.drop("emitted").toJSON().toLocalIterator()):
                 f.write(", " * bool(k) + x)
             f.write("]")
         f.write("}\n")
     os.replace(f"{path}.new", path)
+    discard(rows)
 
 
 def precision_markdown(rows: DataFrame, labels: DataFrame) -> str:

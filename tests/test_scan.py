@@ -147,3 +147,31 @@ def test_empty_and_null_files(spark):
     assert scan_files(synthetic_tree(spark, 50), Options(profile="quick-gate")).findings.count() == 0
     with pytest.raises(ValueError):
         scan_files(synthetic_tree(spark, 1), Options(profile="state-change"))
+
+
+def test_corpus_documents_are_read_piece_by_piece(spark, tmp_path, monkeypatch):
+    import tracemalloc
+
+    at = tmp_path / "large.json"
+    at.write_text(json.dumps({"findings": [{"fingerprint": f"f{k}", "project": "p", "ci_id": "CI-01", "line": k, "excerpt": "x" * 100} for k in range(100_000)]}))
+    tracemalloc.start()
+    rows = settings.load_harness(spark, str(at))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6 and rows.count() == 100_000 and rows.agg(F.sum("line"), F.sum("emitted")).first()[:] == (4999950000, 4999950000)
+
+    if hasattr(settings, "_Json"):
+        monkeypatch.setattr(settings._Json, "PIECE", 1)
+    one = {"fingerprint": "f [1]", "project": 'é "}', "line": 12345, "more": {"findings": [1, {"a": "]"}]}}
+    document = {"per": {"findings": [{}], "n": 12.5}, "findings": [one, one | {"line": None, "ci_id": 7}], "z": [True, 10]}
+    for text in (json.dumps(document), json.dumps(document, indent=2, ensure_ascii=False)):
+        for code in ("utf-8", "utf-8-sig", "utf-16", "utf-16-le"):
+            at.write_bytes(text.encode(code))
+            got = [tuple(r) for r in settings.load_harness(spark, str(at)).orderBy("emitted").collect()]
+            assert got == [("f [1]", 'é "}', None, None, None, 12345, 0), ("f [1]", 'é "}', "7", None, None, None, 1)]
+    at.write_text('{"findings": []}')
+    assert settings.load_harness(spark, str(at)).count() == 0
+    for bad in ("[]", "{}", '{"findings": {}}', '{"findings": [1]}', '{"findings": [{"fingerprint": " "}]}', '{"findings": [{"fingerprint": "a"}', '{"findings": []} x', '{"findings": [{"fingerprint": "a", "line": "1"}]}'):
+        at.write_text(bad)
+        with pytest.raises((ValueError, TypeError)):
+            settings.load_harness(spark, str(at))
