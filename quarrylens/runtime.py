@@ -64,11 +64,17 @@ def materialize(df: DataFrame, parts: int | None = None, by: list[str] = ()) ->
     return out
 
 
+SPREAD_ROWS = 10_000
+
+
 def spread(df: DataFrame, each: int = 32 << 20) -> DataFrame:
-    """df in as many partitions as there are cores, if it is estimated at less than `each` bytes a core: a few small files would else be the
-    work of as few tasks. A larger table has splits enough and is not shuffled."""
+    """df in parts of about SPREAD_ROWS rows, at least as many as there are cores, if it is estimated at less than `each` bytes a core: a few
+    small files would else be the work of as few tasks, and many rows of few bytes of tasks that grow with the table. A table of more bytes has
+    splits enough and is not shuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if not df.isStreaming and small_side(df, each * cores) else df
+    if df.isStreaming or not small_side(df, each * cores):
+        return df
+    return df.repartition(max(cores, -(-df.count() // SPREAD_ROWS)))
 
 
 def discard(df: DataFrame) -> None:

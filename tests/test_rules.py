@@ -4,6 +4,7 @@ import pytest
 from quarrylens.functions.facts import Text, dependencies, extract, facts_of
 from quarrylens.operators.rules import all_findings, keyword_pattern, leaked_authority, per_fact
 from quarrylens.plans.sources import SAMPLES
+from quarrylens.runtime import spread
 
 
 @pytest.fixture(scope="module")
@@ -114,3 +115,19 @@ def test_keywords(spark):
     files = spark.createDataFrame([("a.md", "the helper decides\nthe helper is a side program that decides\nnothing\nA.B decides"), ("b.md", None)], "path string, text string")
     assert [r["line"] for r in leaked_authority(files, ["helper", "a.b"], ["DECIDES"]).orderBy("line").collect()] == [1, 4]
     assert leaked_authority(files, [], ["x"]).count() == 0
+
+
+def test_many_small_rows_are_many_tasks(spark):
+    assert spread(spark.range(100_001)).rdd.getNumPartitions() == 11
+    assert spread(spark.range(5)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_walks_see_the_nodes_of_a_tree_in_their_order():
+    import ast
+
+    from quarrylens.functions.nodes import walk
+
+    for s in SAMPLES:
+        if s.name.endswith(".py") and s.name != "broken.py":
+            tree = ast.parse(s.text)
+            assert walk(tree) == list(ast.walk(tree)) and walk(*tree.body) == list(ast.walk(ast.Module(tree.body, [])))[1:]
