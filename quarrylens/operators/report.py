@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrylens.functions.columns import SEVERITIES, severity_rank
+from quarrylens.runtime import materialize
 
 LANES = tuple("external-analyzer human-judgment native-static".split())
 GATED = ("runtime-source",)
@@ -76,11 +77,12 @@ def gate_members(rows: DataFrame, policy: GatePolicy, classes=GATED) -> DataFram
 
 def gate(rows: DataFrame, policy: GatePolicy, failed_tools: list[str] = (), classes=GATED) -> DataFrame:
     """One row: the decision, the counts behind it, and each reason with the first MEMBERS findings, by id, that give it. Only rows of gated
-    classes count."""
+    classes count. The findings that give a reason are written once, and counted and ranked from there."""
     tests = _gate_tests(policy, classes)
-    counts = rows.agg(*[F.count_if(c).cast("int").alias(k) for k, (c, _) in tests.items()])
+    given = materialize(gate_members(rows, policy, classes))
+    counts = given.agg(*[F.count_if(F.col("reason") == k).cast("int").alias(k) for k in tests])
     place = F.row_number().over(Window.partitionBy("reason").orderBy("finding_id"))
-    some = gate_members(rows, policy, classes).withColumn("place", place).where(F.col("place") <= MEMBERS)
+    some = given.withColumn("place", place).where(F.col("place") <= MEMBERS)
     some = some.groupBy("reason").agg(F.array_sort(F.collect_list("finding_id")).alias("ids"))
     some = some.agg(F.map_from_entries(F.collect_list(F.struct("reason", "ids"))).alias("members"))  # a row for each reason
     one = counts.crossJoin(F.broadcast(some))  # one row each

@@ -44,3 +44,12 @@ def test_numbers_of_many_suppliers_are_uncommon(spark, tmp_path):
     spark.range(2020, 2040).selectExpr("id AS s_suppkey").coalesce(1).write.parquet(at)
     want = duckdb.sql(registry.ORACLE_SQL["rule_magic_numbers"].replace("FROM supplier", f"FROM '{at}/*.parquet'")).fetchall()
     assert sorted(tuple(r) for r in registry.QUERIES["rule_magic_numbers"](spark, str(tmp_path)).collect()) == sorted(want)
+
+
+def test_a_gate_computes_its_rows_once(spark):
+    from quarrylens.operators import report
+
+    rows = spark.read.parquet(f"{SF}/events.parquet").selectExpr("concat('F-', event_id) AS finding_id", "'high' AS severity", "'new' AS baseline_status", "'none' AS waiver_status", "'runtime-source' AS scope_class", "'native-static' AS owner_lane")
+    one = report.gate(rows, report.GatePolicy("high", True))
+    assert not [f for f in one.inputFiles() if f.endswith("events.parquet")] and one.first()["blocking_count"] == rows.count()
+    assert report.gate(rows.limit(0), report.GatePolicy("high", True)).first()["decision"] == "pass"
